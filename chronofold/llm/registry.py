@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import media, mixing
+from chronofold.llm import html_text, media, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_media_columns": media.op4_media_columns,
+        "op9_html_text": html_text.op9_html_text,
     }
 
 
