@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import html_text, media, mixing
+from chronofold.llm import html_text, media, mixing, ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_media_columns": media.op4_media_columns,
         "op9_html_text": html_text.op9_html_text,
+        "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.SQL,
+        "op10_ngram_jaccard": ngram_join.SQL,
     }
