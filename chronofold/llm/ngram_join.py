@@ -8,8 +8,8 @@ shingles. Only blocks of the product that can hold a pair above the bound are co
    both in that order. Rows are joined on those columns only.
 2. In each such column, rows are compared in tiles by size and by a parity sketch, whose Hamming distance
    never exceeds the size of the symmetric difference; the rest is discarded by the bound
-   (1 - t) / (1 + t) * (a + b). Feasible rows are united into row blocks. Tiles of one column that holds more
-   rows than a tile are united as they are. So a block never parts two linked rows.
+   (1 - t) / (1 + t) * (a + b). Feasible rows are united into row blocks, and so are all rows of a
+   column that holds more than a tile. So a block never parts two linked rows.
 3. Each row block gets its columns, in tiles of rows. A tile's sparse product accumulates overlap counts
    exactly, and pairs below the bound are discarded. Blocks of several tiles are finished by sending the
    rows outside the block's largest component to every tile of it, in a second product.
@@ -222,9 +222,10 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
     met = materialize(met)
     feasible = _dealt(met.join(rows.select("node", "size", "sketch"), "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
     edges = feasible.mapInArrow(lambda it: _feasible(it, num, den), "a long, b long")
-    hot = met.where(F.col("n") > tile).groupBy("col", "tile").agg(F.min("node").alias("a"))
-    hot = hot.join(hot.groupBy("col").agg(F.min("a").alias("b")), "col").where("a <> b").select("a", "b")
-    blocks = components(edges.unionByName(hot), "a", "b").select("node", F.col("root").alias("block"))
+    hot = met.where(F.col("n") > tile)
+    hot = hot.join(hot.groupBy("col").agg(F.min("node").alias("b")), "col").select(F.col("node").alias("a"), "b").where("a <> b")
+    edges = materialize(edges.unionByName(hot))
+    blocks = components(edges, "a", "b").select("node", F.col("root").alias("block"))
 
     sizes = materialize(blocks)
     counted = sizes.join(sizes.groupBy("block").agg(F.count("*").alias("n")), "block")
@@ -243,13 +244,13 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
     if large.limit(1).count():
         roots = components(first, "a", "b")
         named = materialize(
-            large.select("node", "block", "tile", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("label")
+            large.select("node", "block", "tile", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         )
         parts = named.groupBy("block", "root").agg(F.count("*").alias("m"))
         main = parts.groupBy("block").agg(F.max(F.struct("m", (-F.col("root")).alias("r"))).alias("x")).select("block", (-F.col("x.r")).alias("main"))
         outside = named.join(main, "block").where("root <> main").select("node", "block", "tile", "n", "root")
         # visitors go to the other tiles; residents stay where they are, in blocks that have visitors
-        visit = outside.select("node", "block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / tile) - 1).cast("int"))).cast("long").alias("tile"), F.col("tile").alias("home"), "root").where("tile <> home").drop("home")
+        visit = outside.select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / tile) - 1)).alias("to"), "tile", "root").where("tile <> to").select("node", "block", F.col("to").alias("tile"), "root")
         stay = named.join(outside.select("block").distinct(), "block", "left_semi").select("node", "block", "tile", "root")
         again = visit.unionByName(stay).join(texts.where(F.col("n") > tile).select("node", "text"), "node").withColumnRenamed("root", "label")
         second = _dealt(again, "block", "tile").select("block", "tile", "node", "label", "text").mapInArrow(_products(n, num, den), schema)
