@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import html_text, media, mixing, ngram_join
+from chronofold.llm import html_text, media, mixing, ngram_join, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_columns": media.op4_media_columns,
         "op9_html_text": html_text.op9_html_text,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+        "op1_toxicity": toxicity.op1_toxicity,
     }
 
 
