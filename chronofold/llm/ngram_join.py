@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold.llm._util import components, find, materialize, table
-from chronofold.llm.shingles import mix64, shingles
+from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
 BUCKETS, HEAVY, SKETCH = 1 << 20, 1 << 16, 512
@@ -45,7 +45,7 @@ def _heavy_columns(docs: DataFrame, n: int) -> dict[int, int]:
 
     def run(batches):
         seen = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in sliced(batches, "text"):
             _, h = shingles(b.column("text"), n)
             np.add.at(seen, (h >> np.uint64(44)).astype(np.int64), 1)
         hot = np.flatnonzero(seen >= max(8, 8 * seen.sum() / BUCKETS))
@@ -68,7 +68,7 @@ def _described(docs: DataFrame, n: int, t: Fraction, heavy: dict[int, int]) -> D
         weight = np.zeros(BUCKETS, np.int64)
         for k, v in heavy.items():
             weight[k] = v
-        for b in batches:
+        for b in sliced(batches, "text"):
             m = b.num_rows
             r, h = shingles(b.column("text"), n)
             size = np.bincount(r, minlength=m)

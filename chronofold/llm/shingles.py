@@ -62,11 +62,38 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np
     return mix64(h ^ mix64((e - s).astype(np.uint64))), np.searchsorted(at, s, "right") - 1
 
 
-def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def bounds(column: pa.Array, limit: int) -> list[int]:
+    """Row numbers that cut a text column into slices of at most ``limit`` bytes, or of one row."""
+    size = np.cumsum(np.diff(text_bytes(column)[1]))
+    out = [0]
+    while out[-1] < len(column):
+        before = size[out[-1] - 1] if out[-1] else 0
+        out.append(max(out[-1] + 1, int(np.searchsorted(size, before + limit, "right"))))
+    return out
+
+
+def sliced(batches, column: str, limit: int = 1 << 22):
+    """The rows of the batches in slices of at most ``limit`` bytes of text, or of one row."""
+    for b in batches:
+        cut = bounds(b.column(column), limit)
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            yield b.slice(s, e - s)
+
+
+def shingles(column: pa.Array, k: int, limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct k-word shingles of each row, sorted by row and hash.
 
-    A row with fewer words has its whole sequence as one shingle; one without words has none.
+    A row with fewer words has its whole sequence as one shingle; one without words has none. Words are
+    hashed in slices of ``limit`` bytes, as that takes many times the memory of the text.
     """
+    cut = bounds(column, limit)
+    parts = [_shingles(column.slice(s, e - s), k) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([r + s for (r, _), s in zip(parts, cut, strict=False)]), np.concatenate([h for _, h in parts])
+
+
+def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     raw, at = text_bytes(column)
     w, row = word_hashes(raw, at)
     if not len(w):
