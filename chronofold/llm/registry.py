@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import html_text, media, mixing, ngram_join, toxicity
+from chronofold.llm import html_text, media, mixing, ngram_join, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": html_text.op9_html_text,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
         "op1_toxicity": toxicity.op1_toxicity,
+        "op5_secret_scan": secrets.op5_secret_scan,
     }
 
 
