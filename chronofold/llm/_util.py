@@ -61,6 +61,20 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.join(F.broadcast(before), "_pid").withColumn(name, F.col("_rn") + F.col("_before")).drop("_pid", "_rn", "_before")
 
 
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int = 1 << 25) -> DataFrame:
+    """Rows whose key may be among ``keys`` (own): all that are, and by a bitmap of bounded size few others.
+
+    The bitmap (bits / 8 bytes at most, in pieces of 4 KB) is broadcast, so that a join that follows need
+    not shuffle rows without a partner.
+    """
+    spot = F.pmod(F.xxhash64(own), F.lit(bits)) + 1
+    maps = keys.select(spot.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_map"))
+    here = df.withColumn("_v", F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumn("_bucket", F.bitmap_bucket_number("_v"))
+    at = F.bitmap_bit_position("_v")
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return here.join(F.broadcast(maps), "_bucket").where(F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))).select(*df.columns)
+
+
 def find(parent: dict, x):
     """Root of x in a union-find forest, with path halving."""
     while parent.setdefault(x, x) != x:

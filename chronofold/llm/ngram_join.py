@@ -30,10 +30,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chronofold.llm._util import components, find, materialize, table
+from chronofold.llm._util import components, find, materialize, maybe_in, table
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
@@ -213,12 +213,9 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
         .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "txh")).alias("at"), F.first("cols").alias("cols"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    met = rows.select("node", F.explode("cols").alias("col"))
-    shared = met.groupBy("col").agg(F.count("*").alias("n")).where("n > 1")
-    met = (
-        met.join(shared, "col")
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)))
-    )
+    # the count of a column comes with its rows in one shuffle
+    met = rows.select("node", F.explode("cols").alias("col")).withColumn("n", F.count("*").over(W.partitionBy("col"))).where("n > 1")
+    met = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)))
     met = materialize(met)
     feasible = _dealt(met.join(rows.select("node", "size", "sketch"), "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
     edges = feasible.mapInArrow(lambda it: _feasible(it, num, den), "a long, b long")
@@ -232,9 +229,10 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
     members = counted.join(rows.select("node", "at"), "node").select(
         "node", "block", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.txh").alias("txh"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("tile")
     )
-    keyed = docs.withColumn("txh", F.xxhash64("text"))
+    members = materialize(members)
+    keyed = maybe_in(docs.withColumn("txh", F.xxhash64("text")), F.col("txh"), members, F.col("txh"))
     joined = keyed.join(members, (keyed["txh"] == members["txh"]) & keyed["doc_id"].eqNullSafe(members["doc_id"]))
-    texts = joined.select("block", "tile", "node", "n", "text")
+    texts = materialize(joined.select("block", "tile", "node", "n", "text"))
     schema = "a long, b long"
     first = materialize(
         _dealt(texts.withColumn("label", F.col("node")), "block", "tile").select("block", "tile", "node", "label", "text").mapInArrow(_products(n, num, den), schema)
