@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import ann, html_text, media, mixing, ngram_join, secrets, toxicity
+from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_nearest_vectors": ann.op6_nearest_vectors,
+        "op3_fuzzy_lines": line_dedup.op3_fuzzy_lines,
     }
 
 
