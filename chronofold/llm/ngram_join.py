@@ -37,7 +37,7 @@ from chronofold.llm._util import components, find, materialize, maybe_in, table
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
-BUCKETS, HEAVY, SKETCH = 1 << 20, 1 << 16, 512
+BUCKETS, HEAVY, SKETCH, COLUMN_BITS = 1 << 20, 1 << 16, 512, 40
 
 
 def _heavy_columns(docs: DataFrame, n: int) -> dict[int, int]:
@@ -80,7 +80,7 @@ def _described(docs: DataFrame, n: int, t: Fraction, heavy: dict[int, int]) -> D
             place = np.arange(len(r)) - at[r]
             first = size - -(-num * size // den) + 1
             keep = place < first[r]
-            cols = h[order][keep]
+            cols = h[order][keep] >> np.uint64(64 - COLUMN_BITS)  # columns that fall together only add candidates
             bits = (np.bincount(r * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=m * SKETCH) & 1).astype(np.uint8)
             sketch = np.packbits(bits.reshape(m, SKETCH), axis=1) if m else np.zeros((0, SKETCH // 8), np.uint8)
             yield pa.RecordBatch.from_arrays(
@@ -213,8 +213,11 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
         .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "txh")).alias("at"), F.first("cols").alias("cols"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    # the count of a column comes with its rows in one shuffle
-    met = rows.select("node", F.explode("cols").alias("col")).withColumn("n", F.count("*").over(W.partitionBy("col"))).where("n > 1")
+    # one shuffle: a row without a neighbour of its size in a column cannot link there
+    met = rows.select("node", "size", F.explode("cols").alias("col"))
+    by_size, own = W.partitionBy("col").orderBy("size"), W.partitionBy("col")
+    met = met.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
+    met = met.where((F.col("below") * den >= F.col("size") * num) | (F.col("size") * den >= F.col("above") * num)).select("node", "col").withColumn("n", F.count("*").over(own))
     met = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)))
     met = materialize(met)
     feasible = _dealt(met.join(rows.select("node", "size", "sketch"), "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
