@@ -67,12 +67,26 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int
     The bitmap (bits / 8 bytes at most, in pieces of 4 KB) is broadcast, so that a join that follows need
     not shuffle rows without a partner.
     """
+    return _by_bitmap(df, key, keys, own, bits).where("_hit").select(*df.columns)
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of df but those of ``gone`` (doc_id, txh: the hash of the text); only rows that may be among them are shuffled."""
+    txh = F.xxhash64(F.col("text").cast("string"))
+    told = _by_bitmap(df, txh, gone, F.col("txh"), 1 << 25).withColumn("_txh", txh)
+    g = gone.select(F.col("doc_id").alias("_id"), F.col("txh").alias("_gone")).distinct()
+    kept = told.where("_hit").join(g, (F.col("_txh") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return told.where("not _hit").select(*df.columns).unionByName(kept.select(*df.columns))
+
+
+def _by_bitmap(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int) -> DataFrame:
     spot = F.pmod(F.xxhash64(own), F.lit(bits)) + 1
     maps = keys.select(spot.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_map"))
     here = df.withColumn("_v", F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumn("_bucket", F.bitmap_bucket_number("_v"))
     at = F.bitmap_bit_position("_v")
     byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return here.join(F.broadcast(maps), "_bucket").where(F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))).select(*df.columns)
+    hit = F.coalesce(F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)), F.lit(False))
+    return here.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, hit.alias("_hit"))
 
 
 def find(parent: dict, x):
