@@ -56,11 +56,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     words of the mix before it. sizes: doc_id, source, size, source_size, target, taken; one row per document.
     """
     row = ["row"]
+    ident = F.col("doc_id.id") if dict(docs.dtypes)["doc_id"].startswith("struct") else F.col("doc_id")
     sized = materialize(
         docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-        .withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed))))
+        .withColumn("key", F.md5(F.concat_ws(":", F.coalesce(ident.cast("string"), F.lit("null")), F.lit(seed))))
     )
     buckets = max(16, sized.count() // ROWS_PER_BUCKET)
     targets = materialize(source_targets(sized, weights, max_repeats))
@@ -109,6 +110,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     return taken.select("doc_id", "source", "row", "size", "epoch", "finish", "begins"), sizes
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix, a row for each time that the mix takes one."""
+    keyed = docs.withColumn("_txh", F.xxhash64(F.col("text").cast("string")))
+    _, sizes = mix(keyed.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.col("_txh").alias("txh"))), **how)
+    per = sizes.where("taken > 0").groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.txh").alias("_t"), F.col("source").alias("_s"))
+    per = materialize(per.agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_times"), F.count("*").alias("_rows")))
+    joined = keyed.join(per, (F.col("_txh") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
+    times = F.col("_times")
+    if per.where("_rows > 1").limit(1).count():  # equal rows share their repeats
+        same = W.partitionBy("_txh", "doc_id", "source").orderBy(F.lit(1))
+        joined = joined.withColumn("_k", F.row_number().over(same)).withColumn("_n", F.count("*").over(W.partitionBy("_txh", "doc_id", "source")))
+        times = F.floor(F.col("_times") / F.col("_n")) + F.when(F.col("_k") <= F.col("_times") % F.col("_n"), 1).otherwise(0)
+    rows = joined.withColumn("_r", F.array_repeat(F.lit(0), times.cast("int")))
+    return rows.select(*docs.columns, F.explode("_r").alias("_x")).select(*docs.columns)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sizes = mix(table(spark, sf_dir, "documents"))
     return sizes.select("doc_id", "size", "source_size", "target", "taken")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import components, find, materialize, maybe_in, table
+from chronofold.llm._util import WORD, components, find, materialize, maybe_in, table, without
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
@@ -201,8 +201,8 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id; one row per document."""
+def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFrame:
+    """doc_id, txh, size, root (null without words), component_id; one row per document."""
     num, den = threshold.numerator, threshold.denominator
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     described = materialize(_described(docs, n, threshold, _heavy_columns(docs, n)))
@@ -260,9 +260,28 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
     node_root = rows.select("node", *key, "least_id").join(joined_roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(node_root)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(ids, "root").select(*key, "component_id")
-    out = described.select("doc_id", *key).join(labels, key, "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = named.join(ids, "root").select(*key, "root", "component_id")
+    return described.select("doc_id", "txh", *key).join(labels, key, "left").select("doc_id", "txh", "size", "root", "component_id")
+
+
+def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id; one row per document."""
+    out = _labelled(docs, n, threshold, tile)
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """The documents with one of each component, its smallest doc_id; documents without words all stay."""
+    named = materialize(_labelled(docs, n, threshold, tile).where("root is not null"))
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "txh")).alias("first"))
+    here = F.struct("doc_id", "txh")
+    gone = materialize(named.join(first, "root").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "txh"))
+    kept = without(docs, gone)
+    repeated = named.groupBy("doc_id", "txh").count().where("count > 1").limit(1).count()
+    if repeated:  # rows of equal id and text: one stays, unless they have no words
+        words = kept.where(F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+        kept = words.dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
+    return kept
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

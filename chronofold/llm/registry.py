@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, secrets, toxicity
+from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, pieces, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_media_columns": media.op4_media_columns,
         "op9_html_text": html_text.op9_html_text,
@@ -19,11 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_nearest_vectors": ann.op6_nearest_vectors,
         "op3_fuzzy_lines": line_dedup.op3_fuzzy_lines,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return out | {
         "op2_mix_sources": mixing.SQL,
         "op10_ngram_jaccard": ngram_join.SQL,
     }
