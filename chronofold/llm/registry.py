@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, pieces, secrets, toxicity
+from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, pieces, secrets, surrogates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_nearest_vectors": ann.op6_nearest_vectors,
         "op3_fuzzy_lines": line_dedup.op3_fuzzy_lines,
         "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_pii_surrogates": surrogates.op8_pii_surrogates,
     }
 
 
