@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from chronofold.plans import relational, vectors
+from chronofold.plans.dialect import oracle, query
+
+BODIES = {**relational.BODIES, **vectors.BODIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for k, v in BODIES.items()}
+ORACLE_SQL: dict[str, str] = {k: oracle(v) for k, v in BODIES.items()}
 FLAGSHIP = "VEC-4_exact_recall"
