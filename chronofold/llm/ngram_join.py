@@ -184,14 +184,11 @@ def _products(n: int, num: int, den: int):
         for t, starts in _by_group(batches, ("block", "tile")):
             text = t.column("text").combine_chunks()
             text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-            r, h = shingles(text, n)
             node, label = t.column("node").to_numpy(), t.column("label").to_numpy()
-            at = np.searchsorted(r, starts)
             out = []
-            for k in range(len(starts) - 1):
-                s, e = starts[k], starts[k + 1]
-                if e - s > 1:
-                    out += tile_links(node[s:e], (r[at[k] : at[k + 1]] - s, h[at[k] : at[k + 1]]), label[s:e], num, den)
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                if e - s > 1:  # one tile's columns are held at a time
+                    out += tile_links(node[s:e], shingles(text.slice(s, e - s), n), label[s:e], num, den)
             yield _edges(out)
 
     return run

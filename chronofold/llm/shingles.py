@@ -13,7 +13,7 @@ _powers: dict[str, np.ndarray] = {}
 def _powers_to(n: int, base: np.uint64, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 20), base, np.uint64)
+        x = np.full(max(n, 1 << 19), base, np.uint64)
         x[0] = 1
         _powers[name] = have = np.multiply.accumulate(x)
     return have[:n]
@@ -72,7 +72,7 @@ def bounds(column: pa.Array, limit: int) -> list[int]:
     return out
 
 
-def sliced(batches, column: str, limit: int = 1 << 22):
+def sliced(batches, column: str, limit: int = 1 << 20):
     """The rows of the batches in slices of at most ``limit`` bytes of text, or of one row."""
     for b in batches:
         cut = bounds(b.column(column), limit)
@@ -80,7 +80,7 @@ def sliced(batches, column: str, limit: int = 1 << 22):
             yield b.slice(s, e - s)
 
 
-def shingles(column: pa.Array, k: int, limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, k: int, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct k-word shingles of each row, sorted by row and hash.
 
     A row with fewer words has its whole sequence as one shingle; one without words has none. Words are
