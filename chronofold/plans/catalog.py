@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import replay
 from chronofold.operators.recall import recall
-from chronofold.plans import relational, vectors
+from chronofold.plans import maintenance, relational, vectors
 from chronofold.plans.dialect import oracle, query
 from chronofold.streaming.signals import consensus
 
-BODIES = {**relational.BODIES, **vectors.BODIES}
+BODIES = {**relational.BODIES, **vectors.BODIES, **maintenance.BODIES}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for k, v in BODIES.items()}
 ORACLE_SQL: dict[str, str] = {k: oracle(v) for k, v in BODIES.items()}
 FLAGSHIP = "VEC-4_exact_recall"
