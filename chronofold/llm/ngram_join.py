@@ -37,7 +37,7 @@ from chronofold.llm._util import WORD, components, find, materialize, maybe_in,
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
-BUCKETS, HEAVY, SKETCH, COLUMN_BITS = 1 << 20, 1 << 16, 512, 40
+BUCKETS, HEAVY, SKETCH, COLUMN_BITS, CELLS = 1 << 20, 1 << 16, 512, 40, 1 << 18
 
 
 def _heavy_columns(docs: DataFrame, n: int) -> dict[int, int]:
@@ -165,10 +165,15 @@ def tile_links(nodes: np.ndarray, sets: tuple[np.ndarray, np.ndarray], label: np
         k = k[length[k] > 1]
         if not len(k):
             continue
-        n = length[k]
-        ends = np.cumsum(n)
-        idx = np.repeat(start[k] - (ends - n), n) + np.arange(ends[-1])
-        overlap = np.bincount(by_col[idx], minlength=g)[i + 1 :]
+        counts = np.zeros(g, np.int64)
+        step = max(1, CELLS // int(length[k].max()))
+        for at_k in range(0, len(k), step):  # a block of columns at a time
+            block = k[at_k : at_k + step]
+            n = length[block]
+            ends = np.cumsum(n)
+            idx = np.repeat(start[block] - (ends - n), n) + np.arange(ends[-1])
+            counts += np.bincount(by_col[idx], minlength=g)
+        overlap = counts[i + 1 :]
         ok = overlap * (num + den) >= num * (size[i] + size[i + 1 :])
         ok &= overlap > 0
         for j in np.flatnonzero(ok) + i + 1:
