@@ -6,10 +6,11 @@ shingles. Only blocks of the product that can hold a pair above the bound are co
 1. Columns are ordered by an estimate of how many documents have them. By the size bound (a partner shares
    at least ceil(t * size) columns) two linked rows meet in the first size - ceil(t * size) + 1 columns of
    both in that order. Rows are joined on those columns only.
-2. In each such column, rows are compared in tiles by size and by a parity sketch, whose Hamming distance
-   never exceeds the size of the symmetric difference; the rest is discarded by the bound
-   (1 - t) / (1 + t) * (a + b). Feasible rows are united into row blocks, and so are all rows of a
-   column that holds more than a tile. So a block never parts two linked rows.
+2. In each such column, rows are compared in tiles of like sizes by size and by a parity sketch, whose
+   Hamming distance never exceeds the size of the symmetric difference; the rest is discarded by the bound
+   (1 - t) / (1 + t) * (a + b). Feasible rows are united into row blocks. In a column of several tiles, the
+   sketches of rows outside the column's largest block then visit the other tiles that hold sizes they can
+   link with, in parts of VISITORS rows. So a block never parts two linked rows.
 3. Each row block gets its columns, in tiles of rows. A tile's sparse product accumulates overlap counts
    exactly, and pairs below the bound are discarded. Blocks of several tiles are finished by sending the
    rows outside the block's largest component to every tile of it, in a second product.
@@ -37,7 +38,7 @@ from chronofold.llm._util import WORD, components, find, materialize, maybe_in,
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
-BUCKETS, HEAVY, SKETCH, COLUMN_BITS, CELLS = 1 << 20, 1 << 16, 512, 40, 1 << 18
+BUCKETS, HEAVY, SKETCH, COLUMN_BITS, CELLS, VISITORS = 1 << 20, 1 << 16, 512, 40, 1 << 18, 4096
 
 
 def _heavy_columns(docs: DataFrame, n: int) -> dict[int, int]:
@@ -116,28 +117,59 @@ def _edges(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _feasible(batches, num: int, den: int):
-    """Spanning forests, by size bound and sketch, of the rows that meet in a tile of a column."""
-    for t, starts in _by_group(batches, ("col", "tile")):
+def _feasible(batches, num: int, den: int, keys: tuple[str, ...], guests: bool):
+    """Spanning forests, by size bound and sketch, of the rows that meet in a tile of a column.
+
+    With guests, a group's residents come first and are compared with its guests only; rows of equal label
+    are already joined.
+    """
+    for t, starts in _by_group(batches, keys):
         node, size = t.column("node").to_numpy(), t.column("size").to_numpy()
+        label = t.column("label").to_numpy() if guests else node
+        here = starts[:-1] + np.add.reduceat(1 - t.column("guest").to_numpy(), starts[:-1]) if guests else starts[1:]
         words = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
         out = []
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s < 2:
-                continue
+        for s, m, e in zip(starts[:-1], here, starts[1:], strict=True):
             parent: dict = {}
-            for i in range(s, e - 1):
-                a, b = size[i], size[i + 1 : e]
-                far = np.bitwise_count(words[i + 1 : e] ^ words[i]).sum(1)
+            for i in range(s, m):
+                first = m if guests else i + 1
+                if first == e:
+                    continue
+                a, b = size[i], size[first:e]
+                far = np.bitwise_count(words[first:e] ^ words[i]).sum(1)
                 ok = (np.minimum(a, b) * den >= num * np.maximum(a, b)) & (far * (num + den) <= (den - num) * (a + b))
-                for j in np.flatnonzero(ok) + i + 1:
-                    x, y = find(parent, node[i]), find(parent, node[j])
+                for j in np.flatnonzero(ok) + first:
+                    x, y = find(parent, label[i]), find(parent, label[j])
                     if x != y:
                         parent[max(x, y)] = min(x, y)
                         out.append((node[i], node[j]))
         yield _edges(out)
 
 
+def _outside(named: DataFrame, *group: str) -> DataFrame:
+    """Rows that are not in the largest component (root) of their group."""
+    parts = named.groupBy(*group, "root").agg(F.count("*").alias("m"))
+    main = parts.groupBy(*group).agg(F.max(F.struct("m", (-F.col("root")).alias("r"))).alias("x")).select(*group, (-F.col("x.r")).alias("main"))
+    return named.join(main, [*group]).where("root <> main").drop("main")
+
+
+def _across(met: DataFrame, sketches: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
+    """Feasible links between tiles of one column."""
+    named = materialize(met.join(components(edges, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    outside = materialize(_outside(named, "col"))
+    parts = outside.groupBy("col").agg(F.ceil(F.count("*") / VISITORS).alias("parts"))
+    tiles = named.groupBy("col", F.col("tile").alias("to")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    can = (F.col("tile") != F.col("to")) & (F.col("high") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("low") * num)
+    guests = outside.join(parts, "col").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(tiles, "col").where(can)
+    stay = named.join(parts, "col").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    all_rows = guests.select("col", F.col("to").alias("tile"), "part", "node", "size", "root", F.lit(1).alias("guest")).unionByName(
+        stay.select("col", "tile", "part", "node", "size", "root", F.lit(0).alias("guest"))
+    )
+    keys = ("col", "tile", "part")
+    dealt = all_rows.withColumnRenamed("root", "label").join(sketches, "node").repartition(*keys).sortWithinPartitions(*keys, "guest")
+    return materialize(dealt.mapInArrow(lambda it: _feasible(it, num, den, keys, True), "a long, b long"))
+
+
 def tile_links(nodes: np.ndarray, sets: tuple[np.ndarray, np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Spanning links of a tile's rows by its sparse product; rows of equal label are already joined.
 
@@ -219,14 +251,14 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
     met = rows.select("node", "size", F.explode("cols").alias("col"))
     by_size, own = W.partitionBy("col").orderBy("size"), W.partitionBy("col")
     met = met.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
-    met = met.where((F.col("below") * den >= F.col("size") * num) | (F.col("size") * den >= F.col("above") * num)).select("node", "col").withColumn("n", F.count("*").over(own))
-    met = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)))
-    met = materialize(met)
-    feasible = _dealt(met.join(rows.select("node", "size", "sketch"), "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
-    edges = feasible.mapInArrow(lambda it: _feasible(it, num, den), "a long, b long")
+    met = met.where((F.col("below") * den >= F.col("size") * num) | (F.col("size") * den >= F.col("above") * num)).select("node", "col", "size").withColumn("n", F.count("*").over(own))
+    met = materialize(met.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / tile)))
+    sketches = rows.select("node", "sketch")
+    feasible = _dealt(met.join(sketches, "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
+    edges = materialize(feasible.mapInArrow(lambda it: _feasible(it, num, den, ("col", "tile"), False), "a long, b long"))
     hot = met.where(F.col("n") > tile)
-    hot = hot.join(hot.groupBy("col").agg(F.min("node").alias("b")), "col").select(F.col("node").alias("a"), "b").where("a <> b")
-    edges = materialize(edges.unionByName(hot))
+    if hot.limit(1).count():
+        edges = edges.unionByName(_across(hot, sketches, edges, num, den))
     blocks = components(edges, "a", "b").select("node", F.col("root").alias("block"))
 
     sizes = materialize(blocks)
@@ -249,9 +281,7 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
         named = materialize(
             large.select("node", "block", "tile", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         )
-        parts = named.groupBy("block", "root").agg(F.count("*").alias("m"))
-        main = parts.groupBy("block").agg(F.max(F.struct("m", (-F.col("root")).alias("r"))).alias("x")).select("block", (-F.col("x.r")).alias("main"))
-        outside = named.join(main, "block").where("root <> main").select("node", "block", "tile", "n", "root")
+        outside = _outside(named, "block").select("node", "block", "tile", "n", "root")
         # visitors go to the other tiles; residents stay where they are, in blocks that have visitors
         visit = outside.select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / tile) - 1)).alias("to"), "tile", "root").where("tile <> to").select("node", "block", F.col("to").alias("tile"), "root")
         stay = named.join(outside.select("block").distinct(), "block", "left_semi").select("node", "block", "tile", "root")
