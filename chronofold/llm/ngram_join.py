@@ -83,9 +83,14 @@ def _described(docs: DataFrame, n: int, t: Fraction, heavy: dict[int, int]) -> D
             keep = place < first[r]
             cols = h[order][keep] >> np.uint64(64 - COLUMN_BITS)  # columns that fall together only add candidates
             bits = (np.bincount(r * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=m * SKETCH) & 1).astype(np.uint8)
-            sketch = np.packbits(bits.reshape(m, SKETCH), axis=1) if m else np.zeros((0, SKETCH // 8), np.uint8)
+            packed = np.packbits(bits.reshape(m, SKETCH), axis=1) if m else np.zeros((0, SKETCH // 8), np.uint8)
+            sketch = [x.tobytes() for x in packed]
+            for i in np.flatnonzero(size > 2 * SKETCH):  # a longer sketch for a larger set: the power of two from size / 2
+                long = 1 << ((int(size[i]) + 1) // 2 - 1).bit_length()
+                parity = np.bincount((h[at[i] : at[i + 1]] & np.uint64(long - 1)).astype(np.int64), minlength=long) & 1
+                sketch[i] = np.packbits(parity.astype(np.uint8)).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("txh"), pa.array(size, pa.int64()), pa.array(h1), pa.array(h2), _lists(cols, r[keep], m), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                [b.column("doc_id"), b.column("txh"), pa.array(size, pa.int64()), pa.array(h1), pa.array(h2), _lists(cols, r[keep], m), pa.array(sketch, pa.binary())],
                 names=["doc_id", "txh", "size", "h1", "h2", "cols", "sketch"],
             )
 
@@ -117,32 +122,53 @@ def _edges(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _folded(sketches: list[bytes], length: int) -> np.ndarray:
+    """Sketches as rows of ``length`` 64-bit words; the halves of a longer one are added."""
+    out = np.empty((len(sketches), length), np.uint64)
+    for i, x in enumerate(sketches):
+        w = np.frombuffer(x, np.uint64)
+        while len(w) > length:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[i] = w
+    return out
+
+
 def _feasible(batches, num: int, den: int, keys: tuple[str, ...], guests: bool):
     """Spanning forests, by size bound and sketch, of the rows that meet in a tile of a column.
 
-    With guests, a group's residents come first and are compared with its guests only; rows of equal label
-    are already joined.
+    With guests, a group's residents are compared with its guests only, and rows of equal label are already
+    joined. Sketches of two lengths meet at the shorter one; sets that can link differ by one length at most.
     """
     for t, starts in _by_group(batches, keys):
-        node, size = t.column("node").to_numpy(), t.column("size").to_numpy()
+        node, size, sketch = t.column("node").to_numpy(), t.column("size").to_numpy(), t.column("sketch").to_pylist()
         label = t.column("label").to_numpy() if guests else node
-        here = starts[:-1] + np.add.reduceat(1 - t.column("guest").to_numpy(), starts[:-1]) if guests else starts[1:]
-        words = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
-        out = []
-        for s, m, e in zip(starts[:-1], here, starts[1:], strict=True):
+        guest = t.column("guest").to_numpy() if guests else None
+        length = np.array([len(x) // 8 for x in sketch])
+        out: list = []
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            if e - s < 2:
+                continue
             parent: dict = {}
-            for i in range(s, m):
-                first = m if guests else i + 1
-                if first == e:
-                    continue
-                a, b = size[i], size[first:e]
-                far = np.bitwise_count(words[first:e] ^ words[i]).sum(1)
-                ok = (np.minimum(a, b) * den >= num * np.maximum(a, b)) & (far * (num + den) <= (den - num) * (a + b))
-                for j in np.flatnonzero(ok) + first:
-                    x, y = find(parent, label[i]), find(parent, label[j])
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        out.append((node[i], node[j]))
+            for k in np.unique(length[s:e]):
+                own, longer = (np.flatnonzero(length[s:e] == x) + s for x in (k, 2 * k))
+                rows = np.concatenate((own, longer))
+                words = _folded([sketch[x] for x in rows], int(k))
+                for p in range(len(rows) if guests else len(own)):
+                    i = rows[p]
+                    if not guests:
+                        q = np.arange(p + 1, len(rows))
+                    elif guest[i]:
+                        continue
+                    else:  # two longer ones meet at their own length
+                        q = np.flatnonzero(guest[rows if p < len(own) else own] == 1)
+                    a, b = size[i], size[rows[q]]
+                    q = q[np.minimum(a, b) * den >= num * np.maximum(a, b)]
+                    far = np.bitwise_count(words[q] ^ words[p]).sum(1)
+                    for j in rows[q[far * (num + den) <= (den - num) * (a + size[rows[q]])]]:
+                        x, y = find(parent, label[i]), find(parent, label[j])
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            out.append((node[i], node[j]))
         yield _edges(out)
 
 
@@ -166,7 +192,7 @@ def _across(met: DataFrame, sketches: DataFrame, edges: DataFrame, num: int, den
         stay.select("col", "tile", "part", "node", "size", "root", F.lit(0).alias("guest"))
     )
     keys = ("col", "tile", "part")
-    dealt = all_rows.withColumnRenamed("root", "label").join(sketches, "node").repartition(*keys).sortWithinPartitions(*keys, "guest")
+    dealt = all_rows.withColumnRenamed("root", "label").join(sketches, "node").repartition(*keys).sortWithinPartitions(*keys)
     return materialize(dealt.mapInArrow(lambda it: _feasible(it, num, den, keys, True), "a long, b long"))
 
 

@@ -59,6 +59,18 @@ def test_ngram_join_equals_brute_force_in_small_tiles(spark):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_ngram_join_of_sets_with_sketches_of_two_lengths(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(1020 + rng.randrange(16))]
+        for _ in range(rng.choice([0, 5, 15, 20, 40, 300])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(docs(spark, rows), tile=8).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(rows)
+
+
 def test_mix_near_targets_and_within_limits(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), "en", rng.choice(["a", "b", "c", None]), 1) for i in range(400)]
