@@ -9,8 +9,11 @@ surrogate everywhere (coreference), a surname also without its given name.
 
 Collision check over the whole corpus: a surrogate that is itself an entity of the corpus would tie two
 people together, so its entity tries further permutations until its surrogate is neither an entity nor the
-surrogate of another. Only entities that need more than the first permutation are looked up; all others are
-replaced where they stand.
+surrogate of another. Given names are compared without their gender. The given names of the fixed lists are
+the exception: they are permuted within their list, whose names may all be in the corpus; no other given
+name gets one of them. Only entities that need more than the first permutation are looked up; all others
+are replaced where they stand. A format with fewer values than its entities and their surrogates need
+raises a ValueError (as with 339 surnames of two letters, of 676).
 
 Edge cases: null texts stay null with no entities; empty texts stay empty; repeated rows get equal
 results; values outside any format stay; other columns are ignored; an empty table gives an empty result.
@@ -21,16 +24,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm._util import _by_bitmap, materialize, table
 
 KEY = b"chronofold surrogates"
-ROUNDS, TRIES = 8, 64
+#: After SINGLE permutations one by one, each round tries twice as many as the last, WIDEST at most.
+ROUNDS, SINGLE, WIDEST = 8, 8, 256
 #: Fixed lists of given names by gender.
 FEMALE = "Alice Anna Carmen Clara Elena Emma Eva Greta Hannah Ines Julia Laura Lea Lucia Maria Marie Nora Olivia Paula Rosa Sara Sofia Sophie Teresa".split()
 MALE = "Adam Alan Carlos David Diego Emil Felix Finn Hans Hugo Jack James Jean John Karl Leo Louis Lucas Marco Martin Noah Oscar Paul Pedro Peter Tom".split()
@@ -73,13 +78,17 @@ def _feistel(values: list[int], radix: list[int], key: bytes, tweak: str) -> lis
     return v
 
 
+def _form(text: str) -> str:
+    """The text with the number of its alphabet for each character that may be replaced."""
+    return "".join(str(SCRIPTS.index(CLASS[c][0])) if c in CLASS else c for c in text)
+
+
 def _spelled(text: str, key: bytes, kind: str) -> str:
     """Characters of an alphabet become others of it; the rest stays."""
     at = [i for i, c in enumerate(text) if c in CLASS]
     if not at:
         return text
-    form = "".join(str(SCRIPTS.index(CLASS[c][0])) if c in CLASS else c for c in text)
-    new = _feistel([CLASS[text[i]][1] for i in at], [len(CLASS[text[i]][0]) for i in at], key, f"{kind}:{form}")
+    new = _feistel([CLASS[text[i]][1] for i in at], [len(CLASS[text[i]][0]) for i in at], key, f"{kind}:{_form(text)}")
     out = list(text)
     for i, v in zip(at, new, strict=True):
         out[i] = CLASS[text[i]][0][v]
@@ -131,6 +140,26 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
     return _spelled(value, key, kind)
 
 
+def room(kind: str, value: str) -> tuple[str, int]:
+    """The format of a value and how many values the permutations reach in it, 2 ** 62 at most."""
+    if kind == "ip":
+        return "", 256**4
+    form, spelled = _form(value), value
+    if kind == "card":
+        spelled = re.sub(r"\D", "", value)[:-1]
+        form += f"/{(int(value[-1]) - luhn(spelled)) % 10}"
+    elif kind == "iban":
+        spelled = value.replace(" ", "")[4:]
+        form = value[:2] + form[2:]
+    elif kind == "email":
+        spelled, _, last = value.rpartition(".")
+        form = f"{_form(spelled)}.{last}"
+    elif kind == "phone" and (lead := re.match(r"\+\d{1,3}(?=[ .(-])", value)):
+        spelled = value[lead.end() :]
+        form = lead[0] + _form(spelled)
+    return form, min(math.prod(len(CLASS[c][0]) for c in spelled if c in CLASS), 1 << 62)
+
+
 def valid(kind: str, value: str) -> bool:
     if kind != "iban":
         return True
@@ -167,10 +196,14 @@ def entities(text: str | None) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def _nth(key: bytes, n: int) -> bytes:
+    return key if n == 1 else key + b":%d" % n
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def replaced(kind: str, value: str, n: int, key: bytes = KEY) -> str:
     """The surrogate by the n-th permutation."""
-    return surrogate(kind, value, key if n == 1 else key + b":%d" % n)
+    return surrogate(kind, value, _nth(key, n))
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -185,35 +218,57 @@ def _found(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("txh", "text").mapInArrow(run, "txh long, kind string, entity string"))
 
 
+def _bare() -> Column:
+    """The entity, a given name without its gender."""
+    return F.when(F.col("kind") == "given", F.substring_index("entity", ":", -1)).otherwise(F.col("entity"))
+
+
+def _roomed(batches):
+    for b in batches:
+        got = [room(k, v) for k, v in zip(b.column("kind").to_pylist(), b.column("s").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("s"), b.column("own"), pa.array([f for f, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["kind", "s", "own", "form", "size"])
+
+
 def _tries(found: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, n: the entities that need the n-th permutation, n > 1."""
 
-    def at(n: int):
+    def at(low: int, high: int):
         def run(batches):
             for b in batches:
-                s = [replaced(k, v, n, key) for k, v in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(s, pa.string())], names=["kind", "entity", "s"])
+                kinds, values = b.column("kind").to_pylist(), b.column("entity").to_pylist()
+                for n in range(low, high):
+                    k = _nth(key, n)
+                    s = [_spelled(v, k, "given") if kind == "given" else surrogate(kind, v, k) for kind, v in zip(kinds, values, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array([n] * len(s), pa.int32()), pa.array(s, pa.string())], names=["kind", "entity", "n", "s"])
 
         return run
 
-    schema = "kind string, entity string, s string"
-    # names share short lists, so that a surrogate that is also a name of the corpus ties nobody
-    real = materialize(found.where(~F.col("kind").isin("given", "surname")).select("kind", "entity").distinct())
-    taken = real.select("kind", F.col("entity").alias("s"))
-    first = materialize(real.mapInArrow(at(1), schema))
+    schema = "kind string, entity string, n int, s string"
+    listed = (F.col("kind") == "given") & F.col("entity").isin([f"f:{x}" for x in FEMALE] + [f"{g}:{x}" for g in ("m", "") for x in MALE])
+    real = materialize(found.select("kind", "entity").distinct().select("kind", "entity", _bare().alias("s"), (~listed).alias("own")))
+    lists = found.sparkSession.createDataFrame([("given", x, False) for x in [*FEMALE, *MALE]], "kind string, s string, own boolean")
+    known = real.select("kind", "s", "own").unionByName(lists).groupBy("kind", "s").agg(F.max("own").alias("own"))
+    known = materialize(known.mapInArrow(_roomed, "kind string, s string, own boolean, form string, size long"))
+    full = known.where("size > 1").groupBy("kind", "form").agg(F.count("*").alias("there"), F.count_if("own").alias("new"), F.max("size").alias("size")).where("there + new > size").first()
+    if full:
+        raise ValueError(f"{full.kind} {full.form}: {full.size} values are too few for {full.there} entities and {full.new} surrogates")
+    taken = known.select("kind", "s")
+    first = materialize(known.where("own and size > 1").select("kind", F.col("s").alias("entity")).mapInArrow(at(1, 2), schema).drop("n"))
     todo = materialize(first.join(taken, ["kind", "s"], "left_semi").select("kind", "entity"))
     used = first.join(todo, ["kind", "entity"], "left_anti").select("kind", "s").unionByName(taken)
     out = todo.withColumn("n", F.lit(1)).limit(0)
-    n = 1
-    while todo.limit(1).count() and n < TRIES:
-        n += 1
-        again = materialize(todo.mapInArrow(at(n), schema))
-        free = again.join(used, ["kind", "s"], "left_anti").groupBy("kind", "s").agg(F.min("entity").alias("entity"))
-        free = materialize(free)
-        out = out.unionByName(free.select("kind", "entity", F.lit(n).alias("n")))
+    n = wide = 1
+    while todo.limit(1).count():
+        low, n = n + 1, n + wide
+        again = materialize(todo.mapInArrow(at(low, n + 1), schema))
+        open_ = again.join(used, ["kind", "s"], "left_anti").groupBy("kind", "entity").agg(F.min(F.struct("n", "s")).alias("x")).select("kind", "entity", "x.n", "x.s")
+        free = materialize(open_.groupBy("kind", "s").agg(F.min(F.struct("n", "entity")).alias("x")).select("kind", "s", "x.n", "x.entity"))
+        out = out.unionByName(free.select("kind", "entity", "n"))
         used = used.unionByName(free.select("kind", "s"))
         todo = materialize(todo.join(free, ["kind", "entity"], "left_anti"))
-    return materialize(out)
+        if n >= SINGLE:
+            wide = min(2 * wide, WIDEST)
+    return materialize(real.where("own").join(out.withColumnRenamed("entity", "s"), ["kind", "s"]).select("kind", "entity", "n"))
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
