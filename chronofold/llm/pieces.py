@@ -4,21 +4,26 @@ The model is a BPE model. Its encoding is the one segmentation in which each pie
 pieces is its own encoding, so it is the best path of a max-plus system whose weights are 0 for such pairs and
 minus infinity for others. A text of more than ``CHUNK`` characters is split into chunks at fixed places. The
 states at a cut are the pieces that may cover the character before it. Each chunk gives a matrix of the
-weights from its left states to its right states; the matrices are combined associatively, from both ends,
-which leaves one state at every cut; then each chunk is traced back on its own. Inside a chunk the matrix
-factors at the starts of words, which no piece crosses, so only the parts up to the first and from the last
-start of a word are searched and the rest is encoded by the library. Texts of one chunk are encoded as a whole.
+weights from its left states to its right states. The matrices are combined associatively in a tree over
+tasks, ``FAN`` adjacent ones at a time, up to one for each text; then the states at the cuts are settled down
+the tree, and each chunk is traced back on its own. Inside a chunk the matrix factors at the starts of words,
+which no piece crosses, so only the parts up to the first and from the last start of a word are searched and
+the rest is encoded by the library. Texts of one chunk (``CHUNK`` characters at most) never see the scan: the
+library encodes them as a whole, with the same result.
 
 The model file is read on the driver (path by parameter) and sent to the tasks.
 
-Edge cases: null and empty texts have no tokens and decode to the empty text; U+2581 is the model's own mark
-for a space and decodes to one (``round_trip`` is false then); rows are independent, so repeated rows and ids
-give repeated results; other columns are kept by ``encode``; an empty table gives an empty result.
+Edge cases: null and empty texts have no tokens and decode to the empty text; very long texts are the scan's
+case; U+2581 is the model's own mark for a space and decodes to one (``round_trip`` is false then); there is
+one best path, so no ties; rows are independent, so repeated rows and ids give repeated results; other
+columns, whatever their names, are kept by ``encode`` and ``decode``, but one named like the result is
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm._util import materialize, table
+from chronofold.llm._util import materialize, sliced, table
 
 MODEL, CHUNK, MARK = "/opt/tokenizers/piece_bpe_32k.model", 32768, "▁"
+#: Matrices combined in one task, pairs of pieces that a worker remembers, and characters dealt to a task.
+FAN, PAIRS, PART = 32, 1 << 16, 1 << 23
+CHUNKS = "row long, i long, u string, p int, q int, first boolean, last boolean"
 
 
 class Pieces:
@@ -41,8 +49,9 @@ class Pieces:
         n = self.sp.get_piece_size()
         self.ids = {self.sp.id_to_piece(i): i for i in range(n) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))}
         self.longest = max(map(len, self.ids))
-        self._whole: dict[str, bool] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.prefixes = {x[:k] for x in self.ids for k in range(1, len(x) + 1)}
+        self._whole: dict[str, bool] = {}  # of pieces of the vocabulary only
+        self.fits = functools.lru_cache(PAIRS)(self._fits)
 
     def bpe(self, text: str) -> list[str]:
         """Merge the pair of the best score, leftmost first, until none is left (for short texts)."""
@@ -55,17 +64,24 @@ class Pieces:
             s[i : i + 2] = [s[i] + s[i + 1]]
 
     def whole(self, a: str) -> bool:
+        if len(a) == 1 or a not in self.ids:
+            return len(a) == 1
         if a not in self._whole:
-            self._whole[a] = len(a) == 1 or a in self.ids and self.bpe(a) == [a]
+            self._whole[a] = self.bpe(a) == [a]
         return self._whole[a]
 
-    def fits(self, a: str, b: str) -> bool:
-        if (a, b) not in self._pairs:
-            self._pairs[a, b] = self.bpe(a + b) == [a, b]
-        return self._pairs[a, b]
+    def _fits(self, a: str, b: str) -> bool:
+        return self.bpe(a + b) == [a, b]
 
     def starting(self, u: str, s: int) -> list[str]:
-        return [u[s : s + k] for k in range(1, min(self.longest, len(u) - s) + 1) if self.whole(u[s : s + k])]
+        out = []
+        for k in range(1, min(self.longest, len(u) - s) + 1):
+            x = u[s : s + k]
+            if k > 1 and x not in self.prefixes:
+                break
+            if self.whole(x):
+                out.append(x)
+        return out
 
     def states(self, u: str, p: int) -> list[tuple[int, int]]:
         """(start, end) of the pieces that may cover the character before p, in a fixed order."""
@@ -190,16 +206,16 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def settle(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut (also at both ends), from products of the matrices from both ends."""
+def settle(matrices: list[np.ndarray], a: int, b: int) -> list[int]:
+    """The state at each cut, given those at both ends, from products with the matrices from both ends."""
     n = len(matrices)
-    forward = [np.zeros((1, 1))]
+    forward = [np.where(np.arange(matrices[0].shape[0]) == a, 0.0, -np.inf)[None]]
     for m in matrices:
         forward.append(times(forward[-1], m))
-    backward = [np.zeros((matrices[-1].shape[1], 1))]
+    backward = [np.where(np.arange(matrices[-1].shape[1]) == b, 0.0, -np.inf)[:, None]]
     for m in reversed(matrices):
         backward.append(times(m, backward[-1]))
-    best = forward[n].max()
+    best = forward[n][0, b]
     return [int(np.argmax(forward[i][0] + backward[n - i][:, 0] >= best)) for i in range(n + 1)]
 
 
@@ -215,85 +231,145 @@ def _read(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
-def _chunks(giant: DataFrame, longest: int, size: int) -> DataFrame:
-    """row, i, u (a chunk of the marked text with context), p, q, first, last."""
-    u = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
-    df = giant.select("row", u.alias("all"), (F.length("text") + 1).alias("n"))
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / size).cast("int") - 1)).alias("i"))
-    at = F.greatest(F.col("i") * size - longest - 1, F.lit(0))
-    to = F.least((F.col("i") + 1) * size, F.col("n"))
-    return df.select("row", "i", F.substring("all", at + 1, to + longest - at).alias("u"), (F.col("i") * size - at).alias("p"), (to - at).alias("q"), (F.col("i") == 0).alias("first"), (to == F.col("n")).alias("last"))
+def _packed(m: np.ndarray) -> bytes:
+    return np.packbits(np.isfinite(m)).tobytes()
+
+
+def _unpacked(cells: bytes, high: int, wide: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(cells, np.uint8), count=high * wide)
+    return np.where(bits, 0.0, -np.inf).reshape(high, wide)
+
+
+def _ordered(t: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    """The rows of a node in chunk order, with their matrices."""
+    t = t.sort_by("i")
+    return t, [_unpacked(c, h, w) for c, h, w in zip(t["cells"].to_pylist(), t["high"].to_pylist(), t["wide"].to_pylist(), strict=True)]
+
+
+def _combine(t: pa.Table) -> pa.Table:
+    """One matrix for up to ``FAN`` adjacent ones (the product is associative)."""
+    t, ms = _ordered(t)
+    m = functools.reduce(times, ms)
+    return pa.table({"row": t["row"][:1], "i": t["node"][:1], "high": pa.array([m.shape[0]], pa.int32()), "wide": pa.array([m.shape[1]], pa.int32()), "cells": pa.array([_packed(m)], pa.binary())})
+
+
+def _ends(t: pa.Table) -> pa.Table:
+    """The states at both ends of a whole text, from its one matrix."""
+    _, (m,) = _ordered(t)
+    return pa.table({"row": t["row"], "i": t["i"], "a": pa.array([0], pa.int32()), "b": pa.array([int(np.argmax(m[0]))], pa.int32())})
+
+
+def _between(t: pa.Table) -> pa.Table:
+    """The states at both ends of each child, from those of their node."""
+    t, ms = _ordered(t)
+    at = settle(ms, t["a"][0].as_py(), t["b"][0].as_py())
+    return pa.table({"row": t["row"], "i": t["i"], "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32())})
+
 
+MATRIX, STATES = "row long, i long, high int, wide int, cells binary", "row long, i long, a int, b int"
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, column: str = "tokens") -> DataFrame:
-    """The documents with the ids of their text as array<int>."""
+
+def _scan(matrices: DataFrame, n: int) -> DataFrame:
+    """row, i, a, b: the states at the ends of each chunk, for texts of at most ``n`` chunks.
+
+    A tree of fan ``FAN``: products go up, level by level, until each text has one matrix; then states go down.
+    A task holds the matrices of one node only.
+    """
+    levels = [matrices]
+    while n > 1:
+        up = levels[-1].withColumn("node", F.floor(F.col("i") / FAN)).groupBy("row", "node").applyInArrow(_combine, MATRIX)
+        levels.append(materialize(up))
+        n = -(-n // FAN)
+    states = levels.pop().groupBy("row", "i").applyInArrow(_ends, STATES)
+    while levels:
+        children = levels.pop().withColumn("node", F.floor(F.col("i") / FAN))
+        nodes = states.select("row", F.col("i").alias("node"), "a", "b")
+        states = children.join(nodes, ["row", "node"]).groupBy("row", "node").applyInArrow(_between, STATES)
+    return states
+
+
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, column: str = "tokens", decoded: str | None = None) -> DataFrame:
+    """The documents with the ids of their text as array<int>; a column of that name is replaced.
+
+    ``decoded`` names a further column for the text of the ids, decoded in the same pass.
+    """
     spark = docs.sparkSession
     proto = _read(spark, model)
-    m = Pieces(proto)
-    longest = m.longest
+    longest = Pieces(proto).longest
+    if chunk <= longest + 1:
+        raise ValueError(f"a chunk holds more than {longest + 1} characters")
+    docs = docs.drop(column, *[decoded] * bool(decoded))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
+    name = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
 
     def short(batches):
         sp = _model(proto).sp
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                ids = sp.encode(["" if x is None else x for x in part.column("text").to_pylist()], num_threads=1)
-                at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(at[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*part.schema.names, column])
+            for part in sliced(b, name):
+                ids = sp.encode([x or "" for x in part.column(name).to_pylist()], num_threads=1)
+                at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, at[-1].as_py())
+                told = [pa.array(sp.decode(ids, num_threads=1), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, pa.array(flat)), *told], names=schema.names)
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     out = docs.where(~is_giant).mapInArrow(short, schema)
-    giant = materialize(docs.where(is_giant).withColumn("row", F.monotonically_increasing_id()))
-    if not giant.limit(1).count():
+    giant = materialize(docs.where(is_giant).select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    most, total = giant.agg(F.max(F.length("doc.text")), F.sum(F.length("doc.text"))).first()
+    if most is None:
         return out
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
 
-    def matrices(batches):
-        pieces = _model(proto)
+    def cut(batches):
         for b in batches:
-            rows = b.to_pylist()
-            got = [Chunk(pieces, r["u"], r["p"], r["q"], r["first"], r["last"]).matrix() for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("i"), pa.array([x.shape[1] for x in got], pa.int32()), pa.array([np.isfinite(x).ravel().tolist() for x in got], pa.list_(pa.bool_()))], names=["row", "i", "wide", "cells"]
-            )
-
-    chunks = materialize(_chunks(giant, longest, chunk))
-    cells = chunks.mapInArrow(matrices, "row long, i int, wide int, cells array<boolean>")
-
-    def states(pdf):
-        pdf = pdf.sort_values("i")
-        ms = [np.where(np.array(c, bool), 0.0, -np.inf).reshape(-1, w) for c, w in zip(pdf["cells"], pdf["wide"], strict=True)]
-        at = settle(ms)
-        return pdf[["row", "i"]].assign(a=at[:-1], b=at[1:])
-
-    settled = cells.groupBy("row").applyInPandas(states, "row long, i int, a int, b int")  # the chunks of one document
-
-    def trace(batches):
-        pieces = _model(proto)
-        for b in batches:
-            rows = b.to_pylist()
-            got = []
-            for r in rows:
-                c = Chunk(pieces, r["u"], r["p"], r["q"], r["first"], r["last"])
-                got.append(c.trace(c.left[r["a"]], c.right[r["b"]]))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("i"), pa.array(got, pa.list_(pa.int32()))], names=["row", "i", "ids"])
-
-    traced = chunks.join(settled, ["row", "i"]).select("row", "i", "u", "p", "q", "first", "last", "a", "b").mapInArrow(trace, "row long, i int, ids array<int>")
-    whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias(column))
-    return out.unionByName(giant.join(whole, "row").select(*docs.columns, column))
+            for row, text in zip(b.column("row").to_pylist(), b.column("text"), strict=True):
+                u = MARK + text.as_py().replace(" ", MARK)
+                for i in range(-(-len(u) // chunk)):
+                    at, to = max(i * chunk - longest - 1, 0), min((i + 1) * chunk, len(u))
+                    told = {"row": row, "i": i, "u": u[at : to + longest], "p": i * chunk - at, "q": to - at, "first": i == 0, "last": to == len(u)}
+                    yield pa.RecordBatch.from_pylist([told], schema=b_schema)
+
+    b_schema = pa.schema([("row", pa.int64()), ("i", pa.int64()), ("u", pa.string()), ("p", pa.int32()), ("q", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+    dealt = giant.select("row", F.col("doc.text").alias("text")).repartition(parts, "row").mapInArrow(cut, CHUNKS)
+    chunks = materialize(dealt.repartition(parts, "row", "i"))  # the chunks of one text go to many tasks
+
+    def of_chunk(make, names, schema):
+        def run(batches):
+            pieces = _model(proto)
+            for b in batches:
+                for part in sliced(b, "u"):
+                    rows = part.to_pylist()
+                    made = [make(Chunk(pieces, r["u"], r["p"], r["q"], r["first"], r["last"]), r) for r in rows]
+                    yield pa.RecordBatch.from_pylist([{"row": r["row"], "i": r["i"], **dict(zip(names, x, strict=True))} for r, x in zip(rows, made, strict=True)], schema=schema)
+
+        return run
+
+    def matrix(c, r):
+        m = c.matrix()
+        return m.shape[0], m.shape[1], _packed(m)
+
+    ids = [("row", pa.int64()), ("i", pa.int64())]
+    cells = of_chunk(matrix, ["high", "wide", "cells"], pa.schema([*ids, ("high", pa.int32()), ("wide", pa.int32()), ("cells", pa.binary())]))
+    settled = _scan(materialize(chunks.mapInArrow(cells, MATRIX)), -(-(most + 1) // chunk))
+    trace = of_chunk(lambda c, r: [c.trace(c.left[r["a"]], c.right[r["b"]])], ["ids"], pa.schema([*ids, ("ids", pa.list_(pa.int32()))]))
+    traced = chunks.join(settled, ["row", "i"]).mapInArrow(trace, "row long, i long, ids array<int>")
+    whole = materialize(traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids")))
+    long = giant.join(whole, "row").select("doc.*", F.col("ids").alias(column))
+    return out.unionByName(decode(long, model, column, decoded) if decoded else long)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, column: str = "tokens", out: str = "decoded") -> DataFrame:
-    """The rows with the text of their ids."""
+    """The rows with the text of their ids; a column named ``out`` is replaced."""
     proto = _read(encoded.sparkSession, model)
+    encoded = encoded.drop(out)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         sp = _model(proto).sp
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
+            for part in sliced(b, column):
                 text = sp.decode([x or [] for x in part.column(column).to_pylist()], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*part.schema.names, out])
 
@@ -301,6 +377,6 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "tokens", out:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    told = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return told.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", same.alias("round_trip"))
