@@ -27,6 +27,7 @@ MACROS = {
     "CLIP8": ("transform($1, x -> cast(greatest(-127, least(127, round(cast(x as double) * 127))) as int))", "list_transform($1, lambda x: cast(greatest(-127, least(127, round(cast(x as double) * 127))) as int))"),
     "LISTTEXT": ("array_join($1, ',')", "array_to_string($1, ',')"),
     "SORTED": ("array_sort(collect_list($1))", "list_sort(list($1))"),
+    "STAMP": ("date_format($1, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") || '+00:00'", "strftime($1, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"),
     "SLICE": ("slice($1, $2, $3)", "list_slice($1, $2, $2 + $3 - 1)"),
 }
 
