@@ -39,10 +39,10 @@ CUSTODY = ChainSpec(
     "custody", "CUSTODY_GENESIS:", "memory_id", "actor_id", "STORED",
     frozenset("STORED REINFORCED CONTRADICTED_BY SUPERSEDED_BY QUARANTINED TAINT_FLAGGED REHABILITATED STATE_CHANGED DECISION_USED_MEMORY".split()),
 )
-AUTHORITY = ChainSpec("authority", "AUTHORITY_GENESIS:", "subject_id", "issuer_id", "REGISTERED", frozenset("REGISTERED GRANTED REVOKED QUARANTINED REHABILITATED".split()))
+AUTHORITY = ChainSpec("authority", "AUTHORITY_GENESIS:", "subject_id", "issuer_id", "ACTOR_REGISTERED", frozenset("ACTOR_REGISTERED GRANTED REVOKED ACTOR_QUARANTINED ACTOR_REINSTATED".split()))
 CLAIM = ChainSpec(
-    "claim", "CLAIM_GENESIS:", "claim_id", "actor_id", "ASSERTED",
-    frozenset("ASSERTED SUPPORTED CONTRADICTED VALIDATED REFUTED WITHDRAWN RELATED_OUT RELATED_IN".split()),
+    "claim", "CLAIM_GENESIS:", "claim_id", "actor_id", "CLAIM_ASSERTED",
+    frozenset("CLAIM_ASSERTED EVIDENCE_LINKED RELATED_TO SET_MEMBERSHIP CLAIM_VALIDATED CLAIM_REFUTED CLAIM_WITHDRAWN CLAIM_SUPERSEDED".split()),
 )
 
 
