@@ -63,7 +63,7 @@ def json_value(value) -> Column:
         return F.coalesce(value.column.cast("string"), F.lit("null"))
     if isinstance(value, Column):
         return F.coalesce(json_string(value), F.lit("null"))
-    return F.lit(json.dumps(value, ensure_ascii=False))
+    return F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 
 def json_object(fields: Mapping[str, object]) -> Column:

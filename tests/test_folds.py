@@ -4,60 +4,9 @@ import datetime
 import random
 
 from chronofold.operators import replay
-from chronofold.operators.recall import DECAY, STATE_BOOST, recall
 from chronofold.streaming import signals
 
 
-def brute(mem, links, q, top_k, hops):
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
-    info = {m[0]: m for m in mem}
-    cand = {i: (dot(q, m[3]), dot(m[3], m[3])) for i, m in info.items() if m[1] == "CLEAN" and m[2] != "FORGOTTEN" and dot(m[3], m[3])}
-    base = {i: d * d / n if d > 0 else 0.0 for i, (d, n) in cand.items()}
-    seed = min(cand, key=lambda i: (-base[i], i))
-    hop, inhibited, boosts, frontier = {seed: 0}, set(), {}, [seed]
-    for level in range(hops + 1):
-        following = []
-        for n in sorted(frontier):
-            if n != seed and n in inhibited:
-                continue
-            for a, b, kind in links:
-                if a == n and info[b][1] == "CLEAN":
-                    if kind == "INHIBITORY":
-                        inhibited.add(b)
-                    else:
-                        boosts[b] = boosts.get(b, 0) + 0.5
-                        if level < hops:
-                            following.append(b)
-        frontier = [n for n in dict.fromkeys(following) if n not in hop]
-        for n in frontier:
-            hop[n] = level + 1
-    out = []
-    for i, (d, n) in cand.items():
-        held = i in inhibited and i != seed
-        if held and info[i][2] != "REINFORCED":
-            continue
-        m = STATE_BOOST[info[i][2]] * (DECAY ** hop[i] if i in hop else 1.0) + boosts.get(i, 0)
-        out.append((-(max(d * m, 0.0) ** 2) / n, i, held))
-    return [(i, held) for _, i, held in sorted(out)[:top_k]]
-
-
-def test_recall_equals_brute_force(spark):
-    rng = random.Random(11)
-    for _ in range(3):
-        n = 12
-        mem = [(i, rng.choice(["CLEAN"] * 5 + ["QUARANTINED"]), rng.choice(["NEUTRAL", "NEUTRAL", "REINFORCED", "FORGOTTEN"]), [rng.randrange(-9, 10) for _ in range(3)]) for i in range(n)]
-        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(30)}
-        links = [(a, b, rng.choice(["RESONANT", "RESONANT", "INHIBITORY"])) for a, b in pairs if a != b]
-        qs = [(k, [rng.randrange(-9, 10) for _ in range(3)]) for k in range(4)]
-        got = recall(
-            spark.createDataFrame(mem, "memory_id long, custody_status string, field_state string, v array<long>"),
-            spark.createDataFrame(links, "from_id long, to_id long, link_type string"),
-            spark.createDataFrame(qs, "query_id long, q array<long>"), 5, 2,
-        ).collect()
-        for k, q in qs:
-            assert [(r.memory_id, r.rescued) for r in sorted((r for r in got if r.query_id == k), key=lambda r: r.rank)] == brute(mem, links, q, 5, 2)
-
-
 def test_custody_and_excision(spark):
     kinds = ["STORED", "TAINT_FLAGGED", "REINFORCED", "REHABILITATED", "REINFORCED", "REINFORCED"]
     chain = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "subject long, seq long, kind string")
