@@ -28,21 +28,21 @@ def keys(d: np.ndarray, nv: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * x / nv[:, None].astype(float), 0.0)
 
 
-def best(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best memories (memory_id, v, weight) of each query (query_id, q) by key, ties to the smaller id, as ``SCHEMA``.
+def best(memories: DataFrame, queries: DataFrame, k: int, by: str = "cosine") -> DataFrame:
+    """The k best memories (memory_id, v, weight) of each query (query_id, q), ties to the smaller id, as ``SCHEMA``.
 
-    Memories without length take no part.
+    By ``cosine`` (weighted, at least 0), ``dot`` or ``near`` (least distance). Memories without length take no part.
     """
     asked = queries.select("query_id", "q").orderBy("query_id").toArrow()  # the stated query set
     out = None
     for s in range(0, max(1, asked.num_rows), MOST):
         part = asked.slice(s, MOST)
-        found = _best_of(memories, part, k)
+        found = _best_of(memories, part, k, by)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _best_of(memories: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+def _best_of(memories: DataFrame, asked: pa.Table, k: int, by: str) -> DataFrame:
     ids = asked.column("query_id").to_numpy()
     q = matrix(asked.column("q").combine_chunks()) if asked.num_rows else np.zeros((0, 0), np.int64)
     nq = (q * q).sum(1) if len(q) else np.zeros(0, np.int64)
@@ -58,7 +58,7 @@ def _best_of(memories: DataFrame, asked: pa.Table, k: int) -> DataFrame:
                 if not len(v) or not len(q):
                     continue
                 d = v @ q.T
-                key = keys(d, nv, weight)
+                key = keys(d, nv, weight) if by == "cosine" else d.astype(float) if by == "dot" else -(nv[:, None] + nq[None] - 2 * d).astype(float)
                 for j in range(len(q)):
                     order = np.lexsort((mid, -key[:, j]))[:k] if len(v) <= k else _top(key[:, j], mid, k)
                     n = len(order)
@@ -68,7 +68,7 @@ def _best_of(memories: DataFrame, asked: pa.Table, k: int) -> DataFrame:
                     )
 
     near = memories.select("memory_id", "v", F.col("weight").cast("double").alias("weight")).mapInArrow(run, SCHEMA)
-    order = W.partitionBy("query_id").orderBy(F.desc(key_column()), "memory_id")
+    order = W.partitionBy("query_id").orderBy(F.desc(key_column(by)), "memory_id")
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
@@ -78,6 +78,8 @@ def _top(key: np.ndarray, mid: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((mid[some], -key[some]))[:k]]
 
 
-def key_column():
+def key_column(by: str = "cosine"):
+    if by != "cosine":
+        return F.col("d") if by == "dot" else 2 * F.col("d") - F.col("nv") - F.col("nq")
     x = F.col("d").cast("double") * F.col("weight")
     return F.when(x > 0, x * x / F.col("nv").cast("double")).otherwise(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import replay
 from chronofold.operators.recall import recall
-from chronofold.plans import ledger, maintenance, relational, scalars, states, vectors  # noqa: F401  scalars and states register their queries
+from chronofold.plans import field, ledger, maintenance, relational, scalars, states, vectors  # noqa: F401  field, scalars and states register their queries
 from chronofold.plans.dialect import oracle, query
 from chronofold.streaming.signals import consensus
 
