@@ -1 +1 @@
-"""chronofold.functions."""
+"""Column functions: canonical values, texts and styles."""

@@ -1,18 +1,11 @@
-"""Ordered folds over event chains: custody replay, excision replay and the EMA controller."""
+"""Custody replay of chains given as kinds only, and of chains without some of their events."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: Fixed values of the confidence rule.
-INITIAL, ALPHA, PROMOTION = 0.5, 0.25, 0.75
-#: Fixed values of the controller: smoothing, enter, leave, stagnation, least improvement.
-BETA, ENTER, LEAVE, STAGNATION, IMPROVEMENT = 0.25, 0.6, 0.4, 5, 0.01
-
-
-def _ordered(chain: DataFrame, value: Column) -> DataFrame:
-    return chain.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("seq", value.alias("x")))).alias("events"))
+from chronofold.operators.folds import folded
+from chronofold.operators.states import FIRST, ONE, PROMOTION, _custody_step, reinforced
 
 
 def custody_replay(chain: DataFrame) -> DataFrame:
@@ -21,37 +14,17 @@ def custody_replay(chain: DataFrame) -> DataFrame:
     TAINT_FLAGGED acts on CLEAN only, QUARANTINED and REHABILITATED on any status; a reinforcement moves the
     confidence a quarter of the way to 1, rounded to ten digits at each step, and promotes at three quarters.
     """
-    start = F.struct(F.lit("CLEAN").alias("status"), F.lit(INITIAL).alias("confidence"))
 
-    def step(acc: Column, e: Column) -> Column:
-        k = e["x"]
-        status = (
-            F.when(k == "QUARANTINED", "QUARANTINED")
-            .when(k == "REHABILITATED", "CLEAN")
-            .when((k == "TAINT_FLAGGED") & (acc["status"] == "CLEAN"), "TAINT_FLAGGED")
-            .otherwise(acc["status"])
-        )
-        confidence = F.when(k == "REINFORCED", F.bround(acc["confidence"] + (1 - acc["confidence"]) * ALPHA, 10)).otherwise(acc["confidence"])
-        return F.struct(status.alias("status"), confidence.alias("confidence"))
+    def step(s, row):
+        status, conf = s
+        return (_custody_step(status, row["kind"])[0], reinforced(conf) if row["kind"] == "REINFORCED" else conf), None
 
-    out = _ordered(chain, F.col("kind")).withColumn("s", F.aggregate("events", start, step))
-    return out.select("subject", F.col("s.status").alias("status"), F.col("s.confidence").alias("confidence"), F.when(F.col("s.confidence") >= PROMOTION, "REINFORCED").otherwise("NEUTRAL").alias("field_state"))
+    def end(s):
+        return s[0], s[1] / ONE, "REINFORCED" if s[1] >= PROMOTION else "NEUTRAL"
+
+    return folded(chain.select("subject", "seq", "kind"), "subject", ["seq"], lambda: ("CLEAN", FIRST), step, "status string, confidence double, field_state string", end)
 
 
 def excised_replay(chain: DataFrame, excised: DataFrame) -> DataFrame:
     """custody_replay of the chains without the events of ``excised`` (subject, seq): what if they had not been."""
     return custody_replay(chain.join(excised, ["subject", "seq"], "left_anti"))
-
-
-def controller(observations: DataFrame) -> DataFrame:
-    """subject, ema, mode, stagnation by an ordered fold of (subject, seq, x)."""
-    start = F.struct(F.lit(0.0).alias("ema"), F.lit("EXPLORE").alias("mode"), F.lit(0).alias("stagnation"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ema = BETA * e["x"] + (1 - BETA) * acc["ema"]
-        still = F.when(ema - acc["ema"] < IMPROVEMENT, acc["stagnation"] + 1).otherwise(0)
-        mode = F.when(ema >= ENTER, "EXPLOIT").when((ema <= LEAVE) | (still >= STAGNATION), "EXPLORE").otherwise(acc["mode"])
-        return F.struct(ema.alias("ema"), mode.alias("mode"), still.alias("stagnation"))
-
-    out = _ordered(observations, F.col("x")).withColumn("s", F.aggregate("events", start, step))
-    return out.select("subject", "s.ema", "s.mode", "s.stagnation")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import replay
 from chronofold.operators.recall import recall
-from chronofold.plans import field, ledger, maintenance, relational, scalars, states, vectors  # noqa: F401  field, scalars and states register their queries
+from chronofold.plans import checks, field, ledger, maintenance, relational, scalars, states, trials, vectors  # noqa: F401  some only register their queries
 from chronofold.plans.dialect import oracle, query
 from chronofold.streaming.signals import consensus
 
@@ -38,10 +38,6 @@ def excision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.excised_replay(chain, first)
 
 
-def ema_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.controller(_model(spark, sf_dir, "chain").select("subject", "seq", F.least(F.col("value") / 100, F.lit(1.0)).alias("x")))
-
-
 def signal_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return consensus(events.select(F.col("user_id").alias("memory_id"), F.col("event_type").alias("origin"), F.least(F.col("value") / 100, F.lit(1.0)).alias("vigor"), F.col("ts").cast("timestamp").alias("created_at")))
@@ -52,7 +48,6 @@ QUERIES |= {
     "VEC-4_recall_with_links": recall_with_links,
     "WIN-6_custody_replay": custody,
     "GRF-6_excised_replay": excision,
-    "WIN-12_ema_controller": ema_controller,
     "STR-4_signal_consensus": signal_consensus,
 }
 QUERIES |= ledger.QUERIES

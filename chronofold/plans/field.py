@@ -18,7 +18,7 @@ uses as (select distinct l_orderkey as decision_id, l_partkey as memory_id, o_cu
 derived as (select o_orderkey * 31 % (select max(p_partkey) from part) as memory_id, o_orderkey as decision_id, o_orderkey % 3 as actor from orders where o_orderkey % 97 = 3),
 succession as (select p_partkey as old, p_partkey + 1 as new from part where p_partkey % 23 = 0),
 machine as (
-  select vec_id as state, label % 2 as output, (3 * vec_id + 1) % (select count(*) from embeddings) as next0, (vec_id * vec_id + 2) % (select count(*) from embeddings) as next1 from embeddings),
+  select vec_id as state, label % 2 as output, (2 * vec_id) % (select count(*) from embeddings) as next0, (2 * vec_id + 1) % (select count(*) from embeddings) as next1 from embeddings),
 weighted as (
   select vec_id as a, 2 * vec_id + 1 as b, 0.5e0 as w from embeddings where 2 * vec_id + 1 < (select count(*) from embeddings)
   union all select vec_id, 3 * vec_id + 2, 0.25e0 from embeddings where 3 * vec_id + 2 < (select count(*) from embeddings)),

@@ -3,24 +3,12 @@
 BODIES = {
     "EVT-6_supersede": "select a.memory_id, min(b.memory_id) as superseded_by from memories a join memories b on a.topic = b.topic and a.claim = b.claim and b.memory_id > a.memory_id group by a.memory_id",
     "EVT-10_forget": "select memory_id, field_state as state_from, 'FORGOTTEN' as state_to from memories where field_state <> 'FORGOTTEN' and memory_id % 19 = 0",
-    "EVT-13_quarantine_actor": "select c.subject, max(c.seq) + 1 as seq, 'TAINT_FLAGGED' as kind from chain c where c.subject in (select subject from chain where actor = 4 and kind = 'REINFORCED') group by c.subject",
-    "EVT-16_record_decision": "select l_orderkey as decision_id, SHA(JOINED(STR(l_partkey), l_partkey)) as used_sha256, count(*) as n from (select distinct l_orderkey, l_partkey from lineitem) u group by l_orderkey",
-    "EVT-27_emit_signal": "select event_id, user_id as memory_id, event_type as origin, MICROS(ts) as created_us, MICROS(ts) + 1800000000 as expires_us from events where event_type in ('purchase', 'signup')",
-    "STR-3_attempt_classes": "select subject, seq, case when kind = lag(kind) over (partition by subject order by seq) then 'ECHO' when seq = 0 then 'FIRST' else 'ATTEMPT' end as class from chain",
     "STR-5_ttl_expiry": "select event_id, user_id from events where MICROS(ts) + 1800000000 <= (select max(MICROS(ts)) from events)",
-    "STR-6_orphan_sweep": "select subject, max(MICROS(ts)) as last_us from chain group by subject having max(MICROS(ts)) < (select max(MICROS(ts)) from events) - 604800000000 and max_by(kind, seq) <> 'REINFORCED'",
-    "STR-9_hysteresis_inputs": "select subject, seq, case when value >= 60 then 'ENTER' when value <= 40 then 'LEAVE' else 'HOLD' end as band from chain",
-    "VER-7_authority": "select n.n_nationkey, case when r.r_regionkey is null then 'ORPHAN' when count(s.s_suppkey) = 0 then 'UNUSED' else 'OK' end as code from nation n left join region r on r.r_regionkey = n.n_regionkey left join supplier s on s.s_nationkey = n.n_nationkey group by n.n_nationkey, r.r_regionkey",
-    "VER-8_causality": "select c.subject, c.seq, 'CAUSE_AFTER_EFFECT' as code from chain c join chain e on e.subject = c.subject and e.seq = c.seq + 1 where MICROS(e.ts) < MICROS(c.ts)",
-    "VER-10_sweep_seal": "select kind, SHA('[' || JOINED(STR(subject), subject) || ']') as ids_sha256, count(*) as n from (select distinct kind, subject from chain where kind = 'TAINT_FLAGGED') t group by kind",
-    "VER-12_decisions": "select l_orderkey as decision_id, count(*) as uses, count(distinct l_partkey) as used, case when count(*) > count(distinct l_partkey) then 'REPEATED_USE' else 'OK' end as code from lineitem group by l_orderkey",
     "EXP-6_disagreement": """
 p as (select a.memory_id as x, b.memory_id as y, a.topic = b.topic as within, a.claim <> b.claim as differ from queries q join memories a on a.memory_id = q.query_id cross join memories b where a.memory_id <> b.memory_id)
 select within, count(*) as pairs, sum(case when differ then 1 else 0 end) as disagreements from p group by within""",
     "EXP-8_correlation": "select event_type, round(corr(value, PROP()), 6) as r, count(*) as n from events group by event_type",
-    "EXP-7_ols": "select event_type, round(regr_slope(value, PROP()), 6) as slope, round(regr_intercept(value, PROP()), 4) as intercept from events group by event_type",
     "EXP-9_mean_std": "select event_type, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, round(stddev_samp(value) / sqrt(count(*)), 6) as sem from events group by event_type",
-    "EXP-14_collisions": "select signature, count(*) as states, min(subject) as example from (select subject, JOINED(kind, seq) as signature from chain where seq < 2 group by subject) s group by signature having count(*) > 1",
     "EXP-16_quality": "select quality, toxic, count(*) as n, sum(d.n_chars) as chars from labels l join documents d on l.doc_id = d.doc_id group by quality, toxic",
     "SNK-6_graph_export": "select 'NODE' as kind, memory_id as a, cast(null as bigint) as b, field_state as label from memories union all select 'EDGE', from_id, to_id, link_type from links",
     "SNK-12_paged_list": "select memory_id, topic, DIV(row_number() over (order by memory_id) - 1, 50) as page from memories where topic = 3",

@@ -8,20 +8,12 @@ BODIES = {
     "SRC-5_link_scan": "select from_id, to_id from links where link_type = 'RESONANT'",
     "SRC-6_link_index_scan": "select to_id, count(*) as in_degree, min(from_id) as first_from from links group by to_id",
     "SRC-7_chain_scan": "select subject, seq, kind, event_id, actor from chain where subject % 10 = 3",
-    "SRC-8_receipt_scan": "select conv_id, turn, SHA(text) as query_sha256 from conversations where role = 'user'",
     "SRC-11_audit_page": "select event_id, user_id, event_type from events order by ts desc, event_id desc limit 50",
     "SRC-12_alert_page": "select event_id, user_id from events where event_type = 'error' order by ts desc, event_id desc limit 30",
     # filters
     "FLT-1_custody_gate": "select memory_id, topic from memories where custody_status = 'CLEAN'",
     "FLT-2_forgotten_filter": "select memory_id, topic from memories where custody_status = 'CLEAN' and field_state <> 'FORGOTTEN'",
     "FLT-3_influence_events": "select subject, seq, kind from chain where kind in ('REINFORCED', 'DECISION_USED_MEMORY')",
-    "FLT-5_grant_active": """
-grants as (select actor, subject, min(MICROS(ts)) as since, max(case when kind = 'QUARANTINED' then MICROS(ts) end) as until from chain group by actor, subject)
-select c.subject, c.seq, c.actor from chain c join grants g on g.actor = c.actor and g.subject = c.subject
-where MICROS(c.ts) >= g.since and (g.until is null or MICROS(c.ts) < g.until)""",
-    "FLT-6_quarantined_at": """
-spans as (select subject, MICROS(ts) as since, lead(MICROS(ts)) over (partition by subject order by seq) as until, kind from chain where kind in ('QUARANTINED', 'REHABILITATED'))
-select c.subject, c.seq from chain c join spans s on s.subject = c.subject and s.kind = 'QUARANTINED' and MICROS(c.ts) >= s.since and (s.until is null or MICROS(c.ts) < s.until)""",
     "FLT-7_liveness": "select subject, max(seq) as head from chain group by subject having sum(case when kind = 'REINFORCED' then 1 else 0 end) * 20 >= count(*)",
     "FLT-8_stale": "select subject from chain group by subject having max(MICROS(ts)) < (select max(MICROS(ts)) from events) - 604800000000",
     "FLT-14_absence_reason": """
@@ -41,18 +33,12 @@ select a.ask_id, max(c.seq) as seq, max_by(c.kind, c.seq) as kind from asked a j
 spans as (select actor, subject, MICROS(ts) as since, lead(MICROS(ts)) over (partition by actor, subject order by seq) as until from chain)
 select c.subject, c.seq, count(*) as n from chain c join spans s on s.actor = c.actor and s.subject = c.subject and MICROS(c.ts) >= s.since and (s.until is null or MICROS(c.ts) < s.until) group by c.subject, c.seq""",
     "JOIN-8_prior_state": "select subject, seq, lag(kind) over (partition by subject order by seq) as prior_kind, sum(case when kind = 'TAINT_FLAGGED' then 1 else 0 end) over (partition by subject order by seq rows between unbounded preceding and 1 preceding) as prior_taints from chain",
-    "JOIN-9_bilateral_check": """
-u as (select distinct l_orderkey as d, l_partkey as p from lineitem where l_linenumber <= 4),
-e as (select distinct l_orderkey as d, l_partkey as p from lineitem where l_linenumber >= 2)
-select coalesce(u.d, e.d) as decision_id, coalesce(u.p, e.p) as memory_id, case when u.d is null then 'EVENT_ONLY' else 'USED_ONLY' end as side
-from u full outer join e on u.d = e.d and u.p = e.p where u.d is null or e.d is null""",
     "JOIN-10_relation_pairs": """
 o as (select from_id as a, to_id as b from links where link_type = 'RESONANT')
 select x.a, x.b from o x left join o y on x.a = y.b and x.b = y.a where y.a is null""",
     "JOIN-11_dangling": """
 refs as (select 'LINK' as kind, to_id + case when to_id % 17 = 0 then 1000000000 else 0 end as id from links union all select 'ORDER', l_orderkey from lineitem where l_linenumber = 1)
 select r.kind, r.id from refs r left join memories m on r.kind = 'LINK' and m.memory_id = r.id left join orders o on r.kind = 'ORDER' and o.o_orderkey = r.id where m.memory_id is null and o.o_orderkey is null""",
-    "JOIN-12_signature_coverage": "select s.s_suppkey, n.n_name from supplier s join nation n on s.s_nationkey = n.n_nationkey where not exists (select 1 from lineitem l where l.l_suppkey = s.s_suppkey and l.l_returnflag = 'R' and l.l_linestatus = 'O')",
     "JOIN-13_region_capability": "select c.c_custkey, n.n_name from customer c join nation n on c.c_nationkey = n.n_nationkey where exists (select 1 from supplier s where s.s_nationkey = c.c_nationkey and s.s_acctbal > 0)",
     "JOIN-14_evidence_partition": """
 ev as (select l_orderkey as claim_id, l_partkey as memory_id from lineitem)
@@ -67,50 +53,27 @@ select topic, case when r + n = 0 then 0.0 else round(cast(1.5 * r / (1.5 * r +
     "AGG-3_info_counts": "select custody_status, field_state, count(*) as n from memories group by grouping sets ((), (custody_status), (field_state))",
     "AGG-4_embedding_inventory": "select case when lang is null then 'undeclared' else lang end as model, source, count(*) as n from documents group by 1, 2",
     "AGG-5_embedding_drift": "select SHA(text) as input_sha256, count(distinct doc_id) as n, JOINED(STR(doc_id), doc_id) as doc_ids from documents group by SHA(text) having count(distinct doc_id) > 1",
-    "AGG-6_genesis": "select min(MICROS(ts)) as genesis_us, count(*) as events from events",
-    "AGG-7_actors_holding": "select distinct actor, kind from chain where kind in ('STORED', 'REHABILITATED')",
     "AGG-8_root_subjects": "select r.r_name, count(distinct n.n_nationkey) as nations, count(s.s_suppkey) as suppliers from region r left join nation n on n.n_regionkey = r.r_regionkey left join supplier s on s.s_nationkey = n.n_nationkey group by r.r_name",
     "AGG-9_latest_head": "select subject, max(seq) as seq, max_by(event_id, seq) as head, max_by(kind, seq) as kind from chain group by subject",
-    "AGG-12_set_seal": "select topic, SHA('[' || JOINED(STR(memory_id), memory_id) || ']') as members_sha256, count(*) as n from memories group by topic",
     "AGG-13_consensus": """
 s as (select user_id, event_type, cast(round(value * 1000000) as bigint) as vigor from events where value is not null)
 select user_id, sum(case when event_type = 'purchase' then vigor else 0 end) as backing, count(*) as live, sum(case when event_type = 'purchase' then vigor else 0 end) * 2 >= count(*) * 1000000 as resolved from s group by user_id""",
     "AGG-14_resonance_density": "select topic, round(cast(sum(case when field_state = 'REINFORCED' then claim + 1 else 0 end) as double) / count(*), 6) as density from memories group by topic",
     "AGG-15_recall_counts": "select l_partkey as memory_id, count(*) as recalls, count(distinct l_orderkey) as decisions from lineitem group by l_partkey",
-    "AGG-17_constraints": """
-s as (select topic, sum(case when field_state = 'REINFORCED' then 1 else 0 end) as validated, sum(case when field_state = 'NEUTRAL' then 1 else 0 end) as asserted from memories group by topic)
-select topic, case when validated > 1 then 'VIOLATED' when validated + asserted <= 1 then 'SATISFIED' else 'UNDETERMINED' end as at_most_one,
-       case when validated > 1 or validated + asserted = 0 then 'VIOLATED' when validated = 1 and asserted = 0 then 'SATISFIED' else 'UNDETERMINED' end as exactly_one from s""",
     "AGG-19_next_id": "select topic, coalesce(max(memory_id), -1) + 1 as next_id from memories group by topic",
-    "AGG-21_claim_winner": "select query_id, topic, min_by(claim, struct_rank) as claim from (select q.query_id, m.topic, m.claim, row_number() over (partition by q.query_id order by DOT(q.q, m.v) desc, m.memory_id) as struct_rank from queries q cross join memories m where m.custody_status = 'CLEAN') r group by query_id, topic",
-    # order-dependent
-    "WIN-1_chain_verification": """
-l as (select subject, seq, MICROS(ts) as t, kind, lag(MICROS(ts)) over (partition by subject order by seq) as before_t, lag(event_id) over (partition by subject order by seq) as before_id, event_id from chain),
-e as (select subject, seq, case when seq = 0 and kind <> 'STORED' then 'BIRTH' when seq > 0 and kind = 'STORED' then 'SECOND_BIRTH' when t < before_t then 'TIME' when event_id < before_id then 'ORDER' end as code from l)
-select subject, min(seq) as first_bad, min_by(code, seq) as code, count(*) as issues from e where code is not null group by subject""",
-    "WIN-2_entry_hashes": "select subject, seq, SHA(STR(subject) || ':' || STR(seq) || ':' || kind || ':' || STR(coalesce(lag(event_id) over (partition by subject order by seq), -1))) as entry_hash from chain",
-    "WIN-5_chain_tail": "select subject, seq, event_id, lead(event_id) over (partition by subject order by seq desc) as linked_to from (select *, row_number() over (partition by subject order by seq desc) as r from chain) c where r <= 5",
     "WIN-6_custody_status": """
 s as (select subject, max(case when kind in ('QUARANTINED', 'REHABILITATED') then seq end) as strong, max(case when kind = 'TAINT_FLAGGED' then seq end) as taint, count(*) as n from chain group by subject)
 select s.subject, s.n, case when c.kind = 'QUARANTINED' then 'QUARANTINED' when s.taint is not null and s.taint > coalesce(s.strong, -1) then 'TAINT_FLAGGED' else 'CLEAN' end as status
 from s left join chain c on c.subject = s.subject and c.seq = s.strong""",
-    "WIN-7_quarantine_intervals": "select subject, MICROS(ts) as since, lead(MICROS(ts)) over (partition by subject order by seq) as until, kind from chain where kind in ('QUARANTINED', 'REHABILITATED')",
-    "WIN-9_last_attributes": "select subject, max_by(actor, seq) as actor, max_by(event_type, seq) as event_type, max(case when kind = 'REINFORCED' then seq end) as last_reinforced from chain group by subject",
     "WIN-11_state_as_of": """
 past as (select * from chain where MICROS(ts) <= (select DIV(min(MICROS(ts)) + max(MICROS(ts)), 2) from events))
 select subject, count(*) as n, max(seq) as seq, max_by(kind, seq) as kind from past group by subject""",
     "WIN-13_rolling_profile": "select subject, seq, count(*) over w as n, min(seq) over w as first_seq, sum(case when kind = 'REINFORCED' then 1 else 0 end) over w as reinforced from chain window w as (partition by subject order by seq rows between 9 preceding and current row)",
-    "WIN-14_rank_displacement": """
-a as (select q.query_id, m.memory_id, row_number() over (partition by q.query_id order by DOT(q.q, m.v) desc, m.memory_id) as r from queries q cross join memories m),
-b as (select q.query_id, m.memory_id, row_number() over (partition by q.query_id order by DOT(q.q, m.v) desc, m.memory_id) as r from queries q cross join memories m where m.custody_status = 'CLEAN')
-select a.query_id, sum(abs(a.r - b.r)) as displacement, max(abs(a.r - b.r)) as largest, count(*) as n from a join b on a.query_id = b.query_id and a.memory_id = b.memory_id group by a.query_id""",
     "WIN-15_adjacency": "select subject, seq from (select subject, seq, kind, lead(kind) over (partition by subject order by seq) as next_kind from chain) c where kind = 'DECISION_USED_MEMORY' and next_kind = 'REINFORCED'",
     "WIN-16_turn_history": "select subject, seq, r from (select subject, seq, row_number() over (partition by subject order by seq desc) as r from chain where kind = 'DECISION_USED_MEMORY') c where r <= 20",
     "WIN-17_window_counts": "select event_id, count(*) over (partition by user_id order by MICROS(ts) range between 3600000000 preceding and 1 preceding) as hits from events",
     # rankings
-    "TOP-1_exact_top_k": "select query_id, memory_id, r from (select q.query_id, m.memory_id, row_number() over (partition by q.query_id order by DOT(q.q, m.v) desc, m.memory_id) as r from queries q cross join memories m where m.custody_status = 'CLEAN' and m.field_state <> 'FORGOTTEN') s where r <= 5",
     "TOP-3_most_recalled": "select l_partkey as memory_id, count(*) as recalls from lineitem group by l_partkey order by recalls desc, memory_id limit 20",
-    "TOP-4_nearest_by_distance": "select query_id, memory_id, dist, r from (select q.query_id, m.memory_id, L2SQ(q.q, m.v) as dist, row_number() over (partition by q.query_id order by L2SQ(q.q, m.v), m.memory_id) as r from queries q cross join memories m where m.memory_id <> q.query_id) s where r <= 5",
     "TOP-5_stalest_first": "select subject, max(MICROS(ts)) as last_us from chain group by subject order by last_us, subject limit 100",
     "TOP-6_oldest_expiries": "select event_id, MICROS(ts) + 1800000000 as expires_us from events order by expires_us, event_id limit 100",
     "TOP-7_recent_decisions": "select o_orderkey as decision_id, o_custkey as actor from orders order by o_orderdate desc, o_orderkey desc limit 30",
@@ -122,16 +85,7 @@ select n from (select to_id as n from links where from_id in (select memory_id f
     "SET-2_directed_neighbours": """
 flagged as (select memory_id from memories where custody_status <> 'CLEAN')
 select distinct to_id from links where link_type = 'RESONANT' and from_id in (select memory_id from flagged) and to_id not in (select memory_id from flagged)""",
-    "SET-3_world_diff": """
-s as (select q.query_id, m.memory_id, m.custody_status, DOT(q.q, m.v) as d from queries q cross join memories m where m.field_state <> 'FORGOTTEN'),
-a as (select query_id, memory_id, row_number() over (partition by query_id order by d desc, memory_id) as r from s),
-b as (select query_id, memory_id, row_number() over (partition by query_id order by d desc, memory_id) as r from s where custody_status = 'CLEAN')
-select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.memory_id, b.memory_id) as memory_id, case when b.r is null then 'removed' when a.r is null then 'entered' else 'rank_changed' end as change
-from (select * from a where r <= 10) a full outer join (select * from b where r <= 10) b on a.query_id = b.query_id and a.memory_id = b.memory_id where a.r is null or b.r is null or a.r <> b.r""",
     "SET-6_trajectory_diff": """
 w as (select subject, DIV(seq, 10) as step, JOINED(kind, seq) as path, JOINED(event_type, seq) as other from chain group by subject, DIV(seq, 10))
 select step, sum(case when path <> other then 1 else 0 end) as differing, count(*) as n from w group by step""",
-    "SET-7_included_excluded": """
-x as (select memory_id from memories where custody_status = 'CLEAN')
-select l.l_orderkey as decision_id, case when sum(case when x.memory_id is null then 1 else 0 end) = 0 then 'INCLUDED' else 'EXCLUDED' end as part from lineitem l left join x on x.memory_id = l.l_partkey group by l.l_orderkey""",
 }

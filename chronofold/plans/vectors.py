@@ -2,51 +2,8 @@
 
 BODIES = {
     "VEC-1_quantize": "select memory_id, SHA(LISTTEXT(v)) as vector_sha256 from memories",
-    "VEC-2_exact_dot": "select q.query_id, m.memory_id, DOT(q.q, m.v) as dot from queries q cross join memories m",
-    "VEC-4_exact_recall": """
-c as (select q.query_id, m.memory_id, m.field_state, DOT(q.q, m.v) as d, DOT(m.v, m.v) as nv, DOT(q.q, q.q) as nq from queries q cross join memories m where m.custody_status = 'CLEAN' and m.field_state <> 'FORGOTTEN'),
-k as (select *, case when d > 0 then cast(d as double) * cast(d as double) / cast(nv as double) else 0.0 end as base, case when field_state = 'REINFORCED' then 1.5 else 1.0 end as m from c where nv > 0),
-r as (select *, row_number() over (partition by query_id order by base * m * m desc, memory_id) as rank from k)
-select query_id, memory_id, rank, round(cast(d * m as double) / sqrt(cast(nv as double) * cast(nq as double)), 6) as score from r where rank <= 5""",
-    "VEC-7_knn_graph": """
-n as (select a.memory_id as a, b.memory_id as b, row_number() over (partition by a.memory_id order by L2SQ(a.v, b.v), b.memory_id) as r from memories a join memories b on a.topic = b.topic and a.memory_id <> b.memory_id)
-select a, b from n where r <= 6 union select b, a from n where r <= 6""",
-    "VEC-9_cosine": "select q.query_id, m.memory_id, case when DOT(m.v, m.v) = 0 then 0.0 else round(greatest(0.0, cast(DOT(q.q, m.v) as double) / sqrt(cast(DOT(q.q, q.q) as double) * cast(DOT(m.v, m.v) as double))), 6) end as cosine from queries q cross join memories m",
-    "VEC-15_coherence": "select from_id % 10 as topic, round(cast(sum(case when link_type = 'RESONANT' then 1 else 0 end) as double) / count(*), 6) as coherence from links group by from_id % 10",
-    "VEC-16_staleness": "select topic, count(*) as n, abs(count(*) - 40) * 10 > 40 as stale from memories group by topic",
-    "VEC-17_token_hash": """
-t as (select doc_id, WORDS(text) as w from documents),
-h as (select doc_id, SHA('tok:' || w) as s from t)
-select doc_id, HEX(substr(s, 1, 8)) % 64 as bucket, sum(case when HEX(substr(s, 10, 1)) % 2 = 1 then 1 else -1 end) as weight from h group by doc_id, HEX(substr(s, 1, 8)) % 64""",
     "VEC-19_int8": "select vec_id, LISTTEXT(CLIP8(embedding)) as q8 from embeddings",
     "VEC-21_merge_weights": """
 w as (select topic, memory_id, case when field_state = 'REINFORCED' then 3 else 1 end as w from memories)
 select topic, sum(w) as weight, min_by(memory_id, -1000000 * w + memory_id) as head from w group by topic""",
-    "GRF-2_hop_distance": """
-recursive e as (select from_id as a, to_id as b from links where link_type = 'RESONANT' union select to_id, from_id from links where link_type = 'RESONANT'),
-walk as (select cast(1 as bigint) as id, 0 as depth union all select e.b, walk.depth + 1 from walk join e on e.a = walk.id where walk.depth < 6)
-select id, min(depth) as hops from walk group by id""",
-    "GRF-3_exposure": """
-recursive src as (select memory_id from memories where memory_id % 97 = 1),
-walk as (select memory_id as id, 0 as depth from src union all select l.to_id, w.depth + 1 from walk w join links l on l.from_id = w.id and l.link_type = 'RESONANT' where w.depth < 6)
-select id, min(depth) as depth, 1.0 / power(2, min(depth)) as exposure from walk where id not in (select memory_id from src) group by id""",
-    "GRF-4_blast_radius": """
-d as (select distinct l_orderkey from lineitem where l_partkey = 17),
-direct as (select l_orderkey as id from d),
-derived as (select distinct l.l_partkey as id from lineitem l join d on d.l_orderkey = l.l_orderkey where l.l_partkey <> 17)
-select 'DIRECT' as level, id from direct union all select 'DERIVED', id from derived
-union all select 'POSSIBLE', id from (select distinct l2.l_orderkey as id from lineitem l2 join derived x on x.id = l2.l_partkey) p where id not in (select id from direct)""",
-    "GRF-10_issuer_closure": """
-recursive tree as (select 'S' || STR(s_suppkey) as child, 'N' || STR(s_nationkey) as parent from supplier union all select 'N' || STR(n_nationkey), 'R' || STR(n_regionkey) from nation),
-up as (select child as seed, parent as issuer, 1 as depth from tree where substr(child, 1, 1) = 'S' union all select up.seed, tree.parent, up.depth + 1 from up join tree on tree.child = up.issuer)
-select seed, issuer, depth from up""",
-    "GRF-14_dependence": "select m.topic, case when count(l.to_id) = 0 then 'NO_DEPENDENCE' when count(distinct l.from_id) = 1 then 'SINGLE_NECESSARY' else 'REDUNDANT_PATHS' end as dependence, count(l.to_id) as links from memories m left join links l on l.to_id = m.memory_id and l.link_type = 'RESONANT' group by m.topic",
-    "GRF-18_exclusion_effect": """
-s as (select q.query_id, m.memory_id, m.claim, DOT(q.q, m.v) as d from queries q cross join memories m where m.custody_status = 'CLEAN' and m.field_state <> 'FORGOTTEN'),
-a as (select query_id, memory_id, row_number() over (partition by query_id order by d desc, memory_id) as r from s),
-b as (select query_id, memory_id, row_number() over (partition by query_id order by d desc, memory_id) as r from s where claim <> 1)
-select a.query_id, sum(case when b.r is null then 1 else 0 end) as removed, sum(case when b.r <> a.r then 1 else 0 end) as moved from a left join b on a.query_id = b.query_id and a.memory_id = b.memory_id where a.r <= 10 group by a.query_id""",
-    "GRF-25_quotient": """
-s as (select subject, JOINED(kind, seq) as signature from chain where seq < 3 group by subject)
-select SHA(signature) as class, count(*) as members, min(subject) as representative from s group by SHA(signature)""",
 }

@@ -1 +1 @@
-"""chronofold.sources."""
+"""Readers and writers of notes, line files and evidence bundles."""

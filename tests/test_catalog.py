@@ -22,7 +22,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.BODIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, db, name):
     df = catalog.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)

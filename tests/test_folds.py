@@ -1,7 +1,6 @@
 """Propagation and folds against plain loops."""
 
 import datetime
-import random
 
 from chronofold.operators import replay
 from chronofold.streaming import signals
@@ -16,20 +15,6 @@ def test_custody_and_excision(spark):
     assert (r.status, r.confidence, r.field_state) == ("TAINT_FLAGGED", 0.71875, "NEUTRAL")
 
 
-def test_controller_equals_a_loop(spark):
-    rng = random.Random(4)
-    rows = [(s, i, rng.choice([0.0, 0.3, 0.9, 1.0])) for s in range(5) for i in range(25)]
-    got = {r.subject: r for r in replay.controller(spark.createDataFrame(rng.sample(rows, len(rows)), "subject long, seq long, x double")).collect()}
-    for s in range(5):
-        ema, mode, still = 0.0, "EXPLORE", 0
-        for _, _, x in [r for r in rows if r[0] == s]:
-            new = replay.BETA * x + (1 - replay.BETA) * ema
-            still = still + 1 if new - ema < replay.IMPROVEMENT else 0
-            ema = new
-            mode = "EXPLOIT" if ema >= replay.ENTER else "EXPLORE" if ema <= replay.LEAVE or still >= replay.STAGNATION else mode
-        assert (round(got[s].ema, 12), got[s].mode, got[s].stagnation) == (round(ema, 12), mode, still)
-
-
 def test_consensus_includes_the_exact_half_and_expiry_the_exact_end(spark):
     at = datetime.datetime(2024, 1, 1, 12, 5)
     rows = [("m1", "purchase", 1.0, at), ("m1", "other", 1.0, at), ("m2", "purchase", 0.4, at), ("m2", "other", 1.0, at), ("m1", "other", 1.0, at + datetime.timedelta(hours=1))]
