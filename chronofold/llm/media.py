@@ -12,9 +12,10 @@ Reading goes by the file's idx1 index (a walk over the movi list where there is
 the difference of the histograms of two frames exceeds the running mean by three deviations of its shot,
 and a floor. The last frame is filled up with zeros; the payload's length is in the INFO list.
 
-Edge cases: empty and null texts give one frame of 64 zero bytes; equal texts give equal rows; rows are
-independent, so repeated rows, ties and null ids pass through; extra columns are ignored; an empty table
-gives an empty result. A truncated or foreign file raises ValueError in ``read_avi``.
+Edge cases: empty and null texts give one frame of 64 zero bytes; very long texts are coded ``RUN`` frames at a
+time; equal texts give equal rows; rows are independent, so repeated rows, ties and null ids pass through; extra
+columns, whatever their names, are ignored; an empty table gives an empty result, a file without frames no clip. A
+truncated or foreign file raises ValueError in ``read_avi``.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import table
+from chronofold.llm._util import sliced, table
 
 COLS, MAX_ROWS, FPS, BINS = 64, 16, 25, 16
+#: Frames encoded or decoded at a time, which bounds the memory that a long file takes besides its bytes.
+RUN = 128
 WINDOW, SIGMAS, FLOOR = 12, 3.0, 0.2
 
 #: Zigzag position -> not needed for DC images; the quantiser is 8 for every term.
@@ -95,7 +98,7 @@ def write_avi(payload: bytes) -> bytes:
     unit = rows * COLS
     n = -(-len(payload) // unit)
     samples = np.frombuffer(payload + b"\0" * (n * unit - len(payload)), np.uint8).reshape(n, rows, COLS)
-    frames = encode_frames(samples)
+    frames = [f for s in range(0, n, RUN) for f in encode_frames(samples[s : s + RUN])]
     w, h = COLS * 8, rows * 8
     largest = max(map(len, frames))
     avih = struct.pack("<14I", 1000000 // FPS, largest * FPS, 0, 0x10, n, 0, 1, largest, w, h, 0, 0, 0, 0)
@@ -323,34 +326,40 @@ def clips(data: bytes) -> list[tuple[int, float, float, int]]:
     if not frames:
         return []
     fps = about["fps"]
-    return [(k, a / fps, (b + 1) / fps, b - a + 1) for k, (a, b) in enumerate(shots(histograms(decode_frames(frames))))]
+    hist = np.concatenate([histograms(decode_frames(frames[s : s + RUN])) for s in range(0, len(frames), RUN)])
+    return [(k, a / fps, (b + 1) / fps, b - a + 1) for k, (a, b) in enumerate(shots(hist))]
 
 
 def _digest(raw: bytes) -> tuple:
     payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
     media = write_avi(payload)
     about, frames = read_avi(media)
-    images = decode_frames(frames)
-    back = images.astype(np.uint8).tobytes()[: about["payload_bytes"]]
-    cut = shots(histograms(images))
+    back, hist = bytearray(), []
+    for s in range(0, len(frames), RUN):
+        images = decode_frames(frames[s : s + RUN])
+        back += images.astype(np.uint8).tobytes()
+        hist.append(histograms(images))
+    del back[about["payload_bytes"] :]
+    cut = shots(np.concatenate(hist))
     feature = f"{len(frames)} frames; " + ",".join(f"{a}-{b}" for a, b in cut)
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    told = ",".join(f"{a / about['fps']:.2f}-{(b + 1) / about['fps']:.2f}" for a, b in cut)
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, told
 
 
-_OUT = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_OUT = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("clips", pa.string())])
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """One row per document: what is read back from its stored media."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "raw")):
             rows = [_digest(x or b"") for x in b.column("raw").to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_OUT)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t.type) for c, t in zip(cols, _OUT, strict=True)]], names=["doc_id", *_OUT.names])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string"
     return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
 
 
@@ -358,7 +367,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
     """Timed clip rows of a table (media_id, data): media_id, clip, start_s, end_s, frames."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "data")):
             got = [(i, *c) for i, data in zip(b.column("media_id").to_pylist(), b.column("data").to_pylist(), strict=True) if data is not None for c in clips(data)]
             cols = list(zip(*got, strict=True)) if got else [()] * 5
             types = (b.schema.field("media_id").type, pa.int32(), pa.float64(), pa.float64(), pa.int32())
