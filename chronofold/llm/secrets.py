@@ -2,17 +2,23 @@
 
 Base spans, leftmost and non-overlapping per kind: assign, access, hex (see ``BASE``). Further candidates
 are runs of 20 or more characters of base64 or base64url that overlap no base span. For each, the encoding
-is inferred from its characters, and the run is tested against a uniform draw from that alphabet: a
-chi-squared test of the character counts, a runs test about the middle of the alphabet and a test of the
-serial correlation of alphabet positions. A run that none of them rejects is compared with running text:
-under the letter frequencies of all candidate runs made of letters, the chi-squared statistic of a text of
-the same length has a known mean and variance, which gives the probability that text looks as even. These
-probabilities are controlled by Benjamini and Hochberg's procedure, in classes of length over the whole
-corpus, on a grid of logarithms of fixed size. Survivors are spans of kind ``random``.
-
-Offsets are code points, ends exclusive. Edge cases: null and empty texts have no spans, zero counts and
-the hash of the empty string; rows are independent, so repeated rows and ids give repeated results; ties at
-the threshold are kept together; extra columns are ignored; an empty table gives an empty result.
+is inferred from its characters, and three statistics are taken of it: chi-squared of the character counts,
+runs (changes of class or half of the alphabet) and serial dependence of neighbours.
+
+Against a uniform draw from the alphabet, a run that any of the three rejects at ``REJECT`` is regular (one
+character over and over, an ordered alphabet) and no candidate. Against running text, each statistic has a
+mean and variance by the shorter tokens of all documents: the evenness of a text of that length under their
+letter frequencies, changes between lower case, upper case and digits at their rate, and the log-likelihood of
+pairs of neighbours under their transitions (case folded, digits as one). The three deviations are combined by
+Stouffer's method, with correlation ``TIED`` between tests, to the probability that text looks so random.
+These probabilities are controlled by Benjamini and Hochberg's procedure, in classes of length over the whole
+corpus, on a grid of logarithms of fixed size. Survivors are spans of kind ``random``. Decimal runs are no
+candidates: plain numbers look as random as drawn ones.
+
+Offsets are code points, ends exclusive. Edge cases: null and empty texts have no spans, zero counts and the
+hash of the empty string; very long texts are read whole, in time in proportion to their length; rows are
+independent but for the corpus statistics, so repeated rows and ids give repeated results; ties at the threshold
+are kept together; extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,31 +50,46 @@ ENCODINGS = {
     "base36_upper": ("^[A-Z0-9]+$", DIGITS + UPPER),
     "base64": ("", UPPER + LOWER + DIGITS + "+/"),
 }
-LETTER_KINDS = ("lower", "upper", "letters")
-REJECT, FDR, GRID = 0.001, 0.01, 20
+#: Encodings of one class of characters, whose changes of class say nothing.
+ONE_CLASS = ("decimal", "lower", "upper")
+REJECT, FDR, GRID, TIED = 0.001, 0.01, 20, 0.5
 #: Share of characters of running text that are not letters, in encodings that have others.
 OTHER = 0.1
+FOLD = 256
+TOKEN, SHORTER = r"[A-Za-z0-9]{2,}", 20
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, end, kind>> of the matches whose group has the least length."""
+    """array<struct<start, end>> of the matches whose group has the least length.
+
+    Offsets are running sums of the lengths of gaps and matches: folds over blocks of ``FOLD`` matches, then a fold
+    over the blocks, so that many matches of one text do not cost their square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).alias("at"),
-            F.when(
-                F.length(F.element_at(counted, i)) >= least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.element_at(gaps, i))).alias("start"), (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).alias("end")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,n:int>>")
+    sizes = F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"))), counted, lambda x, c: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), F.length(c).alias("n")))
+
+    def block(part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            span = F.struct(start.alias("start"), (start + x["own"]).alias("end"), x["n"].alias("n"))
+            return F.struct((start + x["own"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLD).cast("int")), lambda i: block(F.slice(sizes, i * FOLD + 1, F.lit(FOLD))))
+
+    def follow(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    def shifted(x: Column, by: Column) -> Column:
+        return F.transform(x["out"], lambda y: F.struct((y["start"] + by).alias("start"), (y["end"] + by).alias("end"), y["n"].alias("n")))
+
+    starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), follow, lambda acc: acc["starts"])
+    spans = F.filter(F.flatten(F.zip_with(blocks, starts, shifted)), lambda y: y["n"] >= least)
+    kept = F.transform(spans, lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end")))
+    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def phi(z: Column) -> Column:
@@ -119,30 +140,68 @@ def length_class(n: Column) -> Column:
     return F.when(n < 24, 0).otherwise(1 + F.floor(2 * F.log2(n / 24.0 + 1e-9)).cast("int"))
 
 
-def evenness(tested: DataFrame) -> DataFrame:
-    """Adds p_text, the probability that running text of this length is as even as the run."""
-    letters = tested.where(F.col("encoding").isin(*LETTER_KINDS)).select(F.explode(F.split(F.lower("run"), "")).alias("c")).where(F.col("c").rlike("[a-z]")).groupBy("c").agg(F.count("*").alias("o"))
-    # 26 letters at most; a letter never seen counts half
-    freq = letters.agg(F.sum("o").alias("t"), F.count("*").alias("d"), F.sum(F.pow("o", F.lit(2.0))).alias("s2"), F.sum(F.pow("o", F.lit(3.0))).alias("s3"))
-    q2 = F.coalesce(F.col("s2") / F.pow("t", F.lit(2.0)), F.lit(0.065))
-    q3 = F.coalesce(F.col("s3") / F.pow("t", F.lit(3.0)), F.lit(0.0055))
-    df = tested.crossJoin(F.broadcast(freq.select(q2.alias("q2"), q3.alias("q3"))))  # one row
+class Text:
+    """What running text looks like, by the counts of pairs of neighbours in its tokens."""
+
+    def __init__(self, pairs: dict[str, int]):
+        import math
+
+        symbols = LOWER + "0"
+        fold = lambda c: "0" if c in DIGITS else c.lower()
+        kind = lambda c: (c in DIGITS) + 2 * (c in UPPER)
+        n = {a: dict.fromkeys(symbols, 0.5) for a in symbols}
+        for p, c in pairs.items():
+            n[fold(p[0])][fold(p[1])] += c
+        total = sum(sum(x.values()) for x in n.values())
+        self.log = {a + b: math.log(n[a][b] / sum(n[a].values())) for a in symbols for b in symbols}
+        share = {a + b: n[a][b] / total for a in symbols for b in symbols}
+        self.mean = sum(share[p] * self.log[p] for p in share)
+        self.variance = sum(share[p] * (self.log[p] - self.mean) ** 2 for p in share)
+        changes = sum(c for p, c in pairs.items() if kind(p[0]) != kind(p[1]))
+        self.changes = min(0.5, max(0.05, changes / max(1, sum(pairs.values()))))
+        first = {a: sum(n[a].values()) for a in LOWER}
+        letters = sum(first.values())
+        self.q2, self.q3 = (sum((x / letters) ** k for x in first.values()) for k in (2, 3))
+
+
+def text_model(docs: DataFrame) -> Text:
+    """From all tokens of all documents that are too short to be candidates; 62 x 62 counts at most come to the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))).alias("w")).where(F.length("w") < SHORTER)
+    pairs = words.groupBy("w").agg(F.count("*").alias("c")).select("c", F.explode(F.regexp_extract_all("w", F.lit("(?=(..))"), F.lit(1))).alias("p"))
+    return Text({r["p"]: r["c"] for r in pairs.groupBy("p").agg(F.sum("c").alias("c")).collect()})
+
+
+def against_text(tested: DataFrame, model: Text) -> DataFrame:
+    """Adds z_even, z_runs, z_serial (positive: less like text) and p_text, which combines them."""
     others = _by_encoding(F.col("encoding"), lambda _, a: F.lit(float(sum(c not in UPPER + LOWER for c in a))))
     share = F.when(others > 0, F.lit(1 - OTHER)).otherwise(1.0)
-    s2 = share * share * F.col("q2") + F.when(others > 0, OTHER * OTHER / others).otherwise(0.0)
-    s3 = share * share * share * F.col("q3") + F.when(others > 0, OTHER**3 / (others * others)).otherwise(0.0)
+    s2 = share * share * model.q2 + F.when(others > 0, OTHER * OTHER / others).otherwise(0.0)
+    s3 = share * share * share * model.q3 + F.when(others > 0, OTHER**3 / (others * others)).otherwise(0.0)
     n, k = F.col("n"), F.col("k")
     # moments of the number of equal pairs of characters in a draw from these frequencies
     mean = k * ((n - 1) * s2 + 1) - n
     pairs = n * (n - 1) / 2
     variance = pairs * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2)
-    return df.withColumn("p_text", phi((F.col("x2") - mean) / (2 * k / n * F.sqrt(F.greatest(variance, F.lit(1e-9)))))).drop("q2", "q3")
-
-
-def discoveries(tested: DataFrame) -> DataFrame:
+    df = tested.withColumn("z_even", (mean - F.col("x2")) / (2 * k / n * F.sqrt(F.greatest(variance, F.lit(1e-9)))))
+    near = F.regexp_extract_all("run", F.lit("(?=([A-Za-z0-9]{2}))"), F.lit(1))
+    df = df.withColumn("near", near).withColumn("m", F.size("near").cast("double"))
+    kinds = F.translate("run", LOWER + UPPER + DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
+    changes = F.size(F.regexp_extract_all(kinds, F.lit("(?=(aA|Aa|a0|0a|A0|0A))"), F.lit(1))).cast("double")
+    r = model.changes
+    df = df.withColumn("z_runs", F.when((F.col("m") > 0) & ~F.col("encoding").isin(*ONE_CLASS), (changes - 0.5 - F.col("m") * r) / F.sqrt(F.col("m") * r * (1 - r))))
+    logs = F.create_map(*[F.lit(x) for p, v in model.log.items() for x in (p, v)])
+    total = F.aggregate("near", F.lit(0.0), lambda a, p: a + F.element_at(logs, F.translate(F.lower(p), DIGITS, "0" * 10)))
+    df = df.withColumn("z_serial", F.when(F.col("m") > 0, (F.col("m") * model.mean - total) / F.sqrt(F.col("m") * max(model.variance, 1e-9))))
+    tests = F.filter(F.array("z_even", "z_runs", "z_serial"), lambda z: z.isNotNull())
+    many = F.size(tests)
+    z = F.aggregate(tests, F.lit(0.0), lambda a, z: a + z) / F.sqrt(many + many * (many - 1) * F.lit(TIED))
+    return df.withColumn("p_text", F.when(F.col("encoding") == "decimal", F.lit(1.0)).otherwise(phi(-z))).drop("near", "m")
+
+
+def discoveries(tested: DataFrame, model: Text) -> DataFrame:
     """Rows that no test rejects as a uniform draw and that stay under the false-discovery rate of their length class."""
     alpha = F.lit(REJECT)
-    df = materialize(evenness(tested).select("row", "start", "end", "run", "n", "p_chi", "p_runs", "p_serial", "p_text")).withColumn("length_class", length_class(F.col("n")))
+    df = materialize(against_text(tested, model).select("row", "start", "end", "run", "n", "p_chi", "p_runs", "p_serial", "p_text")).withColumn("length_class", length_class(F.col("n")))
     df = df.withColumn("p", F.when((F.col("p_chi") >= alpha) & (F.col("p_runs") >= alpha) & (F.col("p_serial") >= alpha), F.col("p_text")).otherwise(1.0))
     df = df.withColumn("bin", F.floor(-F.log10(F.greatest("p", F.lit(1e-20))) * GRID).cast("int"))
     bins = df.groupBy("length_class", "bin").agg(F.count("*").alias("c"))  # at most 401 bins a class
@@ -173,7 +232,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = materialize(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_sort("base").alias("base"), "free"))
     runs = found.where(F.size("free") > 0).select("row", F.explode("free").alias("f")).select("row", "f.*")
     tested = materialize(battery(runs))
-    more = discoveries(tested).groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(BASE)).alias("rank"), F.col("end"), F.lit("random").alias("kind"))).alias("more"))
+    more = discoveries(tested, text_model(df)).groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(BASE)).alias("rank"), F.col("end"), F.lit("random").alias("kind"))).alias("more"))
     out = found.join(more, "row", "left")
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", empty))).alias("spans"))
