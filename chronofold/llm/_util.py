@@ -80,32 +80,47 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.join(F.broadcast(before), "_pid").withColumn(name, F.col("_rn") + F.col("_before")).drop("_pid", "_rn", "_before")
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows (written and read) numbered from 0 within their keys; a key's rows stay in many tasks.
+
+    Which of a key's rows gets which number depends on the partitions: for rows that are alike.
+    """
+    dealt = materialize(df.withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sums = dealt.groupBy(*keys, "__pid").agg(F.count("*").alias("__n"))
+    before = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__pid").alias("__of"), (F.sum("__n").over(W.partitionBy(*keys).orderBy("__pid")) - F.col("__n")).alias("__before"))
+    local = dealt.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__pid").orderBy("__at")) - 1)
+    same = F.col("__pid") == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return local.join(before, same).select(*df.columns, (F.col("__rn") + F.col("__before")).alias(name))
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int = 1 << 25) -> DataFrame:
     """Rows whose key may be among ``keys`` (own): all that are, and by a bitmap of bounded size few others.
 
     The bitmap (bits / 8 bytes at most, in pieces of 4 KB) is broadcast, so that a join that follows need
     not shuffle rows without a partner.
     """
-    return _by_bitmap(df, key, keys, own, bits).where("_hit").select(*df.columns)
+    return by_bitmap(df, key, keys, own, bits).where("hit").select("row.*")
 
 
 def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of df but those of ``gone`` (doc_id, txh: the hash of the text); only rows that may be among them are shuffled."""
-    txh = F.xxhash64(F.col("text").cast("string"))
-    told = _by_bitmap(df, txh, gone, F.col("txh"), 1 << 25).withColumn("_txh", txh)
-    g = gone.select(F.col("doc_id").alias("_id"), F.col("txh").alias("_gone")).distinct()
-    kept = told.where("_hit").join(g, (F.col("_txh") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return told.where("not _hit").select(*df.columns).unionByName(kept.select(*df.columns))
+    told = by_bitmap(df, F.xxhash64(F.col("text").cast("string")), gone, F.col("txh"))
+    g = gone.select(F.col("doc_id").alias("id"), F.col("txh")).distinct()
+    kept = told.where("hit").join(g, (F.xxhash64(F.col("row")["text"].cast("string")) == F.col("txh")) & F.col("row")["doc_id"].eqNullSafe(F.col("id")), "left_anti")
+    return told.where("not hit").select("row.*").unionByName(kept.select("row.*"))
 
 
-def _by_bitmap(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int) -> DataFrame:
+def by_bitmap(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int = 1 << 25) -> DataFrame:
+    """row (all columns of df, whatever their names) and hit, whether its key may be among ``keys`` (own)."""
     spot = F.pmod(F.xxhash64(own), F.lit(bits)) + 1
-    maps = keys.select(spot.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_map"))
-    here = df.withColumn("_v", F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumn("_bucket", F.bitmap_bucket_number("_v"))
-    at = F.bitmap_bit_position("_v")
-    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)), F.lit(False))
-    return here.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, hit.alias("_hit"))
+    maps = keys.select(spot.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("map"))
+    here = df.select(F.struct(*df.columns).alias("row"), (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("v"))
+    here = here.select("row", F.bitmap_bit_position("v").alias("at"), F.bitmap_bucket_number("v").alias("bucket"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.lit(1) == F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(F.lit(1)), F.lit(False))
+    return here.join(F.broadcast(maps), "bucket", "left").select("row", hit.alias("hit"))
 
 
 def find(parent: dict, x):

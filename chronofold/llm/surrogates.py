@@ -5,7 +5,9 @@ a title. An entity is replaced by a keyed permutation of the values of its forma
 class (digit; lower or upper case of their script; punctuation stays), address octets stay octets, card and
 IBAN check digits are made anew with the validity that they had, given names go to given names of the same
 gender. As permutations, they keep different entities different, and the same entity gets the same
-surrogate everywhere (coreference), a surname also without its given name.
+surrogate everywhere (coreference): a surname also without its given name, a number however it is spaced or
+punctuated, with or without its country code, a name or address in whatever case. The layout and the case of
+each place stay.
 
 Collision check over the whole corpus: a surrogate that is itself an entity of the corpus would tie two
 people together, so its entity tries further permutations until its surrogate is neither an entity nor the
@@ -15,8 +17,12 @@ name gets one of them. Only entities that need more than the first permutation a
 are replaced where they stand. A format with fewer values than its entities and their surrogates need
 raises a ValueError (as with 339 surnames of two letters, of 676).
 
-Edge cases: null texts stay null with no entities; empty texts stay empty; repeated rows get equal
-results; values outside any format stay; other columns are ignored; an empty table gives an empty result.
+The key is an argument: whoever knows it can invert the permutations.
+
+Edge cases: null texts stay null with no entities; empty texts stay empty; very long texts are read whole, about
+1 MB of texts at a time; two surrogates that tie on a free value go by the number of the permutation, then the
+entity; repeated rows get equal results; values outside any format stay; null ids pass through; other columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import _by_bitmap, materialize, table
+from chronofold.llm._util import by_bitmap, materialize, sliced, table
 
-KEY = b"chronofold surrogates"
 #: After SINGLE permutations one by one, each round tries twice as many as the last, WIDEST at most.
 ROUNDS, SINGLE, WIDEST = 8, 8, 256
 #: Fixed lists of given names by gender.
@@ -110,26 +115,51 @@ def _fill(layout: str, digits: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in layout)
 
 
-def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
-    """One step of the permutation of the values of a kind and format."""
+def _lead(phone: str) -> int:
+    """Where the number after the country code begins."""
+    m = re.match(r"\+\d{1,3}(?=[ .(-])", phone)
+    return m.end() if m else 0
+
+
+def canonical(kind: str, value: str) -> str:
+    """What all spellings of an entity have in common."""
+    if kind == "phone":
+        return re.sub(r"\D", "", value[_lead(value) :])
+    if kind == "card":
+        return re.sub(r"\D", "", value)
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "email":
+        return value.lower()
+    return value[:1] + value[1:].lower() if kind in ("given", "surname") else value
+
+
+def rendered(kind: str, value: str, new: str) -> str:
+    """The surrogate in the layout and case of the value."""
+    if kind == "phone":
+        return value[: _lead(value)] + _fill(value[_lead(value) :], new)
+    if kind in ("card", "iban"):
+        return _fill(value, new)
+    if kind == "email" or kind in ("given", "surname") and not value[1:].islower():
+        upper = value.isupper()
+        return "".join(c.upper() if upper or i < len(value) and value[i].isupper() else c for i, c in enumerate(new))
+    return new
+
+
+def surrogate(kind: str, value: str, key: bytes) -> str:
+    """One step of the permutation of the values of a kind and format (in canonical form)."""
     if kind == "ip":
         return ".".join(map(str, _feistel([int(x) for x in value.split(".")], [256] * 4, key, "ip")))
     if kind == "card":
-        d = re.sub(r"\D", "", value)
-        new = _spelled(d[:-1], key, f"card{len(d)}")
-        return _fill(value, new + str((luhn(new) + int(d[-1]) - luhn(d[:-1])) % 10))
+        new = _spelled(value[:-1], key, f"card{len(value)}")
+        return new + str((luhn(new) + int(value[-1]) - luhn(value[:-1])) % 10)
     if kind == "iban":
-        d = value.replace(" ", "")
-        new = _spelled(d[4:], key, f"iban{d[:2]}")
-        return _fill(value, f"{d[:2]}{iban_check(d[:2], new):02d}{new}")
+        new = _spelled(value[4:], key, f"iban{value[:2]}")
+        return f"{value[:2]}{iban_check(value[:2], new):02d}{new}"
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         labels = domain.rsplit(".", 1)
         return f"{_spelled(local, key, 'local')}@{_spelled(labels[0], key, 'domain')}.{labels[1]}"
-    if kind == "phone":
-        lead = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-        n = lead.end() if lead else 0
-        return value[:n] + _spelled(value[n:], key, "phone")
     if kind == "given":
         gender, name = value.split(":", 1)
         names = FEMALE if gender == "f" else MALE
@@ -146,17 +176,14 @@ def room(kind: str, value: str) -> tuple[str, int]:
         return "", 256**4
     form, spelled = _form(value), value
     if kind == "card":
-        spelled = re.sub(r"\D", "", value)[:-1]
+        spelled = value[:-1]
         form += f"/{(int(value[-1]) - luhn(spelled)) % 10}"
     elif kind == "iban":
-        spelled = value.replace(" ", "")[4:]
+        spelled = value[4:]
         form = value[:2] + form[2:]
     elif kind == "email":
         spelled, _, last = value.rpartition(".")
         form = f"{_form(spelled)}.{last}"
-    elif kind == "phone" and (lead := re.match(r"\+\d{1,3}(?=[ .(-])", value)):
-        spelled = value[lead.end() :]
-        form = lead[0] + _form(spelled)
     return form, min(math.prod(len(CLASS[c][0]) for c in spelled if c in CLASS), 1 << 62)
 
 
@@ -170,17 +197,18 @@ def valid(kind: str, value: str) -> bool:
 def parts(kind: str, value: str) -> list[tuple[str, str, int, int]]:
     """(kind, entity, start, end) of what is replaced in a match: an address as a whole, a name by its words."""
     if kind != "name":
-        return [(kind, value, 0, len(value))]
+        return [(kind, canonical(kind, value), 0, len(value))]
     title, rest = value.split(" ", 1)
     gender = TITLES[title.rstrip(".")]
     words, at = rest.split(" "), len(title) + 1
     out = []
     for i, w in enumerate(words):
         if len(words) == 2 and i == 0:
-            g = gender or ("f" if w in FEMALE else "m" if w in MALE else "")
-            out.append(("given", f"{g}:{w}", at, at + len(w)))
+            name = canonical("given", w)
+            g = gender or ("f" if name in FEMALE else "m" if name in MALE else "")
+            out.append(("given", f"{g}:{name}", at, at + len(w)))
         else:
-            out.append(("surname", w, at, at + len(w)))
+            out.append(("surname", canonical("surname", w), at, at + len(w)))
         at += len(w) + 1
     return out
 
@@ -201,7 +229,7 @@ def _nth(key: bytes, n: int) -> bytes:
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def replaced(kind: str, value: str, n: int, key: bytes = KEY) -> str:
+def replaced(kind: str, value: str, n: int, key: bytes) -> str:
     """The surrogate by the n-th permutation."""
     return surrogate(kind, value, _nth(key, n))
 
@@ -210,7 +238,7 @@ def _found(docs: DataFrame) -> DataFrame:
     """txh, kind, entity of the entities of each text."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "text")):
             got = [(t, k, e) for t, text in zip(b.column("txh").to_pylist(), b.column("text").to_pylist(), strict=True) for k, e in {(k, e) for k, e, _, _ in entities(text)}]
             cols = list(zip(*got, strict=True)) if got else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["txh", "kind", "entity"])
@@ -271,25 +299,25 @@ def _tries(found: DataFrame, key: bytes) -> DataFrame:
     return materialize(real.where("own").join(out.withColumnRenamed("entity", "s"), ["kind", "s"]).select("kind", "entity", "n"))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, n_entities, spans (kind:start:end, of the original text) and the text with surrogates."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("txh"))
     found = _found(docs)
     far = _tries(found, key)
     exact = materialize(found.join(far, ["kind", "entity"]).groupBy("txh").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "entity"), "n"))).alias("tries")))
-    told = _by_bitmap(docs, F.col("txh"), exact, F.col("txh"), 1 << 25)
+    told = by_bitmap(docs, F.col("txh"), exact, F.col("txh"))
     none = F.lit(None).cast("map<string,int>")
-    ready = told.where("not _hit").withColumn("tries", none).drop("_hit").unionByName(told.where("_hit").drop("_hit").join(exact, "txh", "left").select("doc_id", "text", "txh", "tries"))
+    ready = told.where("not hit").select("row.*", none.alias("tries")).unionByName(told.where("hit").select("row.*").join(exact, "txh", "left").select("doc_id", "text", "txh", "tries"))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "text")):
             counts, spans, texts = [], [], []
             for text, tries in zip(b.column("text").to_pylist(), b.column("tries").to_pylist(), strict=True):
                 got, tries = entities(text), dict(tries or [])
                 out, at = [], 0
                 for k, e, s, t in got:
                     new = replaced(k, e, tries.get(f"{k}:{e}", 1), key)
-                    out += [text[at:s], new.split(":", 1)[1] if k == "given" else new]
+                    out += [text[at:s], rendered(k, text[s:t], new.split(":", 1)[1] if k == "given" else new)]
                     at = t
                 counts.append(len(got))
                 spans.append(",".join(f"{k}:{s}:{t}" for k, _, s, t in got))
@@ -301,4 +329,6 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    """With the key of the session's chronofold.surrogates.key, or one for demonstration only."""
+    key = spark.conf.get("chronofold.surrogates.key", "for demonstration only")
+    return pseudonymise(table(spark, sf_dir, "documents"), key.encode())

@@ -153,16 +153,16 @@ def test_pieces_equal_the_library():
 
 
 def test_surrogates_are_one_to_one():
-    assert len({surrogates.surrogate("ssn", f"{i:03d}-12-3456") for i in range(1000)}) == 1000
-    card = surrogates.surrogate("card", "4111 1111 1111 1111")
+    assert len({surrogates.surrogate("ssn", f"{i:03d}-12-3456", b"k") for i in range(1000)}) == 1000
+    card = surrogates.rendered("card", "4111 1111 1111 1111", surrogates.surrogate("card", "4111111111111111", b"k"))
     d = card.replace(" ", "")
     assert len(d) == 16 and surrogates.luhn(d[:-1]) == int(d[-1]) and card[4] == " "
-    assert surrogates.surrogate("given", "f:Anna")[2:] in surrogates.FEMALE
+    assert surrogates.surrogate("given", "f:Anna", b"k")[2:] in surrogates.FEMALE
 
 
 def test_surrogate_collisions_are_resolved(spark):
-    first = surrogates.surrogate("ip", "1.2.3.4")
-    got = surrogates.pseudonymise(docs(spark, [(1, "ip 1.2.3.4"), (2, f"ip {first}"), (3, None), (4, "")])).collect()
+    first = surrogates.surrogate("ip", "1.2.3.4", b"k")
+    got = surrogates.pseudonymise(docs(spark, [(1, "ip 1.2.3.4"), (2, f"ip {first}"), (3, None), (4, "")]), b"k").collect()
     t = {r.doc_id: r.text for r in got}
     assert t[1] != t[2] and first not in (t[1][3:], t[2][3:]) and t[3] is None and t[4] == ""
 
@@ -198,7 +198,7 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_documents(none).count() == 0
     assert media.media_digests(none).count() == 0
     assert secrets.scan(none).count() == 0
-    assert surrogates.pseudonymise(none).count() == 0
+    assert surrogates.pseudonymise(none, b"k").count() == 0
     assert pieces.encode(none).count() == 0
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
