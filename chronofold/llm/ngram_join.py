@@ -18,10 +18,13 @@ shingles. Only blocks of the product that can hold a pair above the bound are co
 The result depends on no estimate: the order of columns and the row blocks only decide what is compared.
 Pairs are never emitted: a tile gives a spanning forest of its links.
 
+A column that stands out in a sample of the rows is dealt to its tiles by size and hash, never sorted in one task.
+
 Edge cases: null text and texts without words have the empty set, size 0, are linked with nothing and form
-their own component; fewer words than n give one shingle; repeated rows and repeated ids are rows of their
-own, a component's id being its smallest doc_id that is not null; extra columns are ignored; an empty table
-gives an empty result.
+their own component; fewer words than n give one shingle; very long texts have longer sketches and are hashed
+whole, some at a time; pairs that meet the threshold exactly link; repeated rows and repeated ids are rows of
+their own, a component's id being its smallest doc_id that is not null; extra columns, whatever their names, are
+ignored, and kept by ``one_of_each``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
 BUCKETS, HEAVY, SKETCH, COLUMN_BITS, CELLS, VISITORS = 1 << 20, 1 << 16, 512, 40, 1 << 18, 4096
+#: Rows sampled to find hot columns, and the share of them, one in so many, that makes a column hot.
+ONE_IN, MOST_HOT = 64, 2000
 
 
 def _heavy_columns(docs: DataFrame, n: int) -> dict[int, int]:
@@ -261,6 +266,27 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _split_hot(met: DataFrame, threshold: Fraction, tile: int, one_in: int = ONE_IN, least: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of other columns, rows of columns that stand out in a sample of the rows, with n and tile).
+
+    The tiles of a hot column are dealt by classes of size and a hash, with counts by the sample, so that no task
+    holds such a column; the counts only set the tiles.
+    """
+    step = np.log(float(1 / threshold)) if threshold < 1 else 1.0
+    kind = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(step)))
+    sample = met.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)
+    seen = materialize(sample.groupBy("col", kind.alias("kind")).agg(F.count("*").alias("c")))
+    bound = max(least, sample.select("node").distinct().count() // MOST_HOT)
+    hot = materialize(seen.groupBy("col").agg(F.sum("c").alias("all")).where(F.col("all") >= bound))  # MOST_HOT times the columns of a row at most
+    if not hot.limit(1).count():
+        return met, None
+    own = met.join(F.broadcast(hot), "col").withColumn("kind", kind)
+    own = own.join(F.broadcast(seen.join(F.broadcast(hot.select("col")), "col")), ["col", "kind"], "left")
+    tiles = F.ceil(F.coalesce("c", F.lit(1)) * one_in / tile)
+    own = own.select("node", "col", "size", F.greatest(F.col("all") * one_in, F.lit(tile + 1)).alias("n"), (F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("node", "col"), tiles)).alias("tile"))
+    return met.join(F.broadcast(hot.select("col")), "col", "left_anti"), own
+
+
 def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFrame:
     """doc_id, txh, size, root (null without words), component_id; one row per document."""
     num, den = threshold.numerator, threshold.denominator
@@ -273,12 +299,14 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
         .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "txh")).alias("at"), F.first("cols").alias("cols"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    # one shuffle: a row without a neighbour of its size in a column cannot link there
     met = rows.select("node", "size", F.explode("cols").alias("col"))
+    met, split = _split_hot(met, threshold, tile)
+    # one shuffle: a row without a neighbour of its size in a column cannot link there
     by_size, own = W.partitionBy("col").orderBy("size"), W.partitionBy("col")
     met = met.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
     met = met.where((F.col("below") * den >= F.col("size") * num) | (F.col("size") * den >= F.col("above") * num)).select("node", "col", "size").withColumn("n", F.count("*").over(own))
-    met = materialize(met.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / tile)))
+    met = met.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / tile))
+    met = materialize(met if split is None else met.unionByName(split))
     sketches = rows.select("node", "sketch")
     feasible = _dealt(met.join(sketches, "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
     edges = materialize(feasible.mapInArrow(lambda it: _feasible(it, num, den, ("col", "tile"), False), "a long, b long"))
@@ -335,10 +363,12 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, ti
     here = F.struct("doc_id", "txh")
     gone = materialize(named.join(first, "root").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "txh"))
     kept = without(docs, gone)
-    repeated = named.groupBy("doc_id", "txh").count().where("count > 1").limit(1).count()
-    if repeated:  # rows of equal id and text: one stays, unless they have no words
-        words = kept.where(F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-        kept = words.dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
+    several = materialize(named.groupBy("doc_id", "txh").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "txh"))
+    if several.limit(1).count():  # of rows with equal id and text one stays
+        packed = kept.select(F.struct(*kept.columns).alias("doc")).select("doc", F.col("doc")["doc_id"].alias("id"), F.xxhash64(F.col("doc")["text"].cast("string")).alias("own"))
+        same = (F.col("own") == F.col("txh")) & F.col("id").eqNullSafe(F.col("doc_id"))
+        again = packed.join(several, same, "left_semi").groupBy("id", "own").agg(F.first("doc").alias("doc"))
+        kept = packed.join(several, same, "left_anti").select("doc.*").unionByName(again.select("doc.*"))
     return kept
 
 
