@@ -11,8 +11,10 @@ Running sums never gather a source or the mix in one task: rows are dealt to man
 sort order, buckets get an offset from their sums, and a window runs inside each bucket only.
 
 Edge cases: null or empty text has size 0 and is never taken (taken 0); null sources form one source,
-ordered last; repeated rows are separate documents; an empty table gives an empty result; a corpus
-without words has all targets 0. Extra columns are ignored.
+ordered last; null ids are ids; repeated rows are separate documents, with keys of their own; a very long text is
+one item, taken whole or not; items of equal finish time go by source, epoch, key and id; an empty table gives an
+empty result; a corpus without words has all targets 0. Extra columns, whatever their names, are ignored by ``mix``
+and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import materialize, n_words, ranked, table
+from chronofold.llm._util import materialize, n_words, numbered, ranked, table
 
 ROWS_PER_BUCKET = 1000
 MAX_REPEATS = 3
@@ -58,11 +60,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     row = ["row"]
     ident = F.col("doc_id.id") if dict(docs.dtypes)["doc_id"].startswith("struct") else F.col("doc_id")
     sized = materialize(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), "text")
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-        .withColumn("key", F.md5(F.concat_ws(":", F.coalesce(ident.cast("string"), F.lit("null")), F.lit(seed))))
+        .withColumn("ident", F.concat_ws(":", F.coalesce(ident.cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+        .drop("text")
     )
+    # equal rows get keys of their own, so that they spread like others
+    several = materialize(sized.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1").select("ident"))
+    copies = F.lit(0).cast("long")
+    if several.limit(1).count():
+        again = numbered(sized.join(several, "ident", "left_semi").select("row", "ident"), ["ident"], "copy").select("row", "copy")
+        sized = sized.join(again, "row", "left")
+        copies = F.coalesce("copy", copies)
+    sized = materialize(sized.withColumn("key", F.md5(F.concat_ws(":", "ident", copies.cast("string"), F.lit(seed)).cast("binary"))).drop("ident", "copy"))
     buckets = max(16, sized.count() // ROWS_PER_BUCKET)
     targets = materialize(source_targets(sized, weights, max_repeats))
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -112,18 +123,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, a row for each time that the mix takes one."""
-    keyed = docs.withColumn("_txh", F.xxhash64(F.col("text").cast("string")))
-    _, sizes = mix(keyed.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.col("_txh").alias("txh"))), **how)
-    per = sizes.where("taken > 0").groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.txh").alias("_t"), F.col("source").alias("_s"))
-    per = materialize(per.agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_times"), F.count("*").alias("_rows")))
-    joined = keyed.join(per, (F.col("_txh") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    times = F.col("_times")
-    if per.where("_rows > 1").limit(1).count():  # equal rows share their repeats
-        same = W.partitionBy("_txh", "doc_id", "source").orderBy(F.lit(1))
-        joined = joined.withColumn("_k", F.row_number().over(same)).withColumn("_n", F.count("*").over(W.partitionBy("_txh", "doc_id", "source")))
-        times = F.floor(F.col("_times") / F.col("_n")) + F.when(F.col("_k") <= F.col("_times") % F.col("_n"), 1).otherwise(0)
-    rows = joined.withColumn("_r", F.array_repeat(F.lit(0), times.cast("int")))
-    return rows.select(*docs.columns, F.explode("_r").alias("_x")).select(*docs.columns)
+    doc = F.col("doc")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    packed = packed.select("doc", doc["doc_id"].alias("id"), F.xxhash64(doc["text"].cast("string")).alias("txh"), doc["source"].cast("string").alias("source"))
+    _, sizes = mix(packed.select(F.struct("id", "txh").alias("doc_id"), "source", doc["text"].alias("text")), **how)
+    per = sizes.where("taken > 0").groupBy(F.col("doc_id.id").alias("of_id"), F.col("doc_id.txh").alias("of_txh"), F.col("source").alias("of_source"))
+    per = materialize(per.agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("times")))
+    joined = packed.join(per, (F.col("txh") == F.col("of_txh")) & F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")))
+    several = materialize(sizes.where("size > 0").groupBy(F.col("doc_id.id").alias("s_id"), F.col("doc_id.txh").alias("s_txh"), F.col("source").alias("s_source")).agg(F.count("*").alias("rows")).where("rows > 1"))
+    out = joined.select("doc", F.col("times").cast("int").alias("times"))
+    if several.limit(1).count():  # equal rows share their repeats
+        same = (F.col("txh") == F.col("s_txh")) & F.col("id").eqNullSafe(F.col("s_id")) & F.col("source").eqNullSafe(F.col("s_source"))
+        again = numbered(joined.join(several, same).select("doc", "id", "txh", "source", "times", "rows"), ["txh", "id", "source"], "k")
+        share = F.floor(F.col("times") / F.col("rows")) + F.when(F.col("k") < F.col("times") % F.col("rows"), 1).otherwise(0)
+        out = joined.join(several, same, "left_anti").select("doc", F.col("times").cast("int").alias("times")).unionByName(again.select("doc", share.cast("int").alias("times")))
+    return out.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("again")).select("doc.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +148,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-         md5(concat_ws(':', coalesce(cast(doc_id as varchar), 'null'), 'mix')) as key
+         md5(concat_ws(':', coalesce(cast(doc_id as varchar), 'null'), md5(coalesce(text, '')),
+                       cast(row_number() over (partition by doc_id, md5(coalesce(text, ''))) - 1 as varchar), 'mix')) as key
   from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, (row_number() over (order by source is null, source) - 1) % 3 + 1 as weight from s0),
