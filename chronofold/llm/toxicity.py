@@ -1,20 +1,24 @@
 """Operator 1: toxicity by weak supervision.
 
 Many voters look at a text: lexicon voters (beginnings of words) and pattern voters (repeated hits, dense
-hits). Lexicon voters come from a fixed list of insults and from beginnings of words that a bounded sample
-of labelled rows (``SAMPLE``, by hash of the id) finds nearly only in toxic texts. Votes of all documents
+hits, and the patterns of ``RULES``: shouting, strings of exclamation marks, masked words, threats, wishes of
+harm). Lexicon voters come from a fixed list of insults and from beginnings of words that a bounded sample
+of labelled rows (``SAMPLE``, by hash of the id) finds nearly only in toxic texts, the ``CANDIDATES`` most frequent of
+which are tried and ``MAX_VOTERS`` taken at most; a rule votes if that sample bears it out. Votes of all documents
 give first and second moments; a generative label model turns them into accuracies (from triplets of voters
 of one block of correlated voters) and residual correlations (which discount voters that say the same
 thing twice), and so into a posterior label for any pattern of votes. A logistic regression is trained on
-posterior labels of a bounded sample of rows and scores every document.
+posterior labels of a bounded sample of rows (``TRAIN``: half with votes, half without, each weighted by how many it
+stands for) and scores every document.
 
 Labels are used only where crc32 of the id's text mod 5 is not 0, and ids, languages and sources are never
 inputs of a score. The score is a column expression over the whole text.
 
-Edge cases: null and empty texts get the score of a text without any vote; rows with equal texts get equal
-scores; an id labelled twice counts as toxic if any label says so; null labels and ids teach nothing; no
-labels or only one class leave the fixed list alone; extra columns are kept by ``score``; an empty table
-gives an empty result.
+Edge cases: null and empty texts get the score of a text without any vote; very long texts are scored whole, by
+one pass for the lexicon and one for each rule; rows with equal texts get equal scores; a score of exactly 0.5
+predicts 1; voters that tie go by length and code points; an id labelled twice counts as toxic if any label says so; null labels and ids teach nothing; no
+labels or only one class leave the fixed list alone; extra columns, whatever their names, are kept by ``clean``, and by
+``score`` but for those it adds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +35,19 @@ from chronofold.llm._util import materialize, table
 
 #: Rows: labelled rows that find voters; rows with posterior labels that train the classifier.
 SAMPLE, TRAIN = 6000, 20000
-MAX_VOTERS, COVER, LENGTHS = 160, 4, (3, 4, 5, 6, 7, 8)
+CANDIDATES, MAX_VOTERS, COVER, LENGTHS = 4000, 160, 4, (3, 4, 5, 6, 7, 8)
 #: Fixed list of insults.
 INSULTS = ("bastard", "clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 LETTERS = re.compile(r"[^\W\d_]+")
 PATTERNS = ("repeat", "dense")
+#: Pattern voters on the text itself.
+RULES = {
+    "shout": r"(?:\b\p{Lu}{4,}\b[\s!]+){4,}",
+    "bangs": r"!{3,}|(?:\?!|!\?){2,}",
+    "masked": r"\b\p{L}[*#@$%]{2,}\p{L}*",
+    "threat": r"(?i)\b(?:i|we)(?:'ll| will| am going to| are going to) (?:kill|hurt|hit|beat|destroy|find) (?:you|them|him|her)\b",
+    "harm": r"(?i)\b(?:go (?:and )?die|shut up|drop dead|hate you|kill yourself|hope you die)\b",
+}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,6 +57,7 @@ def held_out(doc_id: Column) -> Column:
 @dataclass
 class Model:
     voters: list[str] = field(default_factory=list)
+    rules: list[str] = field(default_factory=list)
     accuracy: dict[str, tuple[float, float]] = field(default_factory=dict)  # P(vote | toxic), P(vote | clean)
     correlated: list[tuple[str, str]] = field(default_factory=list)
     weights: dict[str, float] = field(default_factory=dict)  # of the classifier, "" being its constant
@@ -57,7 +70,8 @@ class Model:
 
     def features(self, hits: Column, text: Column) -> dict[str, Column]:
         n = F.size(hits)
-        return {"repeat": F.log1p(n.cast("double")), "dense": F.least(F.lit(1.0), n * 100.0 / (F.coalesce(F.length(text), F.lit(0)) + 1.0))}
+        rules = {k: F.coalesce(text.rlike(RULES[k]), F.lit(False)).cast("double") for k in self.rules}
+        return {"repeat": F.log1p(n.cast("double")), "dense": F.least(F.lit(1.0), n * 100.0 / (F.coalesce(F.length(text), F.lit(0)) + 1.0)), **rules}
 
     def score(self, text: Column) -> Column:
         hits = self.hits(text)
@@ -112,7 +126,7 @@ def _voters(sample: DataFrame) -> tuple[list[str], float, float, float]:
 
     tallies = sample.mapInArrow(count, "s string, pos long, n long").groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     found = tallies.where((F.col("pos") >= 5) & ((F.col("pos") + 1) / (F.col("n") + 2) >= 0.75) | F.col("s").isin(*INSULTS))
-    found = found.orderBy(F.desc("pos"), F.length("s"), "s").limit(4000).collect()
+    found = found.orderBy(F.desc("pos"), F.length("s"), "s").limit(CANDIDATES).collect()
     known = {r["s"]: (r["pos"], r["n"]) for r in found}
     good = [s for s, (p, n) in known.items() if (p + 1) / (n + 2) >= 0.5]
 
@@ -196,16 +210,16 @@ def _posterior(fired: list[int], acc: np.ndarray, false: np.ndarray, block: np.n
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Newton's method on soft labels; the last column of x is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Newton's method on soft labels of weighted rows; the last column of x is the constant."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], l2)
     ridge[-1] = 1e-6
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (q - y) + ridge * w
-        hess = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(hess, grad)
+        grad = x.T @ (weight * (q - y)) + ridge * w
+        hess = (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -219,13 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train: int = T
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("text", "toxic"))
     model = Model()
     model.voters, prior, hit, _ = _voters(rows)
+    borne = {k: F.coalesce(F.col("text").rlike(p), F.lit(False)).cast("int") for k, p in RULES.items()}
+    told = rows.agg(*[F.sum(c).alias(f"n_{k}") for k, c in borne.items()], *[F.sum(c * F.col("toxic")).alias(f"p_{k}") for k, c in borne.items()]).first()
+    model.rules = [k for k in RULES if (told[f"p_{k}"] or 0) >= 5 and (told[f"p_{k}"] + 1) / (told[f"n_{k}"] + 2) >= 0.75]
 
     votes = materialize(
-        docs.select("doc_id", model.hits(F.col("text")).alias("hits"), F.length("text").alias("n"), F.xxhash64("text").alias("x"))
+        docs.select("doc_id", model.hits(F.col("text")).alias("hits"), F.length("text").alias("n"), F.xxhash64("text").alias("x"), F.array_compact(F.array(*[F.when(F.col("text").rlike(RULES[k]), F.lit(k)) for k in model.rules], F.lit(None).cast("string"))).alias("ruled"))
         .withColumn("dense", F.size("hits") * 100.0 / (F.coalesce("n", F.lit(0)) + 1.0))
-        .withColumn("v", F.concat(F.array_distinct("hits"), F.when(F.size("hits") >= 3, F.array(F.lit("repeat"))).otherwise(F.array()), F.when(F.col("dense") >= 0.2, F.array(F.lit("dense"))).otherwise(F.array())))
+        .withColumn("v", F.concat(F.array_distinct("hits"), F.when(F.size("hits") >= 3, F.array(F.lit("repeat"))).otherwise(F.array()), F.when(F.col("dense") >= 0.2, F.array(F.lit("dense"))).otherwise(F.array()), "ruled"))
     )
-    names = [*model.voters, *PATTERNS]
+    names = [*model.voters, *PATTERNS, *model.rules]
     number = {n: i for i, n in enumerate(names)}
     moments = np.zeros((len(names), len(names)))
     pairs = votes.where(F.size("v") > 0).select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b")).groupBy("a", "b").count()
@@ -252,18 +269,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train: int = T
             if fired not in cache:
                 cache[fired] = _posterior(list(fired), acc, false, block, tied, prior, 1 - hit)
             x = np.zeros(len(names) + 1)
-            x[[i for i in fired if i < len(model.voters)]] = 1
+            x[[i for i in fired if names[i] not in PATTERNS]] = 1
             x[number["repeat"]], x[number["dense"]], x[-1] = np.log1p(len(r["hits"])), min(1.0, r["dense"]), 1
             xs.append(x)
             ys.append(cache[fired])
             ws.append((size or 0) / len(got))
     if xs:
-        scale = np.sqrt(np.array(ws) / max(ws))[:, None]  # noqa: F841  rows stand for as many as were left out
-        w = _logistic(np.array(xs), np.array(ys))
+        weight = np.array(ws) * len(ws) / sum(ws)  # rows stand for as many as were left out
+        w = _logistic(np.array(xs), np.array(ys), weight)
         model.weights = {n: float(w[i]) for i, n in enumerate(names)} | {"": float(w[-1])}
     return model
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score is below 0.5, with their own columns."""
+    return docs.where(model.score(F.col("text")) < 0.5)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with score (double, 0 to 1) and predicted (int)."""
     scored = docs.withColumn("score", model.score(F.col("text")))
