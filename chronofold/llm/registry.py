@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, pieces, secrets, surrogates, toxicity
@@ -12,7 +11,6 @@ from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_media_columns": media.op4_media_columns,
         "op9_html_text": html_text.op9_html_text,
@@ -27,8 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return out | {
+    return {
         "op2_mix_sources": mixing.SQL,
         "op10_ngram_jaccard": ngram_join.SQL,
     }
