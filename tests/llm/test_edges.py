@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, "
 def rows():
     rng = random.Random(8)
     words = [f"word{i}" for i in range(500)]
-    long = " ".join(rng.choice(words) for _ in range(40_000)) + "\n" + "x" * 50_000
+    long = " ".join(rng.choice(words) for _ in range(12_000)) + "\n" + "x" * 20_000
     texts = [
         (1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (None, "a null id has a text too"), (None, None), (3, None), (4, ""), (5, " \n\t "),
         (6, long), (7, long), (8, "mail a@b.org or password=hunter22 idiot"), (9, "é😀\nline two of this text\nline two of this text"), (10, "Mr Smith called 555-123-4567"),
