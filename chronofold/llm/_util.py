@@ -95,6 +95,55 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return local.join(before, same).select(*df.columns, (F.col("__rn") + F.col("__before")).alias(name))
 
 
+def indexed(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """The rows (written and read) numbered from 0 within their keys by ``order``, which begins with the keys.
+
+    Rows are dealt by ranges of the whole order, so a hot key spreads over many tasks; rows of one order are told
+    apart by a seeded random number and spread as well. Numbers come from each task's own count of a key's rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*order, F.col("__tie")]
+    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("__tie")
+    dealt = materialize(dealt.withColumn("__id", F.monotonically_increasing_id()))
+    pid = F.shiftright("__id", 33)
+    runs = dealt.groupBy(*keys, pid.alias("__of")).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    so_far = F.sum("__n").over(W.partitionBy(*keys).orderBy("__of")) - F.col("__n")
+    runs = runs.select(*[F.col(k).alias(f"__{k}") for k in keys], "__of", (so_far - F.col("__first")).alias("__shift"))
+    same = pid == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return dealt.join(runs, same).select(*df.columns, (F.col("__id") + F.col("__shift")).alias(name))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows, one group of equal keys at least, that no group straddles; rows come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            t = pa.Table.from_batches(held)
+            last = starts(t, keys)[-1]
+            if last:
+                yield t.slice(0, last)
+            held = t.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places of the first rows of the runs of equal keys (nulls are equal)."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+    return np.flatnonzero(new)
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int = 1 << 25) -> DataFrame:
     """Rows whose key may be among ``keys`` (own): all that are, and by a bitmap of bounded size few others.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import ann, html_text, line_dedup, media, mixing, ngram_join, pieces, secrets, surrogates, toxicity
+from chronofold.llm import ann, html_text, line_dedup, media, merkle, mixing, ngram_join, packing, pieces, secrets, surrogates, toxicity, turns
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_columns": media.op4_media_columns,
         "op9_html_text": html_text.op9_html_text,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+        "op11_repair_conversations": turns.op11_repair_conversations,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_pack_sequences": packing.op13_pack_sequences,
         "op1_toxicity": toxicity.op1_toxicity,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_nearest_vectors": ann.op6_nearest_vectors,
