@@ -207,7 +207,15 @@ def _solved(counts: np.ndarray, rate: float) -> list[tuple[dict[int, int], int]]
 
 def solve(counts: np.ndarray) -> list[tuple[dict[int, int], int]]:
     """Configurations (how often each length) and their times, which hold exactly ``counts`` pieces of each length."""
-    return min((_solved(counts, rate) for rate in RATES), key=lambda x: sum(n for _, n in x))
+    least, best, found = -(-int((counts * np.arange(len(counts))).sum()) // (len(counts) - 1)), [], 0
+    for rate in RATES:
+        own = _solved(counts, rate)
+        used = sum(n for _, n in own)
+        if not best or used < found:
+            best, found = own, used
+        if found == least:  # no packing has fewer
+            break
+    return best
 
 
 def _plan(solution: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

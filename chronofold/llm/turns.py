@@ -145,7 +145,7 @@ def _recursive(sql: str, column: str):
                 con.register("given", pa.Table.from_batches([part]))
                 con.execute("CREATE OR REPLACE TEMP TABLE seg AS SELECT row_number() OVER () AS g, * FROM given")
                 con.unregister("given")
-                made = con.execute(sql).to_arrow_table().cast(_MATRIX)
+                made = con.sql(sql).to_arrow_table().cast(_MATRIX)
                 yield from made.to_batches()
         con.close()
 
