@@ -90,7 +90,7 @@ def test_lines_keep_one_of_each_group(spark):
     line = " ".join(f"word{i}" for i in range(80))
     alike = line.replace("word40 ", "word4o ")
     rows = [(1, f"{line}\nfirst own line here\n\n"), (2, f"{line.upper()}!\nsecond text"), (3, f"{alike}\nthird text"), (4, None), (5, "")]
-    kept = {r.doc_id: r.text for r in line_dedup.dedup_documents(docs(spark, rows), bits=3).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_documents(docs(spark, rows)).collect()}
     assert kept[1] == f"{line}\nfirst own line here\n\n" and kept[2] == "second text"
     assert kept[4] is None and kept[5] == ""
 
