@@ -13,7 +13,8 @@ that reach ``WEAK`` times the best (links in running text, not lists of links).
 text.
 
 A class or id word marks no element that holds an article or main element (or, on pages without these, over half
-of the text), and no element of a class such as ``no-sidebar`` or ``has-menu``.
+of the text), and no element of a class such as ``no-sidebar`` or ``has-menu``. Forms are judged like class words, as
+some servers wrap the whole page in one; fields, labels and buttons never count.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and
 joined in page order by one space. Nothing else is dropped or capped.
@@ -43,8 +44,10 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("script style noscript template head title nav header footer aside form button select option textarea input label iframe svg canvas dialog menu object map audio video xmp noembed noframes".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+DROPPED = frozenset("script style noscript template head title nav header footer aside button select option textarea input label iframe svg canvas dialog menu object map audio video xmp noembed noframes".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Elements and roles that hold none unless they hold the article or most of the page.
+WRAPPERS = frozenset(["form"])
 #: Words of class or id that mark such regions.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus respond replies share sharing social newsletter subscribe signup login widget pagination pager toolbar skip related recommended".split()
@@ -208,7 +211,7 @@ def _marks(value: str) -> bool:
 
 def _marked(tag: str, attrs: str) -> tuple[int, str]:
     """2 for an element that never holds main text, 1 for one marked by its class or id, else 0; and its label in paths."""
-    mark, label = 2 * (tag in DROPPED), tag
+    mark, label = 2 * (tag in DROPPED) or int(tag in WRAPPERS), tag
     if "=" in attrs or "hidden" in attrs:
         for m in ATTR.finditer(attrs):
             name, value = (m[1] or m[5]).lower(), html.unescape(m[2] or m[3] or m[4] or "").strip().lower()
@@ -219,7 +222,7 @@ def _marked(tag: str, attrs: str) -> tuple[int, str]:
             elif name in ("class", "id") and tag == "article":
                 mark = max(mark, 2 * (not {"comment", "comments", "reply"}.isdisjoint(re.split(r"[\s_-]+", value))))
             elif name == "role":
-                mark = max(mark, 2 * (value in ROLES))
+                mark = max(mark, 2 * (value in ROLES), int(value in WRAPPERS))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 mark = 2
     return mark, label

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm._util import ascii_lower, indexed, materialize, starts, table, whole_groups
+from chronofold.llm.turns import CRC32
 
 FANOUT, DEPTH = 16, 3
 BLOCK = FANOUT**DEPTH
@@ -185,3 +186,40 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).drop("source")
+
+
+def _leaf_sql(text: str) -> str:
+    values = ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+#: The same in SQL: both trees level by level, every leaf's siblings by place, and the fold along them.
+SQL = f"""
+with recursive leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from (
+    select doc_id, source, {_leaf_sql("text")} as leaf, case when coalesce({CRC32.format("doc_id::varchar")} % {TAMPER} = 0, false) then {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as tampered from documents) x),
+nodes as (
+  select source, 0 as level, i, leaf as node from leaves
+  union all
+  select source, level + 1, i // {FANOUT}, sha256(string_agg(node, '' order by i)) from (select *, count(*) over (partition by source) as n from nodes) x where n > 1 group by source, level, i // {FANOUT}),
+tops as (select source, max_by(node, level) as subroot, max(level) as height from nodes group by source),
+ranked as (select *, row_number() over (order by source nulls first) - 1 as place from tops),
+over_ as (
+  select 0 as level, place as i, subroot as node from ranked
+  union all
+  select level + 1, i // {FANOUT}, sha256(string_agg(node, '' order by i)) from (select *, count(*) over () as n from over_) x where n > 1 group by level, i // {FANOUT}),
+top as (select max_by(node, level) as root, max(level) as height from over_),
+paths as (
+  select l.source, l.i, n.level as step, string_agg(n.node, '' order by n.i) filter (n.i < l.i // ({FANOUT} ** n.level)::bigint) as before, string_agg(n.node, '' order by n.i) filter (n.i > l.i // ({FANOUT} ** n.level)::bigint) as after
+  from leaves l join ranked r on r.source is not distinct from l.source join nodes n on n.source is not distinct from l.source and n.level < r.height and n.i // {FANOUT} = l.i // ({FANOUT} ** (n.level + 1))::bigint group by l.source, l.i, n.level
+  union all
+  select l.source, l.i, r.height + o.level, string_agg(o.node, '' order by o.i) filter (o.i < r.place // ({FANOUT} ** o.level)::bigint), string_agg(o.node, '' order by o.i) filter (o.i > r.place // ({FANOUT} ** o.level)::bigint)
+  from leaves l join ranked r on r.source is not distinct from l.source join over_ o on o.level < (select height from top) and o.i // {FANOUT} = r.place // ({FANOUT} ** (o.level + 1))::bigint group by l.source, l.i, r.height, o.level),
+folded as (
+  select source, i, 0 as step, coalesce(tampered, leaf) as node from leaves
+  union all
+  select f.source, f.i, f.step + 1, sha256(coalesce(p.before, '') || f.node || coalesce(p.after, '')) from folded f join paths p on p.source is not distinct from f.source and p.i = f.i and p.step = f.step),
+proofs as (select source, i, sha256(string_agg(coalesce(before, '') || coalesce(after, ''), '' order by step)) as proof from paths group by source, i),
+ends as (select source, i, max_by(node, step) as node from folded group by source, i)
+select l.doc_id, l.leaf, r.subroot, t.root, coalesce(p.proof, sha256('')) as proof_sha256, e.node as folded_root, e.node = t.root as verified
+from leaves l join ranked r on r.source is not distinct from l.source cross join top t left join proofs p on p.source is not distinct from l.source and p.i = l.i join ends e on e.source is not distinct from l.source and e.i = l.i"""

@@ -23,6 +23,7 @@ replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import heapq
 from itertools import chain
 
 import numpy as np
@@ -143,13 +144,44 @@ class Chunk:
     def _paths(self, state: tuple[int, int], stop: int) -> dict:
         return self.m.walk(self.u, state[1], None if self.first else self.u[state[0] : state[1]], stop)
 
-    def _reaches(self, state: tuple[int, int], stop: int) -> bool:
-        return state[1] == stop or state[1] < stop and any(e == stop for _, e in self._paths(state, stop))
+    def origins(self, stop: int) -> dict[tuple[int, int], int]:
+        """Pieces that start before ``stop`` with the left states they can follow from, a bit each: one pass for all states."""
+        m, u = self.m, self.u
+        waiting: dict[int, dict[str | None, int]] = {}  # by place, the piece that ends there and its states
+        for i, (s, e) in enumerate(self.left):
+            if e < stop:
+                here = waiting.setdefault(e, {})
+                last = None if self.first else u[s:e]
+                here[last] = here.get(last, 0) | 1 << i
+        out: dict[tuple[int, int], int] = {}
+        places = list(waiting)
+        heapq.heapify(places)
+        while places:
+            at = heapq.heappop(places)
+            before = waiting.pop(at)
+            for x in m.starting(u, at):
+                states = 0
+                for last, own in before.items():
+                    if own & ~states and (last is None or m.fits(last, x)):
+                        states |= own
+                if not states:
+                    continue
+                end = at + len(x)
+                out[at, end] = states
+                if end < stop:
+                    if end not in waiting:
+                        waiting[end] = {}
+                        heapq.heappush(places, end)
+                    waiting[end][x] = waiting[end].get(x, 0) | states
+        return out
 
     def matrix(self) -> np.ndarray:
         out = np.full((len(self.left), len(self.right)), -np.inf)
         if self.cuts:
-            ok = np.array([self._reaches(a, self.cuts[0]) for a in self.left])
+            ends = 0
+            for (_, e), states in self.origins(self.cuts[0]).items():
+                ends |= states if e == self.cuts[0] else 0
+            ok = np.array([a[1] == self.cuts[0] or bool(ends >> i & 1) for i, a in enumerate(self.left)])
             from_last = self.m.walk(self.u, self.cuts[1], None, self.q)
             # a state before the last start of a word can only end at it
             right = np.array([b in from_last if self.cuts[1] < self.q else b[1] == self.q for b in self.right])
@@ -157,10 +189,11 @@ class Chunk:
                 right &= self._ending(self.q)
             out[np.ix_(ok, right)] = 0
             return out
-        for i, a in enumerate(self.left):
-            got = self._paths(a, self.q) if a[1] < self.q else {}
-            for j, b in enumerate(self.right):
-                if b in got or b == a:
+        got = self.origins(self.q)
+        for j, b in enumerate(self.right):
+            states = got.get(b, 0)
+            for i, a in enumerate(self.left):
+                if states >> i & 1 or b == a:
                     out[i, j] = 0
         return out
 

@@ -31,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.SQL,
         "op10_ngram_jaccard": ngram_join.SQL,
+        "op11_repair_conversations": turns.SQL,
+        "op12_merkle_manifest": merkle.SQL,
     }

@@ -27,6 +27,7 @@ whatever their names, are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
@@ -63,6 +64,11 @@ PATTERN = re.compile(
 MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b")
 
 
+#: Country codes of one digit and of two; the others have three.
+ONE_DIGIT = frozenset("17")
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _draw(key: bytes, *what) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, what)).encode(), hashlib.sha256).digest(), "big")
 
@@ -116,9 +122,11 @@ def _fill(layout: str, digits: str) -> str:
 
 
 def _lead(phone: str) -> int:
-    """Where the number after the country code begins."""
+    """Where the number after the country code begins: after its separator, or its digits where there is none."""
     m = re.match(r"\+\d{1,3}(?=[ .(-])", phone)
-    return m.end() if m else 0
+    if m or phone[:1] != "+":
+        return m.end() if m else 0
+    return 2 if phone[1] in ONE_DIGIT else 3 if phone[1:3] in TWO_DIGITS else 4
 
 
 def canonical(kind: str, value: str) -> str:
@@ -221,7 +229,37 @@ def entities(text: str | None) -> list[tuple[str, str, int, int]]:
     for m in PATTERN.finditer(text):
         if valid(m.lastgroup, m[0]):
             out += [(k, e, m.start() + a, m.start() + b) for k, e, a, b in parts(m.lastgroup, m[0])]
-    return out
+    return _again(text, out)
+
+
+def _again(text: str, found: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """The entities with the names that a title introduced, wherever the text has them without it.
+
+    A surname counts as a word of its own, a given name only before its surname.
+    """
+    names: dict[str, dict[str, str]] = {}  # of a surname, the given names before it and their entities
+    for k, (kind, _, a, b) in enumerate(found):
+        if kind == "surname":
+            own = names.setdefault(text[a:b], {})
+            if k and found[k - 1][0] == "given" and found[k - 1][3] + 1 == a:
+                own[text[found[k - 1][2] : found[k - 1][3]]] = found[k - 1][1]
+    if not names:
+        return found
+    taken = {a for _, _, a, _ in found}
+    spans = sorted((a, b) for _, _, a, b in found)
+    starts = [a for a, _ in spans]
+    more = []
+    for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", text):
+        at = bisect.bisect_right(starts, m.start()) - 1
+        if m.start() in taken or at >= 0 and spans[at][1] > m.start():
+            continue
+        for given, entity in names[m[0]].items():
+            a = m.start() - len(given) - 1
+            if a >= 0 and text[a : m.start()] == given + " " and (a == 0 or not text[a - 1].isalnum()):
+                more.append(("given", entity, a, a + len(given)))
+                break
+        more.append(("surname", canonical("surname", m[0]), m.start(), m.end()))
+    return sorted(found + more, key=lambda x: x[2])
 
 
 def _nth(key: bytes, n: int) -> bytes:

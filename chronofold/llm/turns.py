@@ -280,3 +280,49 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     field = rows.schema["conv_id"].dataType.simpleString()
     return _stream(rows, damaged(rows)).mapInArrow(_digests, f"conv_id {field}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+
+
+#: The CRC-32 of an ASCII text, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::BIGINT) else x >> 1 end)), 4294967295::BIGINT)"""
+
+#: The same in SQL: edits row by row from primitive moves, and the repair read off the audit letter by letter.
+SQL = f"""
+with recursive given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+hit as (select *, {CRC32.format("k")} % 20 as h from given),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role, case h when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when h = 3 then [0, 1] else [0] end) as copy from hit where h <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(length(role) || ':' || role || ':' || text), copy) as n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from damaged),
+faulty as (
+  select *, case when body = '' then 'b' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else '' end as fault, substr(role, 1, 1) as initial,
+         lag(substr(role, 1, 1)) over (partition by conv_id order by n) as earlier from placed),
+told as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+         count(*) filter (n > 1 and earlier || initial not in ('su', 'ua', 'au')) as illegal, count(*) as rows_ from faulty group by conv_id),
+inserted(src, dst, cost, audit) as (values ('0', '0', 0, ''), ('0', 'U', 3, 'I'), ('0', 'A', 6, 'II'), ('S', 'S', 0, ''), ('S', 'U', 3, 'I'), ('S', 'A', 6, 'II'), ('U', 'U', 0, ''), ('U', 'A', 3, 'I'), ('A', 'A', 0, ''), ('A', 'U', 3, 'I')),
+walk as (
+  select conv_id, 0::bigint as n, '0' as state, 0::bigint as cost, '' as audit from told
+  union all
+  select conv_id, n, state, best.cost, best.audit from (
+    select conv_id, n, e.state, min({{'cost': base + e.cost, 'audit': so_far || e.edit}}) as best from (
+      select w.conv_id, f.n, w.cost + i.cost as base, w.audit || i.audit as so_far, unnest(list_filter([
+        {{'state': i.dst, 'cost': 4, 'edit': 'D', 'ok': true}},
+        {{'state': case when i.dst = 'U' then 'A' else 'U' end, 'cost': 3 + case when f.fault = 't' then 3 else 0 end, 'edit': 'R', 'ok': f.fault not in ('b', 'd')}},
+        {{'state': upper(f.initial), 'cost': case when f.fault = 't' then 3 else 0 end, 'edit': 'K', 'ok': f.fault not in ('b', 'd') and (f.initial = 's' and i.dst = '0' or f.initial = 'u' and i.dst <> 'U' or f.initial = 'a' and i.dst = 'U')}}], lambda x: x.ok)) as e
+      from walk w join inserted i on i.src = w.state join faulty f on f.conv_id is not distinct from w.conv_id and f.n = w.n + 1) x
+    group by conv_id, n, e.state) y),
+ended as (
+  select w.conv_id, min({{'cost': w.cost + case state when 'U' then 3 when 'S' then 6 else 0 end, 'audit': w.audit || case state when 'U' then 'I' when 'S' then 'II' else '' end}}) as best
+  from walk w join told t on t.conv_id is not distinct from w.conv_id and t.rows_ = w.n group by w.conv_id),
+spelled as (
+  select conv_id, best.audit as audit, 0 as p, '0' as state, 0::bigint as n, '' as told from ended
+  union all
+  select conv_id, audit, p + 1, now, n, told || case when edit = 'D' then '' else case when state = '0' then '' else chr(10) end || case when edit = 'K' then role when now = 'U' then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end end from (
+    select s.conv_id, s.audit, s.p, s.state, s.told, substr(s.audit, s.p + 1, 1) as edit, case when substr(s.audit, s.p + 1, 1) = 'I' then s.n else s.n + 1 end as n, f.role, f.text,
+           case substr(s.audit, s.p + 1, 1) when 'D' then s.state when 'K' then upper(f.initial) else case when s.state = 'U' then 'A' else 'U' end end as now
+    from spelled s left join faulty f on f.conv_id is not distinct from s.conv_id and f.n = s.n + 1 where s.p < length(s.audit)) z)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(e.best.cost, 0) as cost, coalesce(e.best.audit, '') as audit, sha256(coalesce(s.told, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join told t on t.conv_id is not distinct from c.conv_id left join ended e on e.conv_id is not distinct from c.conv_id
+left join spelled s on s.conv_id is not distinct from c.conv_id and s.p = length(s.audit)"""

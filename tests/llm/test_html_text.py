@@ -20,6 +20,12 @@ LONG = "This is a long sentence, with words and commas, that tells of something.
         (f"<article><h1>T</h1><p>{LONG}</p><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul><p>Short.</p><p>See <a>this</a>, ok.</p></article>", f"T {LONG.strip()} Short. See this, ok."),
         (f"<body><nav>Menu</nav><div class=post><h2>Head</h2><p>{LONG}</p></div><div class='post-comments'>{LONG}</div><footer>F</footer></body>", f"Head {LONG.strip()}"),
         (f"<main><p>{LONG}</p><table><tr><td>1<td>two</table></main><aside>{LONG}</aside>", f"{LONG.strip()} 1 two"),
+        (f"<body><form><div id=content><h1>T</h1><p>{LONG}</p></div><input value=x><label>Name</label><button>Send</button></form></body>", f"T {LONG.strip()}"),
+        (f"<form action=/x><article><p>{LONG}</p></article><div class=menu>Menu</div></form>", LONG.strip()),
+        (f"<div role=form><main><p>{LONG}</p></main></div>", LONG.strip()),
+        (f"<div><p>{LONG}</p></div><form>Your name and mail here</form>", LONG.strip()),
+        (f"<article><p>{LONG}</p><form>Your name and mail here</form></article>", LONG.strip()),
+        ("<form></form>", ""),
         ("<p>a<p>b&nbsp;&amp;<br>c", "a b & c"),
         ("<a href=1>only</a> <a>links</a>", "only links"),
         ("just text", "just text"),

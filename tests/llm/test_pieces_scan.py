@@ -45,3 +45,26 @@ def test_products_in_a_tree_equal_a_chain(spark):
     for x in reversed(ms[:-1]):
         right = pieces.times(x, right)
     assert (left == right).all()
+
+
+def test_a_matrix_of_spaces_takes_one_pass():
+    """A whole chunk of spaces, and the matrix against one walk for each left state on smaller ones."""
+    import time
+
+    m = pieces.Pieces(open(pieces.MODEL, "rb").read())
+
+    def chunk(u, size):
+        return pieces.Chunk(m, u, m.longest + 1, m.longest + 1 + size, False, False)
+
+    for u in (pieces.MARK * 400, "x" * 400, (pieces.MARK * 7 + "ab") * 60, "abcdeé東" * 60):
+        c = chunk(u, 200)
+        got = c.matrix()
+        stop = c.cuts[0] if c.cuts else c.q
+        told = c.origins(stop)
+        for i, a in enumerate(c.left):
+            walked = c._paths(a, stop) if a[1] < stop else {}
+            assert {n for n, states in told.items() if states >> i & 1} == set(walked)
+        assert got.shape == (len(c.left), len(c.right))
+    began = time.time()
+    chunk(pieces.MARK * (pieces.CHUNK + 3 * m.longest), pieces.CHUNK).matrix()
+    assert time.time() - began < 8

@@ -58,3 +58,15 @@ def test_collisions_by_brute_force():
     for kind, values in {"phone": [f"{i:07d}" for i in range(300)], "email": [f"a{i}@b.org" for i in range(300)], "surname": [f"Name{c}" for c in "abcdefghij"]}.items():
         new = [surrogates.surrogate(kind, v, KEY) for v in values]
         assert len(set(new)) == len(values)
+
+
+def test_a_number_without_separators_and_names_without_their_title(spark):
+    texts = ["+1 555-123-4567, 555-123-4567 and +15551234567", "+49 30 1234 5678", "+493012345678", "Dr Maria Smith came. Later Maria Smith left, and Smith too; Smithers and Maria stayed.", "Maria Smith of another text", "smith, SMITH and Mr Smith"]
+    got = {r.doc_id: r.text for r in surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA), KEY).collect()}
+    a, b, c = (re.sub(r"\D", "", x)[-10:] for x in re.split(", | and ", got[0]))
+    assert a == b == c != "5551234567" and got[0].endswith("+1" + c)
+    assert re.sub(r"\D", "", got[1]) == re.sub(r"\D", "", got[2]) != "493012345678" and got[2].startswith("+49")
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. Later (\w+) (\w+) left, and (\w+) too; Smithers and Maria stayed\.", got[3])
+    assert m and m[1] == m[3] != "Maria" and m[2] == m[4] == m[5] != "Smith"
+    assert got[4] == texts[4], "a name that no title introduced in its text stays"
+    assert got[5].startswith("smith, SMITH and Mr ") and not got[5].endswith("Smith")
