@@ -7,14 +7,11 @@ query would be served in that world; the events that it caused die with it, roun
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.operators import recall as R
-from chronofold.operators.folds import folded
-from chronofold.operators.states import _custody_step
+from chronofold.operators.replay import lived
 from chronofold.storage import written
 
 
@@ -24,23 +21,7 @@ def excised(chain: DataFrame, dead: DataFrame) -> DataFrame:
     A chain that loses its birth is not there at all.
     """
     lost = chain.join(dead.select("memory_id").distinct(), "memory_id", "left_semi").join(dead, ["memory_id", "seq"], "left_anti")
-
-    def step(s, row):
-        born, status, state, conf = s
-        k = row["kind"]
-        born = born or k == "STORED"
-        status = _custody_step(status, k)[0]
-        if k == "REINFORCED" and status == "CLEAN":
-            conf += (1 - conf) / 4
-            if state == "NEUTRAL" and conf >= Fraction(3, 4):
-                state = "REINFORCED"
-        elif k == "STATE_CHANGED" and row["to"] in ("NEUTRAL", "FORGOTTEN"):
-            state = row["to"]
-        return (born, status, state, conf), None
-
-    end = lambda s: (s[0], s[1], s[2], float(s[3]))
-    told = folded(lost.select("memory_id", "seq", "kind", "to"), "memory_id", ["seq"], lambda: (False, "CLEAN", "NEUTRAL", Fraction(1, 2)), step, "born boolean, custody_status string, field_state string, confidence double", end)
-    return told.where("born").drop("born")
+    return lived(lost)
 
 
 def world(memories: DataFrame, chain: DataFrame, dead: DataFrame) -> DataFrame:

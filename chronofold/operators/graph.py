@@ -42,13 +42,14 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return hops(seeds, edges, 1 << 30).select("id")
 
 
-def blast_radius(seeds: DataFrame, uses: DataFrame, derived: DataFrame, succession: DataFrame) -> DataFrame:
-    """kind (DECISION or MEMORY), id, level and attested of what the seed memories may have affected.
+def blast_radius(seeds: DataFrame, uses: DataFrame, derived: DataFrame, succession: DataFrame, served: DataFrame | None = None, resonant: DataFrame | None = None) -> DataFrame:
+    """kind (DECISION, MEMORY or RECEIPT), id, level and attested of what the seed memories may have affected.
 
     uses: decision_id, memory_id, actor; derived: memory_id, decision_id, actor (stored from a decision); succession: old, new.
     DIRECT decisions used a seed. DERIVED are the successors of affected memories, memories stored from affected decisions
     and decisions that used affected memories, to a fixpoint; a memory stored from a decision is attested if the same
-    actor did both. POSSIBLE memories were used together with a seed and are not derived.
+    actor did both. POSSIBLE memories are not derived, but were served with a seed by one receipt (served: receipt_id,
+    memory_id; those receipts are DIRECT) or are next to it (resonant: a, b); without receipts, were used with it.
     """
     direct = written(uses.join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("decision_id").distinct())
     m = lambda c: F.concat(F.lit("M"), F.col(c).cast("string"))
@@ -63,7 +64,14 @@ def blast_radius(seeds: DataFrame, uses: DataFrame, derived: DataFrame, successi
     kind = F.when(F.col("id").startswith("M"), "MEMORY").otherwise("DECISION")
     level = F.when(F.col("x").isNotNull(), "DIRECT").otherwise("DERIVED")
     found = told.select(kind.alias("kind"), F.substring("id", 2, 30).cast("long").alias("id"), level.alias("level"), F.when(kind == "MEMORY", F.coalesce("attested", F.lit(True))).alias("attested"))
-    near = uses.join(direct, "decision_id", "left_semi").select(m("memory_id").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
+    near = uses.join(direct, "decision_id", "left_semi").select(m("memory_id").alias("id"))
+    if served is not None:
+        told = written(served.join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("receipt_id").distinct())
+        near = served.join(told, "receipt_id", "left_semi").select(m("memory_id").alias("id"))
+        found = found.unionByName(told.select(F.lit("RECEIPT").alias("kind"), F.col("receipt_id").cast("long").alias("id"), F.lit("DIRECT").alias("level"), F.lit(None).cast("boolean").alias("attested")))
+    if resonant is not None:
+        near = near.unionByName(resonant.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select(m("b").alias("id")))
+    near = near.distinct().join(reached.select("id"), "id", "left_anti")
     return found.unionByName(near.select(F.lit("MEMORY").alias("kind"), F.substring("id", 2, 30).cast("long").alias("id"), F.lit("POSSIBLE").alias("level"), F.lit(None).cast("boolean").alias("attested")))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import canonical as C
 from chronofold.operators import similarity
+from chronofold.operators.replay import state_at
 from chronofold.storage import written
 
 #: Fixed values.
@@ -31,6 +32,11 @@ DECAY, RESONANT_STEP, MOST_HOPS = 0.86, 0.5, 10
 PROTOCOL, SLACK = "1.0.0", 32
 
 
+def rescues(state: Column) -> Column:
+    """Whether a memory of that state is ranked although it is inhibited."""
+    return state == "REINFORCED"
+
+
 def effective(memories: DataFrame, override: Mapping[int, str] | None = None) -> DataFrame:
     """The memories with the overriding status of those that have one."""
     if not override:
@@ -40,23 +46,24 @@ def effective(memories: DataFrame, override: Mapping[int, str] | None = None) ->
 
 
 def as_of(memories: DataFrame, chain: DataFrame, at) -> DataFrame:
-    """The memories born by ``at``, with the status that their chain (memory_id, seq, kind, created_at) had then."""
-    past = chain.where(F.col("created_at") <= F.lit(at))
-    strong = F.max(F.when(F.col("kind").isin("QUARANTINED", "SUPERSEDED_BY", "REHABILITATED"), F.struct("seq", "kind")))
-    per = past.groupBy("memory_id").agg(F.bool_or(F.col("kind") == "STORED").alias("born"), strong.alias("s"), F.max(F.when(F.col("kind") == "TAINT_FLAGGED", F.col("seq"))).alias("t"))
-    status = F.when(F.col("s.kind") == "QUARANTINED", "QUARANTINED").when(F.col("s.kind") == "SUPERSEDED_BY", "SUPERSEDED").when(F.col("t") > F.coalesce("s.seq", F.lit(-1)), "TAINT_FLAGGED").otherwise("CLEAN")
-    now = per.where("born").select("memory_id", status.alias("custody_status"))
-    return memories.drop("custody_status").join(now, "memory_id")
+    """The memories born by ``at``, with the status and the state that their chain (memory_id, seq, kind, to, created_at) had then.
+
+    Today's columns tell nothing: a memory forgotten later was there, one promoted later was not yet.
+    """
+    return memories.drop("custody_status", "field_state").join(state_at(chain, at).drop("confidence"), "memory_id").select(*memories.columns)
 
 
 def propagate(seeds: DataFrame, links: DataFrame, servable: DataFrame, hops: int) -> DataFrame:
-    """query_id, seed, hop (map of node to level), boosts (map of node to 1/2 a link), inhibited (array)."""
+    """query_id, seed, hop (map of node to level), boosts (map of node to 1/2 a link), inhibited (array).
+
+    seeds: query_id, seed, and ``without``, the nodes that a query does without: they do not fire.
+    """
     ok = servable.select("memory_id")
     live = links.join(ok.withColumnRenamed("memory_id", "from_id"), "from_id", "left_semi").join(ok.withColumnRenamed("memory_id", "to_id"), "to_id", "left_semi")
     targets = lambda kind: F.array_sort(F.collect_list(F.when(F.col("link_type") == kind, F.col("to_id"))))
     out = written(live.groupBy("from_id").agg(targets("RESONANT").alias("resonant"), targets("INHIBITORY").alias("inhibitory")))
     empty = F.array().cast("array<bigint>")
-    state = seeds.select("query_id", "seed", F.array("seed").alias("frontier"), empty.alias("fired"), F.array().cast("array<int>").alias("levels"), empty.alias("inhibited"), empty.alias("boosts"))
+    state = seeds.select("query_id", "seed", "without", F.array("seed").alias("frontier"), empty.alias("fired"), F.array().cast("array<int>").alias("levels"), empty.alias("inhibited"), empty.alias("boosts"))
     kind = "array<struct<node:bigint,resonant:array<bigint>,inhibitory:array<bigint>>>"
     for level in range(min(hops, MOST_HOPS) + 1):
         around = state.select("query_id", F.explode("frontier").alias("node")).join(out, F.col("node") == F.col("from_id"), "left")
@@ -70,7 +77,7 @@ def propagate(seeds: DataFrame, links: DataFrame, servable: DataFrame, hops: int
         state = state.join(nodes, "query_id", "left").withColumn("f", F.aggregate(F.coalesce("nodes", F.array().cast(kind)), start, fire))
         fired, inhibited = F.concat("fired", "f.fired"), F.array_distinct(F.col("f.inhibited"))
         state = state.select(
-            "query_id", "seed", F.array_except(F.array_except(F.col("f.next"), fired), inhibited).alias("frontier"), fired.alias("fired"),
+            "query_id", "seed", "without", F.array_except(F.array_except(F.array_except(F.col("f.next"), fired), inhibited), F.col("without")).alias("frontier"), fired.alias("fired"),
             F.concat("levels", F.array_repeat(F.lit(level), F.size("f.fired"))).alias("levels"),
             inhibited.alias("inhibited"), F.concat("boosts", "f.next").alias("boosts"),
         )
@@ -78,22 +85,32 @@ def propagate(seeds: DataFrame, links: DataFrame, servable: DataFrame, hops: int
 
 
 def scored(memories: DataFrame, links: DataFrame, queries: DataFrame, top_k: int = 5, hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(hits, state): hits with query_id, memory_id, rank, score, hop, rescued; state of the propagation of each query."""
+    """(hits, state): hits with query_id, memory_id, rank, score, hop, rescued; state of the propagation of each query.
+
+    queries: query_id, q, and maybe ``without``, memories (ids) that are as good as absent for that query.
+    """
+    if "without" not in queries.columns:
+        queries = queries.withColumn("without", F.array().cast("array<bigint>"))
+    barred = queries.select("query_id", F.explode("without").alias("memory_id")).distinct()
+    most_barred = queries.agg(F.max(F.size("without"))).first()[0] or 0
     clean = memories.where("custody_status = 'CLEAN'")
     boost = F.create_map(*[F.lit(x) for k, v in STATE_BOOST.items() for x in (k, v)])
     live = written(clean.where("field_state <> 'FORGOTTEN'").withColumn("weight", boost[F.col("field_state")]))
-    seeds = similarity.best(live.withColumn("weight", F.lit(1.0)), queries, 1).select("query_id", F.col("memory_id").alias("seed"))
+    near = similarity.best(live.withColumn("weight", F.lit(1.0)), queries, 1 + most_barred).join(barred, ["query_id", "memory_id"], "left_anti")
+    first = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(similarity.key_column()), "memory_id"))).where("r = 1")
+    seeds = first.select("query_id", F.col("memory_id").alias("seed")).join(queries.select("query_id", "without"), "query_id")
     state = written(propagate(seeds, links, clean, hops))
     touched = written(
         state.select("query_id", "seed", F.explode(F.array_distinct(F.concat(F.map_keys("hop"), "boosts", "inhibited"))).alias("memory_id"), "hop", "boosts", "inhibited")
         .select("query_id", "memory_id", F.coalesce(F.element_at("hop", F.col("memory_id")), F.lit(-1)).alias("hop"), (F.size(F.filter("boosts", lambda b: b == F.col("memory_id"))) * RESONANT_STEP).alias("boost"), (F.array_contains("inhibited", F.col("memory_id")) & (F.col("memory_id") != F.col("seed"))).alias("held"))
     )
+    touched = touched.join(barred, ["query_id", "memory_id"], "left_anti")
     most = touched.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    plain = similarity.best(live, queries, top_k + max(most, SLACK)).join(touched.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    plain = similarity.best(live, queries, top_k + max(most + most_barred, SLACK)).join(barred, ["query_id", "memory_id"], "left_anti").join(touched.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
     plain = plain.withColumns({"hop": F.lit(-1), "rescued": F.lit(False)})
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, v: s + v)
     near = touched.join(live.select("memory_id", "v", "field_state", "weight"), "memory_id").join(queries.select("query_id", "q"), "query_id")
-    near = near.where(~F.col("held") | (F.col("field_state") == "REINFORCED")).withColumn("nv", dot("v", "v")).where("nv > 0")
+    near = near.where(~F.col("held") | rescues(F.col("field_state"))).withColumn("nv", dot("v", "v")).where("nv > 0")
     weight = F.col("weight") * F.when(F.col("hop") >= 0, F.pow(F.lit(DECAY), F.col("hop"))).otherwise(1.0) + F.col("boost")
     near = near.select("query_id", "memory_id", weight.alias("weight"), dot("q", "v").alias("d"), "nv", dot("q", "q").alias("nq"), "hop", F.col("held").alias("rescued"))
     both = plain.unionByName(near).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(similarity.key_column()), "memory_id")))

@@ -1,7 +1,10 @@
-"""Exact nearest vectors of a stated query set: blocked products, a short list a task, no pair rows.
+"""Exact nearest vectors of a query set of any size: blocked products, short lists merged, no pair rows.
 
-The queries (at most ``MOST`` a block, so their size is bounded) go to every task; a task multiplies its vectors with
-them and keeps the best few of each query. Vectors are whole numbers, and products are exact.
+Up to ``MOST`` queries go to every task, which reads its own memories once. More queries are dealt to blocks, as the
+memories are dealt to chunks, by hash; a task has one block and one chunk, holds the block and streams the chunk. There are
+as many chunks as give every core some tasks, so a self-product of n rows moves n * n / ROWS rows and no task holds
+more than a block. A task keeps the best few of each query over all it reads; the tasks' lists meet in one aggregation by
+query. Vectors are whole numbers and products exact: where no sum can pass 2^53 they are taken in doubles, else in integers.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST, ROWS = 2048, 2048
+#: Queries that go to every task; queries of a block, memories multiplied at once, and tasks for each core.
+MOST, BLOCK, ROWS, WAVES = 2048, 4096, 2048, 3
 SCHEMA = "query_id long, memory_id long, weight double, d long, nv long, nq long"
+_COLUMNS = ["query_id", "memory_id", "weight", "d", "nv", "nq"]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -22,60 +27,124 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
 
 
+def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The exact products of all rows of v with all rows of q."""
+    most = int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0)) * v.shape[1]
+    return (v.astype(float) @ q.T.astype(float)).astype(np.int64) if most < 2**53 else v @ q.T
+
+
 def keys(d: np.ndarray, nv: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """(vectors, queries): the squared cosine, but for the query's length, of weighted products; 0 where not positive."""
     x = d * weight[:, None]
     return np.where(x > 0, x * x / nv[:, None].astype(float), 0.0)
 
 
+class Lists:
+    """The k best memories of each of a block of queries, over all that was shown so far."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, by: str):
+        self.ids, self.q, self.k, self.by = ids, q, k, by
+        self.nq = (q * q).sum(1) if len(q) else np.zeros(0, np.int64)
+        self.least = np.full(len(ids), -np.inf)  # the key of the last of a full list
+        self.held = [np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64, np.int64, float)]  # query, memory, weight, d, nv, key
+
+    def show(self, v: np.ndarray, mid: np.ndarray, weight: np.ndarray) -> None:
+        nv = (v * v).sum(1)
+        ok = nv > 0
+        v, mid, weight, nv = v[ok], mid[ok], weight[ok], nv[ok]
+        if not len(v) or not len(self.q):
+            return
+        d = products(v, self.q)
+        key = keys(d, nv, weight) if self.by == "cosine" else d.astype(float) if self.by == "dot" else -(nv[:, None] + self.nq[None] - 2 * d).astype(float)
+        floor = self.least if len(v) <= self.k else np.maximum(self.least, np.partition(key, len(key) - self.k, axis=0)[len(key) - self.k])
+        row, query = np.nonzero(key >= floor[None])
+        new = [query, mid[row], weight[row], d[row, query], nv[row], key[row, query]]
+        both = [np.concatenate(x) for x in zip(self.held, new, strict=True)]
+        order = np.lexsort((both[1], -both[5], both[0]))
+        both = [x[order] for x in both]
+        start = np.searchsorted(both[0], np.arange(len(self.ids)))
+        nth = np.arange(len(order)) - start[both[0]]
+        self.held = [x[nth < self.k] for x in both]
+        last = nth == self.k - 1
+        self.least[both[0][last]] = both[5][last]
+
+    def told(self) -> pa.RecordBatch:
+        query, *rest = self.held
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[query], *rest[:4], self.nq[query])], names=_COLUMNS)
+
+
 def best(memories: DataFrame, queries: DataFrame, k: int, by: str = "cosine") -> DataFrame:
     """The k best memories (memory_id, v, weight) of each query (query_id, q), ties to the smaller id, as ``SCHEMA``.
 
     By ``cosine`` (weighted, at least 0), ``dot`` or ``near`` (least distance). Memories without length take no part.
     """
-    asked = queries.select("query_id", "q").orderBy("query_id").toArrow()  # the stated query set
-    out = None
-    for s in range(0, max(1, asked.num_rows), MOST):
-        part = asked.slice(s, MOST)
-        found = _best_of(memories, part, k, by)
-        out = found if out is None else out.unionByName(found)
-    return out
+    memories = memories.select("memory_id", "v", F.col("weight").cast("double").alias("weight"))
+    asked = queries.select("query_id", "q").limit(MOST + 1).toArrow()
+    near = _by_all(memories, asked, k, by) if asked.num_rows <= MOST else _by_blocks(memories, queries, k, by)
+    order = W.partitionBy("query_id").orderBy(F.desc(key_column(by)), "memory_id")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def _best_of(memories: DataFrame, asked: pa.Table, k: int, by: str) -> DataFrame:
-    ids = asked.column("query_id").to_numpy()
-    q = matrix(asked.column("q").combine_chunks()) if asked.num_rows else np.zeros((0, 0), np.int64)
-    nq = (q * q).sum(1) if len(q) else np.zeros(0, np.int64)
+def _by_all(memories: DataFrame, asked: pa.Table, k: int, by: str) -> DataFrame:
+    """Lists of each task's own memories; the queries go to all tasks."""
+    ids, q = asked.column("query_id").to_numpy(), matrix(asked.column("q").combine_chunks())
 
     def run(batches):
-        for whole in batches:
-            for s in range(0, whole.num_rows, ROWS):
-                b = whole.slice(s, ROWS)
-                v, mid, weight = matrix(b.column("v")), b.column("memory_id").to_numpy(), b.column("weight").to_numpy()
-                nv = (v * v).sum(1)
-                ok = nv > 0
-                v, mid, weight, nv = v[ok], mid[ok], weight[ok], nv[ok]
-                if not len(v) or not len(q):
-                    continue
-                d = v @ q.T
-                key = keys(d, nv, weight) if by == "cosine" else d.astype(float) if by == "dot" else -(nv[:, None] + nq[None] - 2 * d).astype(float)
-                for j in range(len(q)):
-                    order = np.lexsort((mid, -key[:, j]))[:k] if len(v) <= k else _top(key[:, j], mid, k)
-                    n = len(order)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, ids[j])), pa.array(mid[order]), pa.array(weight[order]), pa.array(d[order, j]), pa.array(nv[order]), pa.array(np.full(n, nq[j]))],
-                        names=["query_id", "memory_id", "weight", "d", "nv", "nq"],
-                    )
-
-    near = memories.select("memory_id", "v", F.col("weight").cast("double").alias("weight")).mapInArrow(run, SCHEMA)
-    order = W.partitionBy("query_id").orderBy(F.desc(key_column(by)), "memory_id")
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+        lists = Lists(ids, q, k, by)
+        for b in batches:
+            for s in range(0, b.num_rows, ROWS):
+                part = b.slice(s, ROWS)
+                lists.show(matrix(part.column("v")), part.column("memory_id").to_numpy(), part.column("weight").to_numpy())
+        yield lists.told()
+
+    return memories.mapInArrow(run, SCHEMA)
+
+
+def _by_blocks(memories: DataFrame, queries: DataFrame, k: int, by: str) -> DataFrame:
+    """Lists of each block of queries over each chunk of memories: a cell of a grid is a task's work."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = -(-queries.count() // BLOCK)
+    chunks = max(1, WAVES * cores // blocks)
+    deal = lambda c, n: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(deal("query_id", blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(None).cast("double").alias("weight"))
+    shown = memories.select(every(blocks).alias("block"), deal("memory_id", chunks).alias("chunk"), F.lit(1).alias("side"), F.col("memory_id").alias("id"), "v", "weight")
+    return in_cells(asked, shown, ["block", "chunk"], k, by, blocks * chunks)
 
 
-def _top(key: np.ndarray, mid: np.ndarray, k: int) -> np.ndarray:
-    cut = np.partition(key, len(key) - k)[len(key) - k]
-    some = np.flatnonzero(key >= cut)
-    return some[np.lexsort((mid[some], -key[some]))[:k]]
+def in_cells(asked: DataFrame, shown: DataFrame, cell: list[str], k: int, by: str, parts: int | None = None) -> DataFrame:
+    """Lists of the queries of each cell over the memories of that cell; both have the cell's columns, side (0, 1), id, v, weight."""
+
+    def run(batches):
+        now, lists, ids, rows = None, None, [], []
+        for b in batches:
+            where = np.stack([b.column(c).to_numpy() for c in (*cell, "side")])
+            cuts = np.append(0, np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1)
+            for a, z in zip(cuts, np.append(cuts[1:], b.num_rows), strict=True):
+                if z <= a:
+                    continue
+                here, side = tuple(where[:-1, a]), where[-1, a]
+                if here != now:
+                    if lists:
+                        yield lists.told()
+                    now, lists, ids, rows = here, None, [], []
+                part = b.slice(a, z - a)
+                v, mid = matrix(part.column("v")), part.column("id").to_numpy()
+                if side == 0:
+                    ids.append(mid)
+                    rows.append(v)
+                    continue
+                if lists is None and ids:
+                    lists = Lists(np.concatenate(ids), np.concatenate(rows), k, by)
+                if lists:
+                    for s in range(0, len(mid), ROWS):
+                        lists.show(v[s : s + ROWS], mid[s : s + ROWS], part.column("weight").to_numpy()[s : s + ROWS])
+        if lists:
+            yield lists.told()
+
+    both = asked.unionByName(shown)
+    dealt = both.repartition(parts, *cell) if parts else both.repartition(*cell)
+    return dealt.sortWithinPartitions(*cell, "side").mapInArrow(run, SCHEMA)
 
 
 def key_column(by: str = "cosine"):

@@ -179,26 +179,38 @@ def quarantines(events: DataFrame) -> DataFrame:
     return found.select("subject", F.col("at").alias("opened"), F.when(F.col("next").isNull() | (F.col("freed.seq") < F.col("next")), F.col("freed.at")).alias("closed"))
 
 
-def controlled(observations: DataFrame) -> DataFrame:
-    """The observations (agent, seq, units of 1e-10) with ema, mode, trigger and stagnation after each step.
+def live_signals(signals: DataFrame, now_us: int, scale_s: int, floor: float = 0.05) -> DataFrame:
+    """The signals (strength, created_us, expires_us) that still count at an instant, with vigor, their strength by then.
 
-    The stored average is rounded to 1e-10 at each step.
+    Strength decays exponentially from creation, with a scale in seconds; a signal counts while it is not expired and its vigor
+    is at least the floor. Without a strength it does not count.
     """
+    age = (F.lit(now_us) - F.col("created_us")) / 1e6
+    told = signals.withColumn("vigor", F.col("strength") * F.exp(-age / scale_s))
+    return told.where((F.col("expires_us") > now_us) & (F.col("vigor") >= floor))
+
+
+def control_step(state: tuple[int, str, int], units: int) -> tuple[tuple[int, str, int], str | None]:
+    """(average, mode, stagnation) after an observation, and what made the mode change; the average is rounded to 1e-10."""
+    ema, mode, still = state
+    exact = BETA * units + (1 - BETA) * ema
+    still = (0 if exact >= ema + IMPROVEMENT * ONE else still + 1) if mode == "DWELLING" else 0
+    new, trigger = mode, None
+    if mode == "ROAMING" and exact >= ENTER * ONE:
+        new, trigger = "DWELLING", "ENTER"
+    elif mode == "DWELLING" and exact <= LEAVE * ONE:
+        new, trigger = "ROAMING", "LEAVE"
+    elif mode == "DWELLING" and still >= STAGNATION:
+        new, trigger = "ROAMING", "STAGNATION"
+    return (rounded(exact), new, 0 if new != mode else still), trigger
+
+
+def controlled(observations: DataFrame) -> DataFrame:
+    """The observations (agent, seq, units of 1e-10) with ema, mode, trigger and stagnation after each step."""
 
     def step(s, row):
-        ema, mode, still = s
-        exact = BETA * row["units"] + (1 - BETA) * ema
-        still = (0 if exact >= ema + IMPROVEMENT * ONE else still + 1) if mode == "DWELLING" else 0
-        new, trigger = mode, None
-        if mode == "ROAMING" and exact >= ENTER * ONE:
-            new, trigger = "DWELLING", "ENTER"
-        elif mode == "DWELLING" and exact <= LEAVE * ONE:
-            new, trigger = "ROAMING", "LEAVE"
-        elif mode == "DWELLING" and still >= STAGNATION:
-            new, trigger = "ROAMING", "STAGNATION"
-        still = 0 if new != mode else still
-        ema = rounded(exact)
-        return (ema, new, still), (shown(ema), new, trigger, still)
+        (ema, mode, still), trigger = control_step(s, row["units"])
+        return (ema, mode, still), (shown(ema), mode, trigger, still)
 
     return folded(observations, "agent", ["seq"], lambda: (0, "ROAMING", 0), step, "ema string, mode string, trigger string, stagnation int")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import replay
 from chronofold.operators.recall import recall
-from chronofold.plans import checks, field, ledger, maintenance, relational, scalars, states, trials, vectors  # noqa: F401  some only register their queries
+from chronofold.plans import checks, field, field_store, history, ledger, maintenance, relational, scalars, states, trials, vectors  # noqa: F401  some only register their queries
 from chronofold.plans.dialect import oracle, query
 from chronofold.streaming.signals import consensus
 

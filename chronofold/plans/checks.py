@@ -257,13 +257,6 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(n, "source").select("source", "word", F.round(F.col("x") / F.col("n"), 9).alias("share"))
 
 
-@registered("AGG-20_bounded_drain", "select event_type, count(*) as waiting, least(count(*) // 25 + 1, 8) as chunks, least(count(*), 8 * 25) as drained from events group by event_type")
-def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 25 until a short one, eight at most."""
-    n = F.count("*")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(n.alias("waiting"), F.least(F.floor(n / 25) + 1, F.lit(8)).alias("chunks"), F.least(n, F.lit(200)).alias("drained"))
-
-
 @registered("AGG-22_counters", "select 'requests_total{type=\"' || event_type || '\"} ' || count(*) as line from events group by event_type union all select 'requests_value_sum ' || sum(floor(value))::bigint from events union all select 'requests_cached ' || count(*) filter (json_extract_string(props, '$.k')::int % 2 = 0) from events")
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals as lines of the text format that monitors read."""

@@ -176,16 +176,6 @@ def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("query_id", "draw").agg(F.array_join(listed, ",").alias("served"))
 
 
-@registered("GRF-14_dependence_class", own(_DOTS + ", " + _top(CLEAN, 6) + ", c as (select query_id, count(*) filter (r <= 3 and topic = f) as same, count(*) filter (r <= 3) as n from (select t.*, first_value(topic) over (partition by query_id order by r) as f from t) x group by query_id) select query_id, case when same >= 2 then 'REDUNDANT_PATHS' when n = 1 then 'SINGLE_NECESSARY' else 'MULTIPLE_NECESSARY' end as class from c"))
-def dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the topic of the first hit survives without it: another of the three served has it, or none."""
-    m = model(spark, sf_dir, "memories").select("memory_id", "topic")
-    t = ranked(spark, sf_dir, CLEAN, 6).join(m, "memory_id").where("r <= 3")
-    per = t.groupBy("query_id").agg(F.min_by("topic", "r").alias("f"), F.collect_list("topic").alias("all"))
-    same = F.size(F.filter("all", lambda x: x == F.col("f")))
-    return per.select("query_id", F.when(same >= 2, "REDUNDANT_PATHS").when(F.size("all") == 1, "SINGLE_NECESSARY").otherwise("MULTIPLE_NECESSARY").alias("class"))
-
-
 @registered("GRF-16_intervention", own(_DOTS + ", " + _top(CLEAN, 6) + """ select query_id, sha256('{"entered":' || coalesce(min(case when r = 6 then memory_id end)::varchar, 'null') || ',"query_id":' || query_id || ',"suppressed":' || min(case when r = 1 then memory_id end) || '}') as delta_sha256 from t group by query_id"""))
 def intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppress the first hit of each query: the sealed difference of both worlds."""

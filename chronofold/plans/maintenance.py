@@ -1,7 +1,6 @@
 """Maintenance, write-path views, integrity checks and experiment statistics."""
 
 BODIES = {
-    "EVT-6_supersede": "select a.memory_id, min(b.memory_id) as superseded_by from memories a join memories b on a.topic = b.topic and a.claim = b.claim and b.memory_id > a.memory_id group by a.memory_id",
     "EVT-10_forget": "select memory_id, field_state as state_from, 'FORGOTTEN' as state_to from memories where field_state <> 'FORGOTTEN' and memory_id % 19 = 0",
     "STR-5_ttl_expiry": "select event_id, user_id from events where MICROS(ts) + 1800000000 <= (select max(MICROS(ts)) from events)",
     "EXP-6_disagreement": """
@@ -11,7 +10,6 @@ select within, count(*) as pairs, sum(case when differ then 1 else 0 end) as dis
     "EXP-9_mean_std": "select event_type, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, round(stddev_samp(value) / sqrt(count(*)), 6) as sem from events group by event_type",
     "EXP-16_quality": "select quality, toxic, count(*) as n, sum(d.n_chars) as chars from labels l join documents d on l.doc_id = d.doc_id group by quality, toxic",
     "SNK-6_graph_export": "select 'NODE' as kind, memory_id as a, cast(null as bigint) as b, field_state as label from memories union all select 'EDGE', from_id, to_id, link_type from links",
-    "SNK-12_paged_list": "select memory_id, topic, DIV(row_number() over (order by memory_id) - 1, 50) as page from memories where topic = 3",
     "GRF-11_single_ablation": """
 s as (select q.query_id, m.memory_id, DOT(q.q, m.v) as d from queries q cross join memories m where m.custody_status = 'CLEAN'),
 t as (select query_id, memory_id, row_number() over (partition by query_id order by d desc, memory_id) as r from s)

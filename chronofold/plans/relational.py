@@ -7,31 +7,17 @@ BODIES = {
     "SRC-4_id_list_fetch": "select memory_id, topic from memories where memory_id in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "SRC-5_link_scan": "select from_id, to_id from links where link_type = 'RESONANT'",
     "SRC-6_link_index_scan": "select to_id, count(*) as in_degree, min(from_id) as first_from from links group by to_id",
-    "SRC-7_chain_scan": "select subject, seq, kind, event_id, actor from chain where subject % 10 = 3",
+    "SRC-7_chain_scan": "select subject, seq, kind, event_id, actor from chain",
     "SRC-11_audit_page": "select event_id, user_id, event_type from events order by ts desc, event_id desc limit 50",
     "SRC-12_alert_page": "select event_id, user_id from events where event_type = 'error' order by ts desc, event_id desc limit 30",
     # filters
     "FLT-1_custody_gate": "select memory_id, topic from memories where custody_status = 'CLEAN'",
     "FLT-2_forgotten_filter": "select memory_id, topic from memories where custody_status = 'CLEAN' and field_state <> 'FORGOTTEN'",
     "FLT-3_influence_events": "select subject, seq, kind from chain where kind in ('REINFORCED', 'DECISION_USED_MEMORY')",
-    "FLT-7_liveness": "select subject, max(seq) as head from chain group by subject having sum(case when kind = 'REINFORCED' then 1 else 0 end) * 20 >= count(*)",
-    "FLT-8_stale": "select subject from chain group by subject having max(MICROS(ts)) < (select max(MICROS(ts)) from events) - 604800000000",
-    "FLT-14_absence_reason": """
-select memory_id, case when custody_status <> 'CLEAN' then 'CUSTODY' when field_state = 'FORGOTTEN' then 'FORGOTTEN' when DOT(v, v) = 0 then 'ZERO_NORM' else 'SERVABLE' end as reason from memories""",
     # joins
-    "JOIN-1_contradictions": "select a.memory_id as from_id, b.memory_id as to_id from memories a join memories b on a.topic = b.topic and a.memory_id <> b.memory_id and a.claim <> b.claim",
-    "JOIN-2_new_contradictions": """
-select a.memory_id as from_id, b.memory_id as to_id from memories a join memories b on a.topic = b.topic and a.memory_id < b.memory_id and a.claim <> b.claim
-where not exists (select 1 from links l where l.from_id = a.memory_id and l.to_id = b.memory_id)""",
     "JOIN-3_backlinks": "select l.to_id, m.memory_id as from_id, m.topic, l.link_type from links l join memories m on l.from_id = m.memory_id",
-    "JOIN-4_outlinks": "select from_id, to_id, link_type from links where from_id % 5 = 1",
+    "JOIN-4_outlinks": "select from_id, to_id, link_type from links",
     "JOIN-5_decisions_with_questions": "select o_orderkey as decision_id, o_custkey as actor, l_partkey as used from orders join lineitem on o_orderkey = l_orderkey where o_orderdate > cast('1996-01-01' as timestamp)",
-    "JOIN-6_as_of": """
-asked as (select event_id as ask_id, user_id, MICROS(ts) as t from events where event_type = 'view')
-select a.ask_id, max(c.seq) as seq, max_by(c.kind, c.seq) as kind from asked a join chain c on c.subject = a.user_id and MICROS(c.ts) <= a.t group by a.ask_id""",
-    "JOIN-7_event_grant_interval": """
-spans as (select actor, subject, MICROS(ts) as since, lead(MICROS(ts)) over (partition by actor, subject order by seq) as until from chain)
-select c.subject, c.seq, count(*) as n from chain c join spans s on s.actor = c.actor and s.subject = c.subject and MICROS(c.ts) >= s.since and (s.until is null or MICROS(c.ts) < s.until) group by c.subject, c.seq""",
     "JOIN-8_prior_state": "select subject, seq, lag(kind) over (partition by subject order by seq) as prior_kind, sum(case when kind = 'TAINT_FLAGGED' then 1 else 0 end) over (partition by subject order by seq rows between unbounded preceding and 1 preceding) as prior_taints from chain",
     "JOIN-10_relation_pairs": """
 o as (select from_id as a, to_id as b from links where link_type = 'RESONANT')
@@ -65,9 +51,6 @@ select user_id, sum(case when event_type = 'purchase' then vigor else 0 end) as
 s as (select subject, max(case when kind in ('QUARANTINED', 'REHABILITATED') then seq end) as strong, max(case when kind = 'TAINT_FLAGGED' then seq end) as taint, count(*) as n from chain group by subject)
 select s.subject, s.n, case when c.kind = 'QUARANTINED' then 'QUARANTINED' when s.taint is not null and s.taint > coalesce(s.strong, -1) then 'TAINT_FLAGGED' else 'CLEAN' end as status
 from s left join chain c on c.subject = s.subject and c.seq = s.strong""",
-    "WIN-11_state_as_of": """
-past as (select * from chain where MICROS(ts) <= (select DIV(min(MICROS(ts)) + max(MICROS(ts)), 2) from events))
-select subject, count(*) as n, max(seq) as seq, max_by(kind, seq) as kind from past group by subject""",
     "WIN-13_rolling_profile": "select subject, seq, count(*) over w as n, min(seq) over w as first_seq, sum(case when kind = 'REINFORCED' then 1 else 0 end) over w as reinforced from chain window w as (partition by subject order by seq rows between 9 preceding and current row)",
     "WIN-15_adjacency": "select subject, seq from (select subject, seq, kind, lead(kind) over (partition by subject order by seq) as next_kind from chain) c where kind = 'DECISION_USED_MEMORY' and next_kind = 'REINFORCED'",
     "WIN-16_turn_history": "select subject, seq, r from (select subject, seq, row_number() over (partition by subject order by seq desc) as r from chain where kind = 'DECISION_USED_MEMORY') c where r <= 20",

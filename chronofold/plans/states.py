@@ -18,7 +18,7 @@ authority as (
 claim_events as (
   select 'c' || STR(subject) as claim_id, seq, MICROS(ts) as created_us,
          case when seq = 0 then 'CLAIM_ASSERTED' when actor = 1 then 'CLAIM_VALIDATED' when actor = 2 then 'CLAIM_REFUTED' when actor = 3 and event_type = 'click' then 'CLAIM_WITHDRAWN' when actor = 4 and event_type = 'view' then 'CLAIM_SUPERSEDED'
-              when actor < 7 then 'EVIDENCE_LINKED' else 'RELATED_TO' end as kind, actor from chain where seq < 8 or subject % 2 = 0),
+              when actor < 7 then 'EVIDENCE_LINKED' else 'RELATED_TO' end as kind, actor from chain),
 sets as (
   select distinct 's' || STR(subject % 40) as set_id, case subject % 40 % 3 when 0 then 'AT_MOST_ONE' when 1 then 'EXACTLY_ONE' else 'INCOMPATIBLE' end as kind, 'c' || STR(subject) as claim_id from chain),
 turns as (

@@ -86,27 +86,52 @@ def evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"custody": custody, "memories": born.join(per.select("memory_id", status.alias("custody_status")), "memory_id")}
 
 
-@registered("SNK-2_bundle_export", duck("select 'custody' as section, count(*) as n from pending union all select 'memories', count(distinct subject) from pending", ledger.INPUTS))
+def _statuses(events: str) -> str:
+    """SQL: the replayed status of each subject of a table of events (subject, seq, event_type), fold by fold."""
+    return f"""(select subject, case max_by(event_type, seq) filter (event_type in ('QUARANTINED', 'SUPERSEDED_BY', 'REHABILITATED')) when 'QUARANTINED' then 'QUARANTINED' when 'SUPERSEDED_BY' then 'SUPERSEDED'
+      else case when max(seq) filter (event_type = 'TAINT_FLAGGED') > coalesce(max(seq) filter (event_type in ('QUARANTINED', 'SUPERSEDED_BY', 'REHABILITATED')), -1) then 'TAINT_FLAGGED' else 'CLEAN' end end as status from {events} group by subject)"""
+
+
+def _root(rows: str, section: str) -> str:
+    """SQL: the tree over the canonical rows of a section, pair by pair."""
+    return f"""
+{section}_tree as (
+  select 0 as level, list(sha256(row_) order by row_) as nodes from ({rows}) x
+  union all
+  select level + 1, list_transform(range(0, len(nodes), 2), lambda i: case when i + 1 < len(nodes) then sha256(nodes[i + 1] || nodes[i + 2]) else nodes[i + 1] end) from {section}_tree where len(nodes) > 1)"""
+
+
+_ROWS = """'{"actor":"' || actor || '","created_at":"' || created_at || '","entry_hash":"' || entry_hash || '","event_type":"' || event_type || '","payload_json":"' || replace(payload_json, '"', '\\"') || '","prev_hash":"' || prev_hash || '","reason":"' || replace(reason, '"', '\\"') || '","seq":' || seq || ',"subject":"' || subject || '"}'"""
+_EXPORT = ledger._enveloped(ledger.CHAINED) + f""",
+told as (select subject, seq, event_type from rows_),
+{_root(f"select {_ROWS} as row_ from rows_", "custody")},
+{_root("""select '{"content":"content ' || substr(subject, 2) || '","custody_status":"' || status || '","memory_id":"' || subject || '"}' as row_ from """ + _statuses("told") + " y", "memories")}
+select 'custody' as section, nodes[1] as root, (select count(*) from rows_) as n from custody_tree where len(nodes) = 1 union all select 'memories', nodes[1], (select count(distinct subject) from rows_) from memories_tree where len(nodes) = 1"""
+
+
+@registered("SNK-2_bundle_export", duck(_EXPORT, ledger.INPUTS, True))
 def bundle_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sections that a manifest seals (their roots and the seal are held against the check below)."""
+    """The sections that a manifest seals, with their roots over all rows."""
     sections = evidence(spark, sf_dir)
     told = bundle.manifest(sections)
-    assert not bundle.verify(spark, told, sections).limit(1).count()
-    out = [(k, df.count()) for k, df in sections.items()]
-    return spark.createDataFrame(out, "section string, n long")
+    out = [(k, told["sections"][k], df.count()) for k, df in sections.items()]
+    return spark.createDataFrame(out, "section string, root string, n long")
 
 
-@registered("VER-0_bundle", duck("""s as (select subject, cast(substr(subject, 2) as bigint) as k, count(*) as n from pending group by subject)
+@registered("VER-0_bundle", duck(f"""s as (select subject, cast(substr(subject, 2) as bigint) as k, count(*) as n from pending group by subject),
+ch as (select subject, place as seq, event_type from pending),
+dm as (select ch.subject, seq, case when k % 10 = 4 and seq = 3 then 'STORED' when k % 10 = 5 and seq = 0 then 'REINFORCED' when k % 10 = 6 and seq = 3 then 'INVENTED' else event_type end as event_type from ch join s on s.subject = ch.subject where not (k % 10 = 2 and seq = 2))
 select 'B1' as check_id, 'custody' as subject, 'ROOT' as code union all select 'B1', 'memories', 'ROOT' union all select 'B0', 'protocols', 'VERSION' union all select 'B1', 'seal', 'SEAL'
 union all select 'B2', subject, case when k % 10 = 5 then 'NO_BIRTH' else case k % 10 when 1 then 'TAMPERED' when 2 then 'SEQ_NOT_DENSE' when 3 then 'NOT_LINKED' when 4 then 'SECOND_BIRTH' when 6 then 'UNKNOWN_EVENT' when 7 then 'NOT_CANONICAL' when 8 then 'NOT_JSON' end end from s where k % 10 = 5 or k % 10 between 1 and 8 and n > 3
-union all select 'B3', subject, 'CONTENT' from s where k % 6 = 1""", ledger.INPUTS))
+union all select 'B3', subject, 'CONTENT' from s where k % 6 = 1
+union all select 'B4', a.subject, 'STATE' from {_statuses("ch")} a join {_statuses("dm")} b on a.subject = b.subject where a.status <> b.status""", ledger.INPUTS))
 def bundle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a bundle's checks say after its chains, contents and protocols were tampered with."""
     sections = evidence(spark, sf_dir)
     told = bundle.manifest(sections)
     told = {**told, "protocols": {**told["protocols"], "custody": "9.0.0"}}
     changed = sections["memories"].withColumn("content", F.when(F.substring("memory_id", 2, 20).cast("long") % 6 == 1, "another").otherwise(F.col("content")))
-    return bundle.verify(spark, told, {"custody": ledger.damaged(sections["custody"]), "memories": changed}).where("check <> 'B4'").withColumnRenamed("check", "check_id")
+    return bundle.verify(spark, told, {"custody": ledger.damaged(sections["custody"]), "memories": changed}).withColumnRenamed("check", "check_id")
 
 
 _FEED = "select batch, place, case when event_type in ('click', 'view') then 'm' || event_id % 3 when event_type = 'signup' then 'm' || event_id % 2 end as memory_id, case event_type when 'click' then 'r1' when 'view' then 'r2' when 'error' then 'r1' when 'signup' then 'r3' end as origin_region, case event_type when 'error' then 'MALFORMED' when 'view' then 'IGNORED' when 'purchase' then 'IGNORED' else case when row_number() over (partition by batch, event_type, case event_type when 'click' then event_id % 3 else event_id % 2 end order by place) = 1 then 'ATTEMPT' else 'IGNORED' end end as outcome from feed"
@@ -146,18 +171,6 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.classified(pairs, regions, told)
 
 
-_NOW = "(select max(ts) - interval 12 hour from events)"
-
-
-@registered("STR-7_sweep", f"select event_id as id, event_type from events where ts + interval 30 minute <= {_NOW} order by ts + interval 30 minute, event_id limit 200")
-def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tick: the oldest expired signals, two chunks of a hundred at most."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    now = e.agg((F.max("ts") - F.expr("interval 12 hours")).alias("t")).first()[0]
-    s = e.select(F.col("event_id").alias("id"), "event_type", (F.col("ts") + F.expr("interval 30 minutes")).alias("expires_at"))
-    return changefeed.swept(s, now, 100, 2).select("id", "event_type")
-
-
 @registered("STR-6_orphans", f"select memory_id, last_seen_us from (select user_id as memory_id, max(epoch_us(ts)) as last_seen_us from events group by user_id) x where last_seen_us <= (select quantile_disc(m, 0.4) from (select max(epoch_us(ts)) as m from events group by user_id)) and memory_id % 7 <> 0 and memory_id % 5 <> 0 order by last_seen_us, memory_id limit 1000")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stalest memories that are neither orphans already nor reinforced, the limit being the sweep's own."""

@@ -51,12 +51,6 @@ def classified(pairs: DataFrame, regions: DataFrame, memories: DataFrame) -> Dat
     return df.select("memory_id", "origin_region", outcome.alias("outcome"))
 
 
-def swept(signals: DataFrame, now, chunk: int = 100, most: int = 5) -> DataFrame:
-    """The signals (id, expires_at) that one tick expires: the oldest first, in chunks, so many at most."""
-    due = signals.where(F.col("expires_at") <= F.lit(now))
-    return due.orderBy("expires_at", "id").limit(chunk * most)
-
-
 def orphaned(memories: DataFrame, now, days: int = 7, most: int = 1000) -> DataFrame:
     """The stalest memories (memory_id, tier, state, created_at, last_*) without a sign of life for the window."""
     last = F.greatest(*[F.coalesce(c, "created_at") for c in memories.columns if c.startswith("last_")], F.col("created_at"))

@@ -98,9 +98,24 @@ def test_override_time_travel_and_receipts(spark):
     one = R.receipts(m, x, q).first()
     assert (one.seed_memory_id, one.served, one.excluded_custody, one.excluded_forgotten, one.excluded_inhibited) == (2, ["2"], 1, 1, 1)
     assert R.recall(m, x, q, at=datetime.datetime(2023, 1, 1)).count() == 2
-    chain = spark.createDataFrame([(1, 0, "STORED", T0), (1, 1, "QUARANTINED", late), (2, 0, "STORED", late)], "memory_id long, seq long, kind string, created_at timestamp")
-    past = R.as_of(m, chain, datetime.datetime(2024, 3, 1))
-    assert [(r.memory_id, r.custody_status) for r in past.collect()] == [(1, "CLEAN")]
+
+
+def test_time_travel_replays_status_and_state(spark):
+    """A memory forgotten later was there; one promoted later was not yet; today's columns tell nothing."""
+    day = lambda i: datetime.datetime(2024, 1, 1 + i)
+    rows = [(1, 0, "STORED", None, day(0)), (1, 1, "STATE_CHANGED", "FORGOTTEN", day(9)), (2, 0, "STORED", None, day(0)), (2, 1, "REINFORCED", None, day(8)), (2, 2, "STATE_CHANGED", "REINFORCED", day(8)), (3, 0, "STORED", None, day(0)), (3, 1, "TAINT_FLAGGED", None, day(1)), (3, 2, "REHABILITATED", None, day(7)), (4, 0, "STORED", None, day(6))]
+    kinds = "memory_id long, seq long, kind string, to string, created_at timestamp"
+    chain = spark.createDataFrame(rows, kinds)
+    m = spark.createDataFrame([(1, "CLEAN", "FORGOTTEN", [9, 1]), (2, "CLEAN", "REINFORCED", [8, 3]), (3, "CLEAN", "NEUTRAL", [9, 2]), (4, "CLEAN", "NEUTRAL", [9, 1])], MEM)
+    then = {r.memory_id: (r.custody_status, r.field_state) for r in R.as_of(m, chain, day(5)).collect()}
+    assert then == {1: ("CLEAN", "NEUTRAL"), 2: ("CLEAN", "NEUTRAL"), 3: ("TAINT_FLAGGED", "NEUTRAL")}
+    now = {r.memory_id: (r.custody_status, r.field_state) for r in R.as_of(m, chain, day(20)).collect()}
+    assert now == {1: ("CLEAN", "FORGOTTEN"), 2: ("CLEAN", "REINFORCED"), 3: ("CLEAN", "NEUTRAL"), 4: ("CLEAN", "NEUTRAL")}
+    q, none = spark.createDataFrame([(7, [9, 1])], QUERY), spark.createDataFrame([], LINK)
+    assert [r.memory_id for r in R.recall(R.as_of(m, chain, day(5)), none, q, at=day(5)).orderBy("rank").collect()] == [1, 2]
+    for bad in [(5, 1, "QUARANTINED", None, day(0)), (1, 2, "STORED", None, day(10)), (2, 3, "REHABILITATED", None, day(9))]:
+        with pytest.raises(Exception, match="chain|replay"):
+            R.as_of(m, chain.unionByName(spark.createDataFrame([bad], kinds)), day(20)).collect()
 
 
 def test_many_touched_memories_do_not_shorten_the_list(spark):

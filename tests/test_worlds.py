@@ -1,7 +1,9 @@
 """Counterfactuals, graphs, consolidation, spectra, limits and experiments against plain versions."""
 
 import collections
+import dataclasses
 import datetime
+import itertools
 import math
 import random
 
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.operators import agent, consolidation, counterfactual, experiments, graph, spectral, states
+from chronofold.operators import recall as R
 from chronofold.sources import bundle, portable, vault
 from chronofold.streaming import changefeed
 
@@ -199,6 +202,87 @@ def test_a_stream_of_envelopes_attempts_each_pair_once(spark, tmp_path):
     assert collections.Counter((r.batch, r.outcome) for r in rows) == {(0, "ATTEMPT"): 1, (0, "IGNORED"): 2, (1, "ATTEMPT"): 2, (1, "IGNORED"): 1, (2, "IGNORED"): 1, (3, "MALFORMED"): 1}
 
 
+def test_answers_become_decisions_and_reinforce(spark, field):
+    """Declared and shown memories are reinforced, declared ones only are used, and what was not served counts for nothing."""
+    q = spark.createDataFrame([(0, [100, 0]), (1, [100, 20])], "query_id long, q array<long>")
+    served = {(r.query_id, r.memory_id) for r in field.ask(q).collect()}
+    told = spark.createDataFrame([(0, "memory 1 words here", [1, 4]), (1, "nothing of that", [1, 2])], "query_id long, answer string, declared array<long>")
+    after, events = field.answered(q, told, 9, hour(30))
+    got = sorted((r.memory_id, r.seq, r.kind, r.caused_by) for r in events.collect())
+    uses = sorted(m for query, m in served if m in ({1, 4} if query == 0 else {1, 2}))
+    assert [m for m, _, k, _ in got if k == "DECISION_USED_MEMORY"] == uses and {k for *_, k, _ in got} <= {"DECISION_USED_MEMORY", "REINFORCED"}
+    assert (1, 4, "DECISION_USED_MEMORY", 13) in got and (1, 5, "REINFORCED", 13) in got and max(c for *_, c in got) == 14
+    made = {r.decision_id: (r.used, r.actor) for r in after.decisions.where("decision_id > 12").collect()}
+    assert made[13] == ([m for m in (1, 4) if (0, m) in served], 9) and after.chain.count() == field.chain.count() + len(got)
+    assert {(r.kind, r.id, r.level) for r in after.impact(spark.createDataFrame([(1,)], "id long")).collect()} >= {("DECISION", 13, "DIRECT"), ("RECEIPT", 0, "DIRECT")}
+
+
+def test_promotion_by_answers(spark, field):
+    fresh = dataclasses.replace(field, memories=field.memories.where("memory_id in (3, 4)"), decisions=field.decisions.limit(0))
+    q = spark.createDataFrame([(i, [100, 0]) for i in range(4)], "query_id long, q array<long>")
+    told = spark.createDataFrame([(i, "memory 3 words here", [3]) for i in range(4)], "query_id long, answer string, declared array<long>")
+    after, events = fresh.answered(q, told, 9, hour(30))
+    kinds = [r.kind for r in events.where("memory_id = 3").orderBy("seq").collect()]
+    assert kinds == ["DECISION_USED_MEMORY", "REINFORCED"] * 3 + ["STATE_CHANGED"] + ["DECISION_USED_MEMORY", "REINFORCED"]
+    assert {r.memory_id: r.field_state for r in after.memories.collect()}[3] == "REINFORCED"
+    assert {r.memory_id: r.field_state for r in R.as_of(after.memories, after.chain, hour(40)).collect()}[3] == "REINFORCED"
+
+
+def test_impact_tells_descent_and_who_attests(spark, field):
+    chain = field.chain.withColumn("actor", F.lit(7)).unionByName(spark.createDataFrame([(5, 0, "STORED", None, hour(22), 10, 7), (6, 0, "STORED", None, hour(22), 10, 8)], CHAIN + ", actor int"))
+    memories = field.memories.withColumn("superseded_by", F.when(F.col("memory_id") == 1, F.lit(4).cast("long")))
+    links = spark.createDataFrame([(1, 3, "RESONANT", hour(0))], "from_id long, to_id long, link_type string, created_at timestamp")
+    f = dataclasses.replace(field, chain=chain, memories=memories, links=links, served=spark.createDataFrame([(70, 1), (70, 2), (71, 3)], "receipt_id long, memory_id long"))
+    got = {(r.kind, r.id): (r.level, r.attested) for r in f.impact(spark.createDataFrame([(1,)], "id long")).collect()}
+    assert got == {("DECISION", 10): ("DIRECT", None), ("RECEIPT", 70): ("DIRECT", None), ("MEMORY", 4): ("DERIVED", True), ("MEMORY", 5): ("DERIVED", True), ("MEMORY", 6): ("DERIVED", False), ("MEMORY", 2): ("POSSIBLE", None), ("MEMORY", 3): ("POSSIBLE", None)}
+    lost = f.evidence_without(f.decisions.where("decision_id = 10").select("decision_id"), spark.createDataFrame([(1, 0)], "memory_id long, seq long")).collect()
+    assert [(r.decision_id, r.memory_id, r.still_served) for r in lost] == [(10, 1, False)]
+
+
+def test_dependence_and_rescue_against_single_worlds(spark):
+    """3 hangs on 1 and 2: either lifts it enough alone."""
+    from chronofold.operators import ablation
+
+    rng = random.Random(4)
+    mem = [(i, "CLEAN", "REINFORCED" if i in (3, 9) else "NEUTRAL", [100 - 3 * i, 10 + 7 * i]) for i in range(1, 12)]
+    links = [(1, 2, "RESONANT", T0), (1, 9, "RESONANT", T0), (2, 9, "RESONANT", T0), (1, 7, "RESONANT", T0), (2, 4, "INHIBITORY", T0), (4, 3, "INHIBITORY", T0)]
+    m, x = spark.createDataFrame(mem, "memory_id long, custody_status string, field_state string, v array<long>"), spark.createDataFrame(links, "from_id long, to_id long, link_type string, created_at timestamp")
+    queries = spark.createDataFrame([(0, [100, 0]), (1, [60, rng.randrange(40, 60)])], "query_id long, q array<long>")
+    world = lambda gone: {(r.query_id, r.memory_id) for r in R.recall(m, x, queries, 4, 2, {g: "QUARANTINED" for g in gone}).collect()}
+    base = world(())
+    got = {(r.query_id, r.watched): (r.verdict, {tuple(k) for k in r.killers}) for r in ablation.dependence(m, x, queries, spark.createDataFrame(sorted(base), "query_id long, memory_id long"), 4, 2).collect()}
+    assert set(got) == base
+    for q in (0, 1):
+        near = sorted(c for query, c in base if query == q)
+        worlds = {s: world(s) for n in (1, 2) for s in itertools.combinations(near, n)}
+        for w in near:
+            kills = {s for s, served in worlds.items() if w not in s and (q, w) not in served}
+            least = {s for s in kills if not any(set(t) < set(s) for t in kills)}
+            single = sum(len(s) == 1 for s in least)
+            want = ablation.NONE if not kills else ablation.SINGLE if single == 1 else ablation.MULTIPLE if single else ablation.REDUNDANT
+            assert got[q, w] == (want, least)
+    exits = ablation.rescue_fuzz(m, x, queries, 2, 6, top_k=4).collect()
+    assert all(r.reason in ("OUTRANKED", "UNREACHABLE") for r in exits)
+    for r in exits:
+        assert (r.query_id, r.memory_id) in base and (r.query_id, r.memory_id) not in world(tuple(r.suppressed))
+
+
+def test_seeded_vectors_are_the_generator_s_stream(spark):
+    """Against another implementation of the same generator."""
+    import hashlib
+
+    texts = ["hello", "é 😀", "hello"]
+    got = {r.id: r.v for r in agent.PROVIDERS["seeded-384"](spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        seed = int.from_bytes(hashlib.sha256(t.encode()).digest(), "big")
+        words = [seed >> 32 * k & 0xFFFFFFFF for k in range(8)]
+        raw = [-1.0 + 2.0 * x for x in np.random.RandomState(np.array(words, np.uint32)).random_sample(384).tolist()]
+        norm = math.sqrt(sum(x * x for x in raw))
+        assert got[i] == [x / norm for x in raw]
+    with pytest.raises(Exception, match="blank"):
+        agent.PROVIDERS["seeded-384"](spark.createDataFrame([(1, " ")], "id long, text string")).collect()
+
+
 def test_token_vectors(spark):
     import hashlib
     import re
