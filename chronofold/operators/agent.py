@@ -108,8 +108,9 @@ class Field:
         grown = uses.withColumn("now", 1 - (1 - F.col("confidence")) * F.pow(F.lit(0.75), nth)).withColumn("past", 1 - (1 - F.col("confidence")) * F.pow(F.lit(0.75), nth - F.col("shown").cast("int")))
         due = F.col("shown") & (F.col("field_state") == "NEUTRAL") & (F.col("now") >= 0.75) & ((F.col("past") < 0.75) | (nth == 1))
         event = lambda kind, to=None: F.struct(F.lit(kind).alias("kind"), F.lit(to).cast("string").alias("to"))
-        kinds = F.concat(F.array(event("DECISION_USED_MEMORY")), F.when(F.col("shown"), F.array(event("REINFORCED"))).otherwise(F.array().cast("array<struct<kind:string,to:string>>")), F.when(due, F.array(event("STATE_CHANGED", "REINFORCED"))).otherwise(F.array().cast("array<struct<kind:string,to:string>>")))
-        rows = grown.select("memory_id", "head", "decision_id", F.posexplode(kinds).alias("i", "e"))
+        due = F.coalesce(due, F.lit(False))
+        kinds = F.filter(F.array(event("DECISION_USED_MEMORY"), F.when(F.col("shown"), event("REINFORCED")), F.when(due, event("STATE_CHANGED", "REINFORCED"))), lambda e: e.isNotNull())
+        rows = grown.select("memory_id", "head", "decision_id", kinds.alias("kinds")).select("memory_id", "head", "decision_id", F.posexplode("kinds").alias("i", "e"))
         seq = F.col("head") + F.row_number().over(W.partitionBy("memory_id").orderBy("decision_id", "i"))
         columns = {"memory_id": F.col("memory_id"), "seq": seq.cast("long"), "kind": F.col("e.kind"), "to": F.col("e.to"), "created_at": instant, "caused_by": F.col("decision_id"), "actor": F.lit(actor).cast("long")}
         events = written(rows.select(*[columns[c].alias(c) for c in self.chain.columns]))
