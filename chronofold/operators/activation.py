@@ -78,13 +78,17 @@ def _walked(pairs: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
     wanted = written(pairs.select("query_id", "memory_id").distinct())
     front = seen = pairs.select("query_id", F.col("seed").alias("id")).distinct()
     found = None
-    for step in range(1, FARTHEST + 1):
+    n = wanted.count()
+    for step in range(1, FARTHEST + 1 if n else 1):
         front = written(front.join(edges, F.col("id") == F.col("a")).select("query_id", F.col("b").alias("id")).distinct().join(seen, ["query_id", "id"], "left_anti"))
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
         met = front.withColumnRenamed("id", "memory_id").join(wanted, ["query_id", "memory_id"]).withColumn("steps", F.lit(step))
         found = met if found is None else found.unionByName(met)
+        n -= met.count()
+        if not n:  # a pair is met once
+            break
     return found if found is not None else wanted.limit(0).withColumn("steps", F.lit(0))
 
 
