@@ -89,6 +89,8 @@ def plain(mem, near, links, q, k, hops, layer=None, without=(), turn=(), syn=Non
     for _, c, _ in scored[k:]:
         why[c] = "BELOW_TOP_K"
     served = [(c, h, s) for s, c, h in scored[:k]]
+    for c, *_ in served:
+        why.pop(c, None)  # an inhibited seed may be served
     for c in set(state) | {999}:
         if c not in why and c not in {x[0] for x in served}:
             why[c] = "NOT_IN_FIELD" if c not in state or state[c][1] == "FORGOTTEN" else "UNREACHABLE"
