@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import ablation, agent, sweep
+from chronofold.operators import ablation, agent, store, sweep
 from chronofold.operators import states as S
 from chronofold.operators.replay import state_at
 from chronofold.plans import states as plans
@@ -76,13 +76,11 @@ def under_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("subject", "seq", "grants", (F.col("open") > 0).alias("barred"))
 
 
-@registered("JOIN-1_contradictions", duck("select a.memory_id, (select min(c.memory_id) from memories c where c.topic = a.topic and c.claim = a.claim) as class_id, count(b.memory_id) as contradictions from memories a left join memories b on a.topic = b.topic and a.claim <> b.claim group by a.memory_id, a.topic, a.claim", "dummy as (select 1 as one)"))
+@registered("JOIN-1_contradictions", duck("select a.memory_id as from_id, b.memory_id as to_id from memories a join memories b on a.topic = b.topic and a.memory_id <> b.memory_id and a.claim <> b.claim", "dummy as (select 1 as one)"))
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each memory, the class of its topic and claim, and how many memories contradict it: all of the topic's other classes."""
-    m = model(spark, sf_dir, "memories").select("memory_id", "topic", "claim")
-    classes = m.groupBy("topic", "claim").agg(F.min("memory_id").alias("class_id"), F.count("*").alias("n"))
-    topics = classes.groupBy("topic").agg(F.sum("n").alias("all"))
-    return m.join(classes.join(topics, "topic"), ["topic", "claim"]).select("memory_id", "class_id", (F.col("all") - F.col("n")).alias("contradictions"))
+    """All pairs of memories of a topic with unlike claims, both ways, block by block."""
+    a, b = _sides(spark, sf_dir)
+    return store.in_blocks(a, b, ["topic"], "from_id", "to_id").where("claim <> other").select("from_id", "to_id")
 
 
 @registered("JOIN-2_new_contradictions", duck("select a.topic, a.claim as claim_a, b.claim as claim_b, count(*) as pairs, count(*) filter (exists (select 1 from links l where l.from_id = least(a.memory_id, b.memory_id) and l.to_id = greatest(a.memory_id, b.memory_id))) as linked from memories a join memories b on a.topic = b.topic and a.claim < b.claim group by 1, 2, 3", "dummy as (select 1 as one)"))
@@ -98,6 +96,11 @@ def new_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(met, ["topic", "claim_a", "claim_b"], "left").select("topic", "claim_a", "claim_b", (F.col("n_a") * F.col("n_b")).alias("pairs"), F.coalesce("linked", F.lit(0)).alias("linked"))
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = model(spark, sf_dir, "memories")
+    return m.select("topic", "claim", F.col("memory_id").alias("from_id")), m.select("topic", F.col("claim").alias("other"), F.col("memory_id").alias("to_id"))
+
+
 @registered("EVT-6_supersede", duck("select a.memory_id, min(b.memory_id) as superseded_by from memories a join memories b on a.topic = b.topic and a.claim = b.claim and b.memory_id > a.memory_id group by a.memory_id", "dummy as (select 1 as one)"))
 def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next memory of the same topic and claim: an as-of join with ids in place of time, from above."""
