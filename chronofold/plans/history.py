@@ -83,17 +83,13 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.in_blocks(a, b, ["topic"], "from_id", "to_id").where("claim <> other").select("from_id", "to_id")
 
 
-@registered("JOIN-2_new_contradictions", duck("select a.topic, a.claim as claim_a, b.claim as claim_b, count(*) as pairs, count(*) filter (exists (select 1 from links l where l.from_id = least(a.memory_id, b.memory_id) and l.to_id = greatest(a.memory_id, b.memory_id))) as linked from memories a join memories b on a.topic = b.topic and a.claim < b.claim group by 1, 2, 3", "dummy as (select 1 as one)"))
+@registered("JOIN-2_new_contradictions", duck("select a.memory_id as from_id, b.memory_id as to_id from memories a join memories b on a.topic = b.topic and a.memory_id < b.memory_id and a.claim <> b.claim where not exists (select 1 from links l where l.from_id = a.memory_id and l.to_id = b.memory_id)", "dummy as (select 1 as one)"))
 def new_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of contradicting classes with how many pairs of memories they stand for, and how many of these a link joins already."""
-    m = model(spark, sf_dir, "memories").select("memory_id", "topic", "claim")
-    classes = m.groupBy("topic", "claim").agg(F.count("*").alias("n"))
-    a, b = (classes.select("topic", F.col("claim").alias(f"claim_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, "topic").where("claim_a < claim_b")
-    end = lambda c, x: m.select(F.col("memory_id").alias(c), F.col("topic").alias(f"topic_{x}"), F.col("claim").alias(f"claim_{x}"))
-    ends = model(spark, sf_dir, "links").where("from_id < to_id").select("from_id", "to_id").distinct().join(end("from_id", "x"), "from_id").join(end("to_id", "y"), "to_id").where("topic_x = topic_y and claim_x <> claim_y")
-    met = ends.groupBy(F.col("topic_x").alias("topic"), F.least("claim_x", "claim_y").alias("claim_a"), F.greatest("claim_x", "claim_y").alias("claim_b")).agg(F.count("*").alias("linked"))
-    return pairs.join(met, ["topic", "claim_a", "claim_b"], "left").select("topic", "claim_a", "claim_b", (F.col("n_a") * F.col("n_b")).alias("pairs"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    """The pairs, the smaller id first, that no link joins yet; a memory carries the targets of its links, so pairs are not shuffled."""
+    a, b = _sides(spark, sf_dir)
+    linked = model(spark, sf_dir, "links").where("from_id < to_id").groupBy("from_id").agg(F.collect_set("to_id").alias("linked"))
+    pairs = store.in_blocks(a.join(linked, "from_id", "left"), b, ["topic"], "from_id", "to_id").where("from_id < to_id and claim <> other")
+    return pairs.where(~F.coalesce(F.array_contains("linked", F.col("to_id")), F.lit(False))).select("from_id", "to_id")
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

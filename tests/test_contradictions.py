@@ -28,6 +28,13 @@ def test_join_tells_every_pair(spark, field):
     assert len(got) == len(pairs) and set(got) == pairs
 
 
+def test_new_pairs_are_those_without_a_link(spark, field):
+    data, pairs, links = field
+    got = [tuple(r) for r in catalog.QUERIES["JOIN-2_new_contradictions"](spark, data).select("from_id", "to_id").collect()]
+    want = {(a, b) for a, b in pairs if a < b} - links
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_blocks_lose_and_repeat_nothing(spark):
     a = spark.createDataFrame([(i % 2, i) for i in range(50)], "k int, x long")
     b = spark.createDataFrame([(i % 3, i) for i in range(40)], "k int, y long")
