@@ -17,9 +17,8 @@ lengths cannot link; what is still large is compared in tiles first, then nodes
 of that part are compared with all others of it that are not joined to them yet, block by block. So a large
 group of alike lines gives a number of pairs in proportion to its size, and no link is lost.
 
-Edge cases: null and empty texts have no lines to drop; blank lines (no letter or digit) always stay; a line
-of more than ``WORDS`` words, however long, is hashed by a sample of them, by hash (half of them for each doubling);
-ties of a bit's weights give 0; repeated rows are documents of their own, so all but one of them lose their
+Edge cases: null and empty texts have no lines to drop; blank lines (no letter or digit) always stay; a line is
+hashed by all its words, however long: in pieces of ``PIECE`` words, whose sums are added; ties of a bit's weights give 0; repeated rows are documents of their own, so all but one of them lose their
 lines; null ids sort first; other columns are kept by ``dedup_documents``, whatever their names; an empty
 table gives an empty result.
 """
@@ -39,10 +38,12 @@ from chronofold.llm._util import components, materialize, maybe_in, table
 BLOCKS, AGREE, SIMILARITY, TILE, ACROSS = 5, 2, 0.9, 16, 1024
 #: Bits that may differ, and in lines of fewer characters, whose few words weigh more each.
 BITS, SHORT, SHORT_BITS = 12, 80, 17
-#: Words summed of a line (about), the largest weight, and the scale and offset of the weights.
-WORDS, HEAVIEST, SCALE, OFFSET, LONGEST_WORD = 64, 31, 0.02, 20, 12
-#: Words of a line beyond which repeated ones count once, as the sums of more could leave their lanes.
-MANY = 256
+#: The largest weight, and the scale and offset of the weights.
+HEAVIEST, SCALE, OFFSET, LONGEST_WORD = 31, 0.02, 20, 12
+#: Words summed at once: the sums of as many stay in their lanes (PIECE * HEAVIEST <= 2^14).
+PIECE = 512
+#: Words of a line beyond which some are left out, or repeated ones count once: no line has as many, so none are.
+WORDS = MANY = 1 << 31
 #: A bit's weights are summed four a long, in lanes of 16 bits; a block takes 4 longs, and a hash of a word 4 blocks.
 LANES, LANE_TOP, PER_BLOCK = 0x0001000100010001, 0x4000400040004000, 4
 #: A small distance is tried before the whole budget, as the cost goes with the distance allowed.
@@ -69,34 +70,57 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.where("text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("txh"), text.alias("text"))
     lines = rows.select("doc_id", "row", "txh", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     lines = lines.where(F.col("raw").rlike(NOT_BLANK)).select("doc_id", "row", "txh", "line", F.monotonically_increasing_id().alias("lid"), words_of(F.col("raw")).alias("words"))
-    return lines.select("doc_id", "row", "txh", "line", "lid", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.length(F.array_join("words", " ")).alias("len"), F.when(F.size("words") > MANY, F.array_distinct("words")).otherwise(F.col("words")).alias("words"))
+    return lines.select("doc_id", "row", "txh", "line", "lid", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.length(F.array_join("words", " ")).alias("len"), "words")
 
 
 def _bits(h: Column, at: int, mask: int) -> Column:
     return F.shiftrightunsigned(h, at).bitwiseAND(F.lit(mask).cast("long"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """Lines that are not blank: doc_id, row, txh, line, lid, h1, h2, len, and the blocks in sim1 (four) and sim2."""
-    halved = F.least(F.lit(14), F.greatest(F.lit(0), F.ceil(F.log2(F.size("words") / F.lit(float(WORDS)))))).cast("int")
     kept = ["doc_id", "row", "txh", "line", "h1", "h2", "len"]
-    words = _lines(docs).select("lid", *kept, (F.call_function("shiftleft", F.lit(1).cast("long"), halved) - 1).alias("sample"), F.posexplode("words").alias("i", "w"))
-    words = words.select("lid", *kept, "i", "sample", F.xxhash64("w").alias("a"), F.least(F.lit(LONGEST_WORD), F.length("w")).alias("long"))
+    words = _lines(docs).select("lid", *kept, (F.size("words") > piece).alias("long_line"), F.posexplode("words").alias("i", "w"))
+    words = words.select("lid", *kept, "long_line", F.floor(F.col("i") / piece).alias("piece"), F.xxhash64("w").alias("a"), F.least(F.lit(LONGEST_WORD), F.length("w")).alias("long"))
     words = words.withColumn("b", F.xxhash64("a")).withColumn("u", F.xxhash64("b"))
-    words = words.withColumn("in", _bits(F.col("u"), 50, (1 << 14) - 1).bitwiseAND(F.col("sample")) == 0).where(F.col("in") | (F.col("i") == 0))  # a line keeps one row at least
-    some = [F.when(F.col("in"), _weight(k)).otherwise(F.lit(0).cast("long")).alias(f"w{k}") for k in range(BLOCKS)]
-    words = words.select("lid", *kept, "a", "b", *some)
+    words = words.select("lid", *kept, "long_line", "piece", "a", "b", *[_weight(k).alias(f"w{k}") for k in range(BLOCKS)])
     sums = [F.sum(f"w{k}").alias(f"t{k}") for k in range(BLOCKS)]
     for k in range(BLOCKS):
         for j in range(PER_BLOCK):
             sums.append(F.sum(_bits(F.col("ab"[k // 4]), k % 4 * PER_BLOCK + j, LANES) * F.col(f"w{k}")).alias(f"s{k}_{j}"))
     one = {f.name: F.max if isinstance(f.dataType, T.NumericType) else F.first for f in words.schema.fields}
-    lines = words.groupBy("lid").agg(*[one[c](c).alias(c) for c in kept], *sums)
-    lines = lines.select("lid", *kept, *[_block(k).alias(f"v{k}") for k in range(BLOCKS)])
+    of = [*kept, "long_line"]
+    parts = words.groupBy("lid", "piece").agg(*[one[c](c).alias(c) for c in of], *sums)
+    raw = F.struct(*[f"t{k}" for k in range(BLOCKS)], *[f"s{k}_{j}" for k in range(BLOCKS) for j in range(PER_BLOCK)])
+    parts = parts.select("lid", *kept, F.when(F.col("long_line"), raw).alias("raw"), *[_block(k).alias(f"v{k}") for k in range(BLOCKS)])
+    parts = materialize(_packed(parts, kept, "raw"))
+    lines, long = parts.where("raw is null").drop("raw"), parts.where("raw is not null")
+    return lines.unionByName(materialize(_packed(_added(long, kept, one), kept))) if long.limit(1).count() else lines
+
+
+def _packed(lines: DataFrame, kept: list[str], *more: str) -> DataFrame:
+    """The blocks v0 to v4 in sim1 and sim2."""
     sim1 = F.col("v0")
     for k in (1, 2, 3):
         sim1 = sim1.bitwiseOR(F.shiftleft(f"v{k}", 16 * k))
-    return materialize(lines.select("lid", *kept, sim1.alias("sim1"), F.col("v4").alias("sim2")))
+    return lines.select("lid", *kept, sim1.alias("sim1"), F.col("v4").alias("sim2"), *more)
+
+
+def _added(parts: DataFrame, kept: list[str], one: dict) -> DataFrame:
+    """Lines of several pieces: each bit's weights are added on their own, as many as there are."""
+    lane = lambda k, j, n: _bits(F.col(f"raw.s{k}_{j}"), 16 * n, 0xFFFF)
+    places = [(k, j, n) for k in range(BLOCKS) for j in range(PER_BLOCK) for n in range(4)]
+    sums = [F.sum(f"raw.t{k}").alias(f"t{k}") for k in range(BLOCKS)] + [F.sum(lane(k, j, n)).alias(f"c{k}_{j}_{n}") for k, j, n in places]
+    lines = parts.groupBy("lid").agg(*[one[c](c).alias(c) for c in kept], *sums)
+
+    def block(k: int) -> Column:
+        out = F.lit(0).cast("long")
+        for j in range(PER_BLOCK):
+            for n in range(4):
+                out = out.bitwiseOR(F.when(2 * F.col(f"c{k}_{j}_{n}") > F.col(f"t{k}"), F.lit(1 << (4 * n + j))).otherwise(F.lit(0)).cast("long"))
+        return out
+
+    return lines.select("lid", *kept, *[block(k).alias(f"v{k}") for k in range(BLOCKS)])
 
 
 #: The factor of a word's weight by ten bits of its hash, with a long tail.
