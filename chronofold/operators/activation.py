@@ -73,23 +73,37 @@ def spread(seeds: DataFrame, near: DataFrame, links: DataFrame, hops: int) -> Da
 
 
 def _walked(pairs: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
-    """query_id, memory_id, steps: the least steps (FARTHEST at most) from the seeds of pairs (query_id, seed, memory_id)."""
+    """query_id, memory_id, steps: the least steps (FARTHEST at most) from the seeds of pairs (query_id, seed, memory_id).
+
+    Steps are taken from both ends, each time by the end whose frontier is smaller, until the two meet: what is visited goes
+    with the degree to the power of half the distance, not with the memories. Pairs that met are looked for no longer.
+    """
     edges = written(near.select("a", "b").unionByName(links.where("link_type = 'RESONANT'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))).distinct())
-    wanted = written(pairs.select("query_id", "memory_id").distinct())
-    front = seen = pairs.select("query_id", F.col("seed").alias("id")).distinct()
-    found = None
-    n = wanted.count()
-    for step in range(1, FARTHEST + 1 if n else 1):
-        front = written(front.join(edges, F.col("id") == F.col("a")).select("query_id", F.col("b").alias("id")).distinct().join(seen, ["query_id", "id"], "left_anti"))
-        if not front.limit(1).count():
+    pairs = written(pairs.select("query_id", "seed", "memory_id").distinct())
+    wanted = written(pairs.select("seed", "memory_id").distinct())
+    step = {"seed": edges, "memory_id": edges.select(F.col("b").alias("a"), F.col("a").alias("b"))}
+    seen = {end: wanted.select(F.col(end), F.col(end).alias("id")).distinct() for end in step}
+    front, found = dict(seen), None
+    size = {end: front[end].count() for end in step}
+    for steps in range(1, FARTHEST + 1 if size["seed"] else 1):
+        end = min(size, key=lambda x: size[x])
+        other = "memory_id" if end == "seed" else "seed"
+        front[end] = written(front[end].join(step[end], F.col("id") == F.col("a")).select(end, F.col("b").alias("id")).distinct().join(seen[end], [end, "id"], "left_anti"))
+        size[end] = front[end].count()
+        if not size[end]:
             break
-        seen = seen.unionByName(front)
-        met = front.withColumnRenamed("id", "memory_id").join(wanted, ["query_id", "memory_id"]).withColumn("steps", F.lit(step))
+        seen[end] = seen[end].unionByName(front[end])
+        met = written(wanted.join(front[end], end).join(front[other], [other, "id"], "left_semi").select("seed", "memory_id").distinct().withColumn("steps", F.lit(steps)))
+        if not met.limit(1).count():
+            continue
         found = met if found is None else found.unionByName(met)
-        n -= met.count()
-        if not n:  # a pair is met once
+        wanted = written(wanted.join(met, ["seed", "memory_id"], "left_anti"))  # a pair is met once
+        if not wanted.limit(1).count():
             break
-    return found if found is not None else wanted.limit(0).withColumn("steps", F.lit(0))
+        for e in step:
+            front[e] = written(front[e].join(wanted.select(e).distinct(), e, "left_semi"))
+            size[e] = front[e].count()
+    return pairs.join(found, ["seed", "memory_id"]).select("query_id", "memory_id", "steps") if found is not None else pairs.limit(0).select("query_id", "memory_id", F.lit(0).alias("steps"))
 
 
 def recall(memories: DataFrame, near: DataFrame, links: DataFrame, queries: DataFrame, now: float, top_k: int = 5, hops: int = 2, turn: DataFrame | None = None, synapses: DataFrame | None = None, tampered: DataFrame | None = None) -> Outcome:
@@ -155,14 +169,16 @@ def recall(memories: DataFrame, near: DataFrame, links: DataFrame, queries: Data
 
 
 def absences(outcome: Outcome, memories: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (query_id, memory_id) with the one reason why each is not served, null for those that are.
+    """asked (query_id, memory_id, and maybe the memory's field_state) with the one reason why each is not served, null for those that are.
 
     A reason that the recall met goes first; a memory that is unknown or FORGOTTEN is NOT_IN_FIELD, any other UNREACHABLE.
     """
-    told = asked.join(outcome.hits.select("query_id", "memory_id", F.lit(True).alias("served")), ["query_id", "memory_id"], "left").join(outcome.dropped, ["query_id", "memory_id"], "left")
-    told = told.join(memories.select("memory_id", "field_state"), "memory_id", "left")
+    served = outcome.hits.select("query_id", "memory_id", F.lit("SERVED").alias("reason"))
+    met = served.unionByName(outcome.dropped.join(served, ["query_id", "memory_id"], "left_anti"))
+    told = asked.join(met, ["query_id", "memory_id"], "left")
+    told = told if "field_state" in asked.columns else told.join(memories.select("memory_id", "field_state"), "memory_id", "left")
     gone = F.col("field_state").isNull() | (F.col("field_state") == "FORGOTTEN")
-    return told.select("query_id", "memory_id", F.when(F.col("served"), None).otherwise(F.coalesce("reason", F.when(gone, "NOT_IN_FIELD").otherwise("UNREACHABLE"))).alias("reason"))
+    return told.select("query_id", "memory_id", F.when(F.col("reason") != "SERVED", F.col("reason")).when(F.col("reason").isNull(), F.when(gone, "NOT_IN_FIELD").otherwise("UNREACHABLE")).alias("reason"))
 
 
 def effects(outcome: Outcome, now: float, turn: DataFrame) -> tuple[DataFrame, DataFrame]:
