@@ -115,20 +115,34 @@ def recency(age_s: Column, weight: float = 0.05, half_life_s: float = 86400.0) -
     return weight * F.exp(-math.log(2) * F.greatest(F.lit(0.0), age_s) / half_life_s)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), the value being computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def style(text: Column) -> Column:
-    """struct<words map, language, sentence double, punctuation map> of a text: shares of function words, mean words a sentence, shares of marks."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    own = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.,;:!?\"']+|[.,;:!?\"']+$", "")), lambda w: w.isin(*SPANISH, *ENGLISH, *BOTH))
-    total = F.greatest(F.size(words), F.lit(1)).cast("double")
-    shares = F.map_from_entries(F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("w"), (F.size(F.filter(own, lambda x: x == w)) / total).alias("s"))))
-    es, en = F.size(F.filter(own, lambda w: w.isin(*SPANISH))), F.size(F.filter(own, lambda w: w.isin(*ENGLISH)))
-    sentences = F.filter(F.split(text, "[.!?]"), lambda x: x.rlike(r"\S"))
-    lengths = F.transform(sentences, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).cast("double"))
-    mean = F.when(F.size(sentences) > 0, F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / F.size(sentences)).otherwise(0.0)
-    long = F.greatest(F.length(text), F.lit(1)).cast("double")
-    marks = F.create_map(*[x for c in PUNCTUATION for x in (F.lit(c), (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / long)])
-    return F.struct(shares.alias("words"), F.when(es > en, "es").when(en > es, "en").otherwise("und").alias("language"), mean.alias("sentence"), marks.alias("punctuation"))
+    """struct<words map, language, sentence double, punctuation map> of a text: shares of function words, mean words a sentence, shares of marks.
+
+    A text is split once, and its function words are found once, however many differ.
+    """
+
+    def told(text: Column) -> Column:
+        words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+        own = lambda ws: F.filter(F.transform(ws, lambda w: F.btrim(w, F.lit(".,;:!?\"'"))), lambda w: w.isin(*SPANISH, *ENGLISH, *BOTH))
+        return _let(words, lambda ws: _let(F.struct(own(ws).alias("own"), F.greatest(F.size(ws), F.lit(1)).cast("double").alias("total")), lambda x: by_words(text, x)))
+
+    def by_words(text: Column, x: Column) -> Column:
+        own = x["own"]
+        shares = F.map_from_entries(F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("w"), (F.size(F.filter(own, lambda y: y == w)) / x["total"]).alias("s"))))
+        es, en = F.size(F.filter(own, lambda w: w.isin(*SPANISH))), F.size(F.filter(own, lambda w: w.isin(*ENGLISH)))
+        language = _let(F.struct(es.alias("es"), en.alias("en")), lambda n: F.when(n["es"] > n["en"], "es").when(n["en"] > n["es"], "en").otherwise("und"))
+        lengths = F.filter(F.transform(F.split(text, "[.!?]"), lambda y: F.regexp_count(y, F.lit(r"\S+")).cast("double")), lambda n: n > 0)
+        mean = _let(lengths, lambda ls: F.when(F.size(ls) > 0, F.aggregate(ls, F.lit(0.0), lambda a, n: a + n) / F.size(ls)).otherwise(0.0))
+        long = F.greatest(F.length(text), F.lit(1)).cast("double")
+        marks = F.create_map(*[y for c in PUNCTUATION for y in (F.lit(c), (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / long)])
+        return F.struct(shares.alias("words"), language.alias("language"), mean.alias("sentence"), marks.alias("punctuation"))
+
+    return _let(F.coalesce(text, F.lit("")), told)
 
 
 def _cosine(a: Column, b: Column) -> Column:
