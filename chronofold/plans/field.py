@@ -156,6 +156,16 @@ def ablation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("r <= 5").join(n, "query_id").join(entered, "query_id", "left").select("query_id", F.col("memory_id").alias("ablated"), (F.col("n") - F.col("r")).cast("long").alias("shifted"), "entered")
 
 
+@registered("GRF-11_single_ablation")
+def single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the five served of a query taken away, and who enters: the sixth. The SQL is that of ``maintenance``."""
+    zero = model(spark, sf_dir, "memories").where("custody_status = 'CLEAN'").where(_dot("v", "v") == 0).orderBy("memory_id").limit(6)  # no length: a product of 0
+    best = ranked(spark, sf_dir, "custody_status = 'CLEAN'", 6).select("query_id", "memory_id", "d")
+    both = best.unionByName(model(spark, sf_dir, "queries").select("query_id").crossJoin(F.broadcast(zero.select("memory_id", F.lit(0).cast("long").alias("d")))))
+    t = both.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("d"), "memory_id"))).where("r <= 6")
+    return t.where("r <= 5").select("query_id", F.col("memory_id").alias("removed")).join(t.where("r = 6").select("query_id", F.col("memory_id").alias("entered")), "query_id")
+
+
 @registered("GRF-12_pairwise_ablation", own(_DOTS + ", " + _top(CLEAN, 7) + " select x.query_id, x.memory_id as a, y.memory_id as b, (select string_agg(z.memory_id::varchar, ',' order by z.r) from t z where z.query_id = x.query_id and z.r <> x.r and z.r <> y.r) as served from t x join t y on y.query_id = x.query_id and x.r < y.r where y.r <= 5"))
 def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the five served: the list without both (a list of seven holds every answer)."""
