@@ -15,6 +15,7 @@ from chronofold.plans import ledger, scalars, states
 from chronofold.plans.dialect import query
 from chronofold.plans.ledger import duck, registered
 from chronofold.plans.ledger import view as ledger_view
+from chronofold.storage import spread
 
 INPUTS = """
 logs as (
@@ -270,10 +271,12 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("JOIN-9_bilateral", duck("select decision_id, memory_id, case when (decision_id + substr(memory_id, 2)::bigint) % 13 = 1 then 'NO_EVENT' else 'NO_DECISION' end as code from uses where (decision_id + substr(memory_id, 2)::bigint) % 13 in (1, 2)", scalars.USES))
 def bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decision names its memories and their events name it: what one side tells and the other does not."""
-    u = ledger_view(spark, sf_dir, "uses", scalars.USES)
+    lines, key = read(spark, sf_dir, "lineitem"), ["decision_id", "memory_id"]
+    u = lines.select(F.col("l_orderkey").alias("decision_id"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("memory_id"))
+    u = spread(u, lines.count(), *key).distinct()  # both sides of the join stay where they are dealt to
     k = (F.col("decision_id") + F.substring("memory_id", 2, 20).cast("long")) % 13
     told, events = u.where(k != 2).withColumn("told", F.lit(True)), u.where(k != 1).withColumn("seen", F.lit(True))
-    both = told.join(events, ["decision_id", "memory_id"], "full")
+    both = told.join(events, key, "full")
     return both.where("told is null or seen is null").select("decision_id", "memory_id", F.when(F.col("seen").isNull(), "NO_EVENT").otherwise("NO_DECISION").alias("code"))
 
 
