@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.storage import written
+from chronofold.storage import spread, written
 
 
 def hops(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
@@ -51,19 +51,22 @@ def blast_radius(seeds: DataFrame, uses: DataFrame, derived: DataFrame, successi
     actor did both. POSSIBLE memories are not derived, but were served with a seed by one receipt (served: receipt_id,
     memory_id; those receipts are DIRECT) or are next to it (resonant: a, b); without receipts, were used with it.
     """
+    uses = written(uses)
     direct = written(uses.join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("decision_id").distinct())
-    m = lambda c: F.concat(F.lit("M"), F.col(c).cast("string"))
-    d = lambda c: F.concat(F.lit("D"), F.col(c).cast("string"))
+    m = lambda c: F.shiftleft(F.col(c).cast("long"), 1)  # noqa: E731  a node is a number: even for memories, odd for decisions
+    d = lambda c: F.shiftleft(F.col(c).cast("long"), 1) + 1
+    own = F.shiftright("id", 1)
     edges = uses.select(m("memory_id").alias("a"), d("decision_id").alias("b")).unionByName(derived.select(d("decision_id").alias("a"), m("memory_id").alias("b"))).unionByName(succession.select(m("old").alias("a"), m("new").alias("b")))
+    edges = spread(edges, uses.count(), "a", "b")
     reached = written(hops(seeds.select(m("id").alias("id")), edges, 1 << 30))
     after = reached.where("hop > 0")
     by = uses.groupBy("decision_id").agg(F.min("actor").alias("by"))
     signed = derived.join(by, "decision_id", "left").withColumn("node", m("memory_id")).join(reached.select(F.col("id").alias("cause")), d("decision_id") == F.col("cause"), "left_semi")
     attested = signed.groupBy("node").agg(F.bool_or(F.coalesce(F.col("actor") == F.col("by"), F.lit(False))).alias("attested"))
     told = after.join(attested, after["id"] == attested["node"], "left").join(direct.select(d("decision_id").alias("x")), F.col("id") == F.col("x"), "left")
-    kind = F.when(F.col("id").startswith("M"), "MEMORY").otherwise("DECISION")
+    kind = F.when(F.col("id") % 2 == 0, "MEMORY").otherwise("DECISION")
     level = F.when(F.col("x").isNotNull(), "DIRECT").otherwise("DERIVED")
-    found = told.select(kind.alias("kind"), F.substring("id", 2, 30).cast("long").alias("id"), level.alias("level"), F.when(kind == "MEMORY", F.coalesce("attested", F.lit(True))).alias("attested"))
+    found = told.select(kind.alias("kind"), own.alias("id"), level.alias("level"), F.when(kind == "MEMORY", F.coalesce("attested", F.lit(True))).alias("attested"))
     near = uses.join(direct, "decision_id", "left_semi").select(m("memory_id").alias("id"))
     if served is not None:
         told = written(served.join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("receipt_id").distinct())
@@ -72,7 +75,7 @@ def blast_radius(seeds: DataFrame, uses: DataFrame, derived: DataFrame, successi
     if resonant is not None:
         near = near.unionByName(resonant.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select(m("b").alias("id")))
     near = near.distinct().join(reached.select("id"), "id", "left_anti")
-    return found.unionByName(near.select(F.lit("MEMORY").alias("kind"), F.substring("id", 2, 30).cast("long").alias("id"), F.lit("POSSIBLE").alias("level"), F.lit(None).cast("boolean").alias("attested")))
+    return found.unionByName(near.select(F.lit("MEMORY").alias("kind"), own.alias("id"), F.lit("POSSIBLE").alias("level"), F.lit(None).cast("boolean").alias("attested")))
 
 
 def propagated(values: DataFrame, edges: DataFrame, most: int, least: float = 0.0) -> DataFrame:
