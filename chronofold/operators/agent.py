@@ -162,6 +162,8 @@ def _changes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 #: Text to vectors; a provider is any such function, by name.
+#: Texts embedded at once: what a task holds goes with them, not with a batch.
+EMBEDDED = 256
 PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -203,7 +205,7 @@ def seeded(texts: DataFrame, dim: int = 384) -> DataFrame:
         return [x / norm for x in raw]
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(s, EMBEDDED) for x in batches for s in range(0, x.num_rows, EMBEDDED)):
             known = {t: vector(t) for t in set(b.column("text").to_pylist())}
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([known[t] for t in b.column("text").to_pylist()], pa.list_(pa.float64()))], names=["id", "v"])
 
