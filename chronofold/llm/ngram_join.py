@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import WORD, components, find, materialize, maybe_in, table, without
+from chronofold.llm._util import MERGE, WORD, components, find, materialize, maybe_in, table, without
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
@@ -181,23 +181,23 @@ def _outside(named: DataFrame, *group: str) -> DataFrame:
     """Rows that are not in the largest component (root) of their group."""
     parts = named.groupBy(*group, "root").agg(F.count("*").alias("m"))
     main = parts.groupBy(*group).agg(F.max(F.struct("m", (-F.col("root")).alias("r"))).alias("x")).select(*group, (-F.col("x.r")).alias("main"))
-    return named.join(main, [*group]).where("root <> main").drop("main")
+    return named.join(main.hint(MERGE), [*group]).where("root <> main").drop("main")
 
 
 def _across(met: DataFrame, sketches: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
     """Feasible links between tiles of one column."""
-    named = materialize(met.join(components(edges, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = materialize(met.join(components(edges, "a", "b").hint(MERGE), "node", "left").withColumn("root", F.coalesce("root", "node")))
     outside = materialize(_outside(named, "col"))
     parts = outside.groupBy("col").agg(F.ceil(F.count("*") / VISITORS).alias("parts"))
     tiles = named.groupBy("col", F.col("tile").alias("to")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
     can = (F.col("tile") != F.col("to")) & (F.col("high") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("low") * num)
-    guests = outside.join(parts, "col").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(tiles, "col").where(can)
-    stay = named.join(parts, "col").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    guests = outside.join(parts.hint(MERGE), "col").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(tiles.hint(MERGE), "col").where(can)
+    stay = named.join(parts.hint(MERGE), "col").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     all_rows = guests.select("col", F.col("to").alias("tile"), "part", "node", "size", "root", F.lit(1).alias("guest")).unionByName(
         stay.select("col", "tile", "part", "node", "size", "root", F.lit(0).alias("guest"))
     )
     keys = ("col", "tile", "part")
-    dealt = all_rows.withColumnRenamed("root", "label").join(sketches, "node").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = all_rows.withColumnRenamed("root", "label").join(sketches.hint(MERGE), "node").repartition(*keys).sortWithinPartitions(*keys)
     return materialize(dealt.mapInArrow(lambda it: _feasible(it, num, den, keys, True), "a long, b long"))
 
 
@@ -308,7 +308,7 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
     met = met.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / tile))
     met = materialize(met if split is None else met.unionByName(split))
     sketches = rows.select("node", "sketch")
-    feasible = _dealt(met.join(sketches, "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
+    feasible = _dealt(met.join(sketches.hint(MERGE), "node").select("col", "tile", "node", "size", "sketch"), "col", "tile")
     edges = materialize(feasible.mapInArrow(lambda it: _feasible(it, num, den, ("col", "tile"), False), "a long, b long"))
     hot = met.where(F.col("n") > tile)
     if hot.limit(1).count():
@@ -316,13 +316,13 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
     blocks = components(edges, "a", "b").select("node", F.col("root").alias("block"))
 
     sizes = materialize(blocks)
-    counted = sizes.join(sizes.groupBy("block").agg(F.count("*").alias("n")), "block")
-    members = counted.join(rows.select("node", "at"), "node").select(
+    counted = sizes.join(sizes.groupBy("block").agg(F.count("*").alias("n")).hint(MERGE), "block")
+    members = counted.join(rows.select("node", "at").hint(MERGE), "node").select(
         "node", "block", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.txh").alias("txh"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("tile")
     )
     members = materialize(members)
     keyed = maybe_in(docs.withColumn("txh", F.xxhash64("text")), F.col("txh"), members, F.col("txh"))
-    joined = keyed.join(members, (keyed["txh"] == members["txh"]) & keyed["doc_id"].eqNullSafe(members["doc_id"]))
+    joined = keyed.join(members.hint(MERGE), (keyed["txh"] == members["txh"]) & keyed["doc_id"].eqNullSafe(members["doc_id"]))
     texts = materialize(joined.select("block", "tile", "node", "n", "text"))
     schema = "a long, b long"
     first = materialize(
@@ -333,21 +333,21 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
     if large.limit(1).count():
         roots = components(first, "a", "b")
         named = materialize(
-            large.select("node", "block", "tile", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            large.select("node", "block", "tile", "n").join(roots.hint(MERGE), "node", "left").withColumn("root", F.coalesce("root", "node"))
         )
         outside = _outside(named, "block").select("node", "block", "tile", "n", "root")
         # visitors go to the other tiles; residents stay where they are, in blocks that have visitors
         visit = outside.select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / tile) - 1)).alias("to"), "tile", "root").where("tile <> to").select("node", "block", F.col("to").alias("tile"), "root")
-        stay = named.join(outside.select("block").distinct(), "block", "left_semi").select("node", "block", "tile", "root")
-        again = visit.unionByName(stay).join(texts.where(F.col("n") > tile).select("node", "text"), "node").withColumnRenamed("root", "label")
+        stay = named.join(outside.select("block").distinct().hint(MERGE), "block", "left_semi").select("node", "block", "tile", "root")
+        again = visit.unionByName(stay).join(texts.where(F.col("n") > tile).select("node", "text").hint(MERGE), "node").withColumnRenamed("root", "label")
         second = _dealt(again, "block", "tile").select("block", "tile", "node", "label", "text").mapInArrow(_products(n, num, den), schema)
         links = first.unionByName(materialize(second))
     joined_roots = components(links, "a", "b")
-    node_root = rows.select("node", *key, "least_id").join(joined_roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    node_root = rows.select("node", *key, "least_id").join(joined_roots.hint(MERGE), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(node_root)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(ids, "root").select(*key, "root", "component_id")
-    return described.select("doc_id", "txh", *key).join(labels, key, "left").select("doc_id", "txh", "size", "root", "component_id")
+    labels = named.join(ids.hint(MERGE), "root").select(*key, "root", "component_id")
+    return described.select("doc_id", "txh", *key).join(labels.hint(MERGE), key, "left").select("doc_id", "txh", "size", "root", "component_id")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -361,14 +361,14 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, ti
     named = materialize(_labelled(docs, n, threshold, tile).where("root is not null"))
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "txh")).alias("first"))
     here = F.struct("doc_id", "txh")
-    gone = materialize(named.join(first, "root").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "txh"))
+    gone = materialize(named.join(first.hint(MERGE), "root").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "txh"))
     kept = without(docs, gone)
     several = materialize(named.groupBy("doc_id", "txh").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "txh"))
     if several.limit(1).count():  # of rows with equal id and text one stays
         packed = kept.select(F.struct(*kept.columns).alias("doc")).select("doc", F.col("doc")["doc_id"].alias("id"), F.xxhash64(F.col("doc")["text"].cast("string")).alias("own"))
         same = (F.col("own") == F.col("txh")) & F.col("id").eqNullSafe(F.col("doc_id"))
-        again = packed.join(several, same, "left_semi").groupBy("id", "own").agg(F.first("doc").alias("doc"))
-        kept = packed.join(several, same, "left_anti").select("doc.*").unionByName(again.select("doc.*"))
+        again = packed.join(several.hint(MERGE), same, "left_semi").groupBy("id", "own").agg(F.first("doc").alias("doc"))
+        kept = packed.join(several.hint(MERGE), same, "left_anti").select("doc.*").unionByName(again.select("doc.*"))
     return kept
 
 
