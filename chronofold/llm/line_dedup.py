@@ -12,10 +12,11 @@ occurrence with the smallest doc_id, then the first in the table, stays.
 The blocks do not depend on the corpus or its size. How many pairs of that edit similarity have too few equal
 blocks is measured by ``tests/llm/test_line_dedup.py`` and told in the README.
 
-A key's nodes are compared at once if they are few. Larger keys are parted by length, as lines of unlike
-lengths cannot link; what is still large is compared in tiles first, then nodes outside the largest component
-of that part are compared with all others of it that are not joined to them yet, block by block. So a large
-group of alike lines gives a number of pairs in proportion to its size, and no link is lost.
+Large keys are parted by length, as lines of unlike lengths cannot link, and dealt to tiles. The ``LEADERS`` of
+each tile are compared with its other nodes first; then nodes outside the largest component of a key's part are
+compared with all others of it that are not joined to them yet, block by block. A pair that meets in several keys is
+compared in the first of them. So a large group of alike lines gives a number of pairs in proportion to its size, and
+no link is lost.
 
 Edge cases: null and empty texts have no lines to drop; blank lines (no letter or digit) always stay; a line is
 hashed by all its words, however long: in pieces of ``PIECE`` words, whose sums are added; ties of a bit's weights give 0; repeated rows are documents of their own, so all but one of them lose their
@@ -36,6 +37,8 @@ from pyspark.sql import types as T
 from chronofold.llm._util import components, materialize, maybe_in, table
 
 BLOCKS, AGREE, SIMILARITY, TILE, ACROSS = 5, 2, 0.9, 16, 1024
+#: Nodes of a tile that are compared with all others of it at first.
+LEADERS = 2
 #: Bits that may differ, and in lines of fewer characters, whose few words weigh more each.
 BITS, SHORT, SHORT_BITS = 12, 80, 17
 #: The largest weight, and the scale and offset of the weights.
@@ -222,8 +225,20 @@ def _alike(x: Column, y: Column, similarity: float) -> Column:
     return _let(F.struct(x.alias("x"), y.alias("y"), budget.alias("budget")), begun)
 
 
+def _first_met(a: str, b: str, tiled: bool) -> Column:
+    """Whether the key (of one tile hash, if tiled) and part are the first of all in which two nodes meet.
+
+    Two nodes meet in the keys of the blocks that they have in common, there in the larger of their own classes of length.
+    """
+    same = [_bits(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")), 16 * (k % 4), 0xFFFF) == 0 for k in range(BLOCKS) for s in ["sim1" if k < 4 else "sim2"]]
+    of = [F.when(same[x] & same[y], F.lit(i)) for i, (x, y) in enumerate(combinations(range(BLOCKS), AGREE))]
+    number = F.shiftrightunsigned(f"{a}.key", 32).cast("int")
+    first = F.when(number % 2 == 0, F.coalesce(*of[::2])).otherwise(F.coalesce(*of[1::2])) if tiled else F.coalesce(*of)
+    return (number == first) & ((F.col(f"{a}.part") == 0) | (F.col(f"{a}.part") == F.greatest(f"{a}.size", f"{b}.size")))
+
+
 def _candidates(nodes: DataFrame, similarity: float, tile: int, one_in: int = ONE_IN) -> DataFrame:
-    """node, len, sim1, sim2, key, part, n, tile: nodes that share a key, parted by length where many (part 0: not parted).
+    """node, len, size, sim1, sim2, key, part, n, tile: nodes that share a key, parted by length where many (part 0: not parted).
 
     The number of tiles is a power of two and their hash one of two, so that most pairs that meet again in tiles of
     other keys are the same pairs, while tiles of both hashes together join a group of alike lines.
@@ -252,30 +267,34 @@ def _candidates(nodes: DataFrame, similarity: float, tile: int, one_in: int = ON
     both = both.unionByName(split) if hot.limit(1).count() else both
     tiles = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / tile, F.lit(1.0))))).cast("long")
     both = both.withColumn("tile", F.pmod(F.xxhash64("node", F.shiftrightunsigned("key", 32) % 2), tiles))
-    return materialize(both.join(nodes.select("node", "sim1", "sim2").hint(MERGE), "node"))
+    return materialize(both.withColumn("size", size).join(nodes.select("node", "sim1", "sim2").hint(MERGE), "node"))
 
 
 def _links(nodes: DataFrame, docs: DataFrame, similarity: float, tile: int, across: int) -> DataFrame:
     """Links (a, b) that join all nodes which the definition joins."""
     met = _candidates(nodes, similarity, tile)
-    l, r = met.alias("l"), met.alias("r")
+    place = F.row_number().over(W.partitionBy("key", "part", "tile").orderBy("node"))
+    l, r = met.withColumn("place", place).where(F.col("place") <= LEADERS).alias("l"), met.alias("r")
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part"))
-    in_tile = l.join(r, same & (F.col("l.tile") == F.col("r.tile")) & (F.col("l.node") < F.col("r.node")) & _near("l", "r", similarity))
-    links = _verified(in_tile.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), nodes, docs, similarity)
-    large = met.where(F.col("n") > tile)
+    led = l.join(r, same & (F.col("l.tile") == F.col("r.tile")) & (F.col("l.node") < F.col("r.node")) & _first_met("l", "r", True) & _near("l", "r", similarity))
+    told = materialize(led.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
+    links = _verified(told, nodes, docs, similarity)
+    large = met.where(F.col("n") > min(tile, LEADERS + 1))  # smaller groups are one tile, whose leaders meet all others
     if not large.limit(1).count():
         return links
     roots = components(links, "a", "b")
     named = materialize(large.join(roots.hint(MERGE), "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = named.groupBy("key", "part", "root").agg(F.count("*").alias("m"))
-    main = of_root.groupBy("key", "part").agg(F.max(F.struct("m", (-F.col("root")).alias("r"))).alias("x")).select("key", "part", (-F.col("x.r")).alias("main"))
+    main = of_root.groupBy("key", "part").agg(F.max(F.struct("m", (-F.col("root")).alias("r"))).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("key", "part", (-F.col("x.r")).alias("main"))
     blocks = F.ceil(F.col("n") / across)
+    named = materialize(named.join(main.hint(MERGE), ["key", "part"]))  # of parts that are not joined whole
     inner = named.withColumn("block", F.pmod(F.xxhash64("node", "part"), blocks))
-    outside = named.join(main, ["key", "part"]).where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    l, r = materialize(outside).alias("l"), inner.alias("r")
-    pairs = l.join(r, same & (F.col("l.block") == F.col("r.block")) & (F.col("l.root") != F.col("r.root")) & _near("l", "r", similarity))
+    outside = named.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    l, r = outside.alias("l"), inner.alias("r")
+    once = (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
+    pairs = l.join(r, same & (F.col("l.block") == F.col("r.block")) & (F.col("l.root") != F.col("r.root")) & once & _first_met("l", "r", False) & _near("l", "r", similarity))
     pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    return links.unionByName(_verified(pairs, nodes, docs, similarity))
+    return links.unionByName(_verified(pairs.join(told.hint(MERGE), ["a", "b"], "left_anti"), nodes, docs, similarity))
 
 
 def group_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE, across: int = ACROSS) -> tuple[DataFrame, DataFrame]:
