@@ -63,7 +63,7 @@ def propagate(seeds: DataFrame, links: DataFrame, servable: DataFrame, hops: int
     targets = lambda kind: F.array_sort(F.collect_list(F.when(F.col("link_type") == kind, F.col("to_id"))))
     out = written(live.groupBy("from_id").agg(targets("RESONANT").alias("resonant"), targets("INHIBITORY").alias("inhibitory")))
     empty = F.array().cast("array<bigint>")
-    state = seeds.select("query_id", "seed", "without", F.array("seed").alias("frontier"), empty.alias("fired"), F.array().cast("array<int>").alias("levels"), empty.alias("inhibited"), empty.alias("boosts"))
+    state = written(seeds.select("query_id", "seed", "without", F.array("seed").alias("frontier"), empty.alias("fired"), F.array().cast("array<int>").alias("levels"), empty.alias("inhibited"), empty.alias("boosts")))
     kind = "array<struct<node:bigint,resonant:array<bigint>,inhibitory:array<bigint>>>"
     for level in range(min(hops, MOST_HOPS) + 1):
         around = state.select("query_id", F.explode("frontier").alias("node")).join(out, F.col("node") == F.col("from_id"), "left")
@@ -81,6 +81,7 @@ def propagate(seeds: DataFrame, links: DataFrame, servable: DataFrame, hops: int
             F.concat("levels", F.array_repeat(F.lit(level), F.size("f.fired"))).alias("levels"),
             inhibited.alias("inhibited"), F.concat("boosts", "f.next").alias("boosts"),
         )
+        state = written(state)  # a task holds the sorts of one level, however many levels there are
     return state.select("query_id", "seed", F.map_from_arrays("fired", "levels").alias("hop"), "boosts", "inhibited")
 
 
@@ -99,14 +100,15 @@ def scored(memories: DataFrame, links: DataFrame, queries: DataFrame, top_k: int
     near = similarity.best(live.withColumn("weight", F.lit(1.0)), queries, 1 + most_barred).join(barred, ["query_id", "memory_id"], "left_anti")
     first = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(similarity.key_column()), "memory_id"))).where("r = 1")
     seeds = first.select("query_id", F.col("memory_id").alias("seed")).join(queries.select("query_id", "without"), "query_id")
-    state = written(propagate(seeds, links, clean, hops))
+    state = propagate(seeds, links, clean, hops)
     touched = written(
         state.select("query_id", "seed", F.explode(F.array_distinct(F.concat(F.map_keys("hop"), "boosts", "inhibited"))).alias("memory_id"), "hop", "boosts", "inhibited")
         .select("query_id", "memory_id", F.coalesce(F.element_at("hop", F.col("memory_id")), F.lit(-1)).alias("hop"), (F.size(F.filter("boosts", lambda b: b == F.col("memory_id"))) * RESONANT_STEP).alias("boost"), (F.array_contains("inhibited", F.col("memory_id")) & (F.col("memory_id") != F.col("seed"))).alias("held"))
     )
     touched = touched.join(barred, ["query_id", "memory_id"], "left_anti")
     most = touched.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    plain = similarity.best(live, queries, top_k + max(most + most_barred, SLACK)).join(barred, ["query_id", "memory_id"], "left_anti").join(touched.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    plain = written(similarity.best(live, queries, top_k + max(most + most_barred, SLACK)))  # its sorts end here
+    plain = plain.join(barred, ["query_id", "memory_id"], "left_anti").join(touched.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
     plain = plain.withColumns({"hop": F.lit(-1), "rescued": F.lit(False)})
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, v: s + v)
     near = touched.join(live.select("memory_id", "v", "field_state", "weight"), "memory_id").join(queries.select("query_id", "q"), "query_id")
