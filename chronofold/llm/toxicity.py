@@ -2,14 +2,14 @@
 
 Many voters look at a text: lexicon voters (beginnings of words) and pattern voters (repeated hits, dense
 hits, and the patterns of ``RULES``: shouting, strings of exclamation marks, masked words, threats, wishes of
-harm). Lexicon voters come from a fixed list of insults and from beginnings of words that a bounded sample
-of labelled rows (``SAMPLE``, by hash of the id) finds nearly only in toxic texts, the ``CANDIDATES`` most frequent of
-which are tried and ``MAX_VOTERS`` taken at most; a rule votes if that sample bears it out. Votes of all documents
+harm). Lexicon voters come from a fixed list of insults and from beginnings of words that the labelled rows, all of
+them, have nearly only in toxic texts, the ``CANDIDATES`` most frequent of which are tried and ``MAX_VOTERS`` taken at
+most; a rule votes if the labelled rows bear it out. Votes of all documents
 give first and second moments; a generative label model turns them into accuracies (from triplets of voters
 of one block of correlated voters) and residual correlations (which discount voters that say the same
-thing twice), and so into a posterior label for any pattern of votes. A logistic regression is trained on
-posterior labels of a bounded sample of rows (``TRAIN``: half with votes, half without, each weighted by how many it
-stands for) and scores every document.
+thing twice), and so into a posterior label for any pattern of votes. A logistic regression is trained on the
+posterior labels of all rows and scores every document: tasks add up the sums of each Newton step, rows without a vote
+being one row that counts as many.
 
 Labels are used only where crc32 of the id's text mod 5 is not 0, and ids, languages and sources are never
 inputs of a score. The score is a column expression over the whole text.
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import materialize, table
+from chronofold.llm._util import MERGE, materialize, maybe_in, table
 
-#: Rows: labelled rows that find voters; rows with posterior labels that train the classifier.
-SAMPLE, TRAIN = 6000, 20000
+#: Candidates whose sets are counted at once when voters are chosen, and beginnings of words that a task counts at once.
+ABREAST, COUNTED = 12, 200000
 CANDIDATES, MAX_VOTERS, COVER, LENGTHS = 4000, 160, 4, (3, 4, 5, 6, 7, 8)
 #: Fixed list of insults.
 INSULTS = ("bastard", "clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -110,8 +110,11 @@ def _starts(text: str | None) -> set[str]:
     return {w[:k] for w in words for k in LENGTHS if len(w) >= k} | words
 
 
-def _voters(sample: DataFrame) -> tuple[list[str], float, float, float]:
-    """Voters from labelled rows (text, toxic); share of toxic rows, share of them that is hit, rows."""
+def _voters(rows: DataFrame) -> tuple[list[str], float, float]:
+    """Voters from labelled rows (text, toxic); share of toxic rows, share of them that is hit."""
+
+    def told(seen: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([x[i] for x in seen.values()], pa.int64()) for i in (0, 1)]], names=["s", "pos", "n"])
 
     def count(batches):
         seen: dict[str, list[int]] = {}
@@ -121,44 +124,74 @@ def _voters(sample: DataFrame) -> tuple[list[str], float, float, float]:
                     x = seen.setdefault(s, [0, 0])
                     x[0] += toxic
                     x[1] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], names=["s", "pos", "n"])
+                if len(seen) > COUNTED:
+                    yield told(seen)
+                    seen = {}
+        yield told(seen)
 
-    tallies = sample.mapInArrow(count, "s string, pos long, n long").groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    tallies = rows.mapInArrow(count, "s string, pos long, n long").groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     found = tallies.where((F.col("pos") >= 5) & ((F.col("pos") + 1) / (F.col("n") + 2) >= 0.75) | F.col("s").isin(*INSULTS))
     found = found.orderBy(F.desc("pos"), F.length("s"), "s").limit(CANDIDATES).collect()
     known = {r["s"]: (r["pos"], r["n"]) for r in found}
     good = [s for s, (p, n) in known.items() if (p + 1) / (n + 2) >= 0.5]
+    at = {s: i for i, s in enumerate(good)}
 
     def cover(batches):
         for b in batches:
-            got = [[i for i, s in enumerate(good) if s in have] for have in map(_starts, b.column("text").to_pylist())]
+            got = [[at[s] for s in _starts(t) if s in at] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], names=["v"])
 
-    toxic = [r["v"] for r in sample.where("toxic = 1").mapInArrow(cover, "v array<int>").collect()]
-    rows = sample.count()
-    chosen: list[int] = []
-    need = [COVER] * len(toxic)
+    toxic = materialize(rows.where("toxic = 1").mapInArrow(cover, "v array<int>"))
     precise = [(known[s][0] + 1) / (known[s][1] + 2) for s in good]
-    by = [[] for _ in good]
-    for d, vs in enumerate(toxic):
-        for v in vs:
-            by[v].append(d)
-    while len(chosen) < MAX_VOTERS:
-        free = [v for v in range(len(good)) if not any(good[v].startswith(good[c]) or good[c].startswith(good[v]) for c in chosen)]
-        best = max(free, key=lambda v: (sum(need[d] > 0 for d in by[v]) * precise[v] ** 4, len(good[v])), default=None)
-        if best is None or sum(need[d] > 0 for d in by[best]) < max(3, 0.004 * len(toxic)):
-            break
-        chosen.append(best)
-        for d in by[best]:
-            need[d] -= 1
+    total, n_toxic = rows.count(), toxic.count()
+    chosen = _covering(toxic, good, precise, max(3, 0.004 * n_toxic))
     voters = [good[c] for c in chosen]
     contradicted = {s for s, (p, n) in known.items() if (p + 1) / (n + 2) < 0.5}
     for w in INSULTS:
         if w not in contradicted and not any(w.startswith(v) or v.startswith(w) for v in voters):
             voters.append(w)
-    hit = sum(n < COVER for n in need) / len(toxic) if toxic else 0.9
-    return sorted(voters), (len(toxic) + 1) / (rows + 10), min(hit, 1 - 1 / (len(toxic) + 2)), rows
+    hit = toxic.where(_among("v", chosen) > 0).count() / n_toxic if n_toxic else 0.9
+    return sorted(voters), (n_toxic + 1) / (total + 10), min(hit, 1 - 1 / (n_toxic + 2))
+
+
+def _among(v: str, chosen: list[int]) -> Column:
+    return F.size(F.array_intersect(v, F.lit(chosen).cast("array<int>"))) if chosen else F.lit(0)
+
+
+def _covering(toxic: DataFrame, good: list[str], precise: list[float], least: float) -> list[int]:
+    """Numbers of good ones, one by one the best of those left, until each toxic row (v) has ``COVER`` or the best adds too little.
+
+    What one adds only falls as others are chosen. So the rows are counted by which of the ``ABREAST`` best they have, and these
+    are chosen among by exact counts as long as none of the others can be better; then all are counted again.
+    """
+    chosen: list[int] = []
+    while len(chosen) < MAX_VOTERS:
+        free = [v for v in range(len(good)) if not any(good[v].startswith(good[c]) or good[c].startswith(good[v]) for c in chosen)]
+        needy = toxic.withColumn("have", _among("v", chosen)).where(F.col("have") < COVER)
+        adds = dict(needy.select(F.explode("v").alias("c")).groupBy("c").count().collect())  # at most CANDIDATES rows
+        worth = lambda v, n: (n * precise[v] ** 4, len(good[v]), -v)
+        order = sorted(free, key=lambda v: worth(v, adds.get(v, 0)), reverse=True)
+        best, bound = order[:ABREAST], worth(order[ABREAST], adds.get(order[ABREAST], 0)) if len(order) > ABREAST else None
+        if not best or adds.get(best[0], 0) < least:
+            break
+        mask = F.lit(0)
+        for i, v in enumerate(best):
+            mask = mask + F.when(F.array_contains("v", F.lit(v)), 1 << i).otherwise(0)
+        sets = needy.groupBy(mask.alias("mask"), "have").count().collect()  # at most 2^ABREAST * COVER rows
+        masks, have, n = (np.array([r[i] for r in sets], np.int64) for i in range(3))
+        while len(chosen) < MAX_VOTERS:
+            left = [(worth(v, int(n[(masks >> i & 1 == 1) & (have < COVER)].sum())), i, v) for i, v in enumerate(best) if not any(good[v].startswith(good[c]) or good[c].startswith(good[v]) for c in chosen)]
+            if not left:
+                break
+            top, i, v = max(left)
+            hits = (masks >> i & 1 == 1) & (have < COVER)
+            if bound and top < bound:
+                break
+            if n[hits].sum() < least:
+                return chosen
+            chosen.append(v)
+            have = have + (masks >> i & 1)
+    return chosen
 
 
 def _label_model(names: list[str], m: np.ndarray, total: int, prior: float) -> tuple[dict[str, tuple[float, float]], np.ndarray, np.ndarray]:
@@ -210,35 +243,65 @@ def _posterior(fired: list[int], acc: np.ndarray, false: np.ndarray, block: np.n
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton's method on soft labels of weighted rows; the last column of x is the constant."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], l2)
+def _logistic(width: int, sums, l2: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Newton's method on soft labels; ``sums`` gives the gradient and the Hessian of all rows; the last weight is the constant."""
+    w = np.zeros(width)
+    ridge = np.full(width, l2)
     ridge[-1] = 1e-6
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (q - y)) + ridge * w
-        hess = (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
+        grad, hess = sums(w)
+        step = np.clip(np.linalg.solve(hess + np.diag(ridge), grad + ridge * w), -2, 2)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train: int = TRAIN) -> Model:
+def _sums(rows: DataFrame, width: int, quiet: int, label: float):
+    """Gradient and Hessian by weights, over rows (on, repeat, dense, y, with the places of the two) and ``quiet`` ones without a vote."""
+
+    def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches):
+            total = np.zeros((width + 1, width))
+            for b in batches:
+                on = b.column("on")
+                x = np.zeros((b.num_rows, width))
+                x[np.repeat(np.arange(b.num_rows), np.diff(on.offsets.to_numpy())), on.flatten().to_numpy()] = 1
+                x[np.arange(b.num_rows), b.column("at_repeat").to_numpy()] = b.column("repeat").to_numpy()
+                x[np.arange(b.num_rows), b.column("at_dense").to_numpy()] = b.column("dense").to_numpy()
+                x[:, -1] = 1
+                q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[-1] += x.T @ (q - b.column("y").to_numpy())
+                total[:-1] += (x * (q * (1 - q) + 1e-9)[:, None]).T @ x
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some])], names=["k", "s"])
+
+        total = np.zeros((width + 1) * width)
+        got = rows.mapInArrow(part, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toArrow()  # one row a cell
+        total[got.column("k").to_numpy()] = got.column("s").to_numpy()
+        total = total.reshape(width + 1, width)
+        q = 1 / (1 + np.exp(-np.clip(w[-1], -30, 30)))
+        total[-1, -1] += quiet * (q - label)
+        total[-2, -1] += quiet * (q * (1 - q) + 1e-9)
+        return total[-1], total[:-1]
+
+    return at
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Voters, label model and classifier for the documents."""
     taught = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    taught = taught.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("text", "toxic"))
+    taught = materialize(taught.where(~held_out(F.col("doc_id"))))
+    known = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), taught, F.col("doc_id"))
+    rows = materialize(known.join(taught.hint(MERGE), "doc_id").select("text", "toxic"))
     model = Model()
-    model.voters, prior, hit, _ = _voters(rows)
+    model.voters, prior, hit = _voters(rows)
     borne = {k: F.coalesce(F.col("text").rlike(p), F.lit(False)).cast("int") for k, p in RULES.items()}
     told = rows.agg(*[F.sum(c).alias(f"n_{k}") for k, c in borne.items()], *[F.sum(c * F.col("toxic")).alias(f"p_{k}") for k, c in borne.items()]).first()
     model.rules = [k for k in RULES if (told[f"p_{k}"] or 0) >= 5 and (told[f"p_{k}"] + 1) / (told[f"n_{k}"] + 2) >= 0.75]
 
     votes = materialize(
-        docs.select("doc_id", model.hits(F.col("text")).alias("hits"), F.length("text").alias("n"), F.xxhash64("text").alias("x"), F.array_compact(F.array(*[F.when(F.col("text").rlike(RULES[k]), F.lit(k)) for k in model.rules], F.lit(None).cast("string"))).alias("ruled"))
+        docs.select("doc_id", model.hits(F.col("text")).alias("hits"), F.length("text").alias("n"), F.array_compact(F.array(*[F.when(F.col("text").rlike(RULES[k]), F.lit(k)) for k in model.rules], F.lit(None).cast("string"))).alias("ruled"))
         .withColumn("dense", F.size("hits") * 100.0 / (F.coalesce("n", F.lit(0)) + 1.0))
         .withColumn("v", F.concat(F.array_distinct("hits"), F.when(F.size("hits") >= 3, F.array(F.lit("repeat"))).otherwise(F.array()), F.when(F.col("dense") >= 0.2, F.array(F.lit("dense"))).otherwise(F.array()), "ruled"))
     )
@@ -257,26 +320,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train: int = T
     acc = np.array([model.accuracy[n][0] for n in names])
     false = np.array([model.accuracy[n][1] for n in names])
 
-    # rows with and without votes, so many of each at most
-    learn = votes.where(~held_out(F.col("doc_id"))).select("v", "hits", "dense", "x")
-    some = [learn.where(c).orderBy("x").limit(train // 2).collect() for c in (F.size("v") > 0, F.size("v") == 0)]
-    sizes = learn.agg(F.sum((F.size("v") > 0).cast("int")), F.sum((F.size("v") == 0).cast("int"))).first()
-    cache: dict[tuple, float] = {}
-    xs, ys, ws = [], [], []
-    for got, size in zip(some, sizes, strict=True):
-        for r in got:
-            fired = tuple(sorted(number[s] for s in r["v"]))
-            if fired not in cache:
-                cache[fired] = _posterior(list(fired), acc, false, block, tied, prior, 1 - hit)
-            x = np.zeros(len(names) + 1)
-            x[[i for i in fired if names[i] not in PATTERNS]] = 1
-            x[number["repeat"]], x[number["dense"]], x[-1] = np.log1p(len(r["hits"])), min(1.0, r["dense"]), 1
-            xs.append(x)
-            ys.append(cache[fired])
-            ws.append((size or 0) / len(got))
-    if xs:
-        weight = np.array(ws) * len(ws) / sum(ws)  # rows stand for as many as were left out
-        w = _logistic(np.array(xs), np.array(ys), weight)
+    def posterior(batches):
+        cache: dict[tuple, float] = {}
+        for b in batches:
+            on, ys = [], []
+            for v in b.column("v").to_pylist():
+                fired = tuple(sorted(number[x] for x in v))
+                if len(cache) > COUNTED:
+                    cache = {}
+                if fired not in cache:
+                    cache[fired] = _posterior(list(fired), acc, false, block, tied, prior, 1 - hit)
+                on.append([i for i in fired if names[i] not in PATTERNS])
+                ys.append(cache[fired])
+            yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), pa.array(ys, pa.float64()), b.column("repeat"), b.column("dense")], names=["on", "y", "repeat", "dense"])
+
+    learn = votes.where(~held_out(F.col("doc_id")))
+    quiet, some = learn.agg(F.count_if(F.size("v") == 0), F.count_if(F.size("v") > 0)).first()
+    if quiet or some:
+        voted = learn.where(F.size("v") > 0).select("v", F.log1p(F.size("hits").cast("double")).alias("repeat"), F.least(F.lit(1.0), "dense").alias("dense"))
+        voted = materialize(voted.mapInArrow(posterior, "on array<int>, y double, repeat double, dense double"))
+        voted = voted.withColumns({f"at_{p}": F.lit(number[p]) for p in PATTERNS})
+        w = _logistic(len(names) + 1, _sums(voted, len(names) + 1, quiet, _posterior([], acc, false, block, tied, prior, 1 - hit)))
         model.weights = {n: float(w[i]) for i, n in enumerate(names)} | {"": float(w[-1])}
     return model
 
