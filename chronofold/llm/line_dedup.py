@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm._util import components, materialize, maybe_in, table
+from chronofold.llm._util import components, materialize, maybe_in, settled, table
 
 BLOCKS, AGREE, SIMILARITY, TILE, ACROSS = 5, 2, 0.9, 16, 1024
 #: Nodes of a tile that are compared with all others of it at first.
@@ -302,8 +302,9 @@ def group_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TIL
     lines = occurrences(docs)
     nodes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lid", "txh", "line")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("len", "sim1", "sim2")])
     nodes = materialize(nodes.withColumn("node", F.col("first.lid")))
-    roots = components(_links(nodes, docs, similarity, tile, across), "a", "b")
-    linked = materialize(roots.join(nodes.select("node", "first").hint(MERGE), "node"))
+    spark = docs.sparkSession
+    links = settled(spark, lambda: _links(nodes, docs, similarity, tile, across))
+    linked = settled(spark, lambda: components(links, "a", "b").join(nodes.select("node", "first").hint(MERGE), "node"))
     keep = linked.groupBy("root").agg(F.min("first").alias("keep"))
     kept = linked.join(keep.hint(MERGE), "root").select("node", F.col("keep.lid").alias("keep"))
     named = nodes.select("h1", "h2", "node", "copies").join(kept.hint(MERGE), "node", "left")
@@ -319,7 +320,7 @@ def dropped_lines(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
 
 def dedup_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents with their text rid of dropped lines; a document that loses all its lines goes."""
-    lines, dropped = dropped_lines(docs, **how)
+    dropped = settled(docs.sparkSession, lambda: dropped_lines(docs, **how)[1])
     text = F.col("doc")["text"].cast("string")
     packed = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc")["doc_id"].alias("own"), F.xxhash64(text).alias("own_txh"))
     on = (F.col("own_txh") == F.col("txh")) & F.col("own").eqNullSafe(F.col("doc_id"))

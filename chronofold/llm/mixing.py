@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import materialize, n_words, numbered, ranked, table
+from chronofold.llm._util import materialize, n_words, numbered, ranked, settled, table
 
 ROWS_PER_BUCKET = 1000
 MAX_REPEATS = 3
@@ -126,7 +126,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     doc = F.col("doc")
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     packed = packed.select("doc", doc["doc_id"].alias("id"), F.xxhash64(doc["text"].cast("string")).alias("txh"), doc["source"].cast("string").alias("source"))
-    _, sizes = mix(packed.select(F.struct("id", "txh").alias("doc_id"), "source", doc["text"].alias("text")), **how)
+    asked = packed.select(F.struct("id", "txh").alias("doc_id"), "source", doc["text"].alias("text"))
+    sizes = settled(docs.sparkSession, lambda: mix(asked, **how)[1].select("doc_id", "source", "size", "taken"))
     per = sizes.where("taken > 0").groupBy(F.col("doc_id.id").alias("of_id"), F.col("doc_id.txh").alias("of_txh"), F.col("source").alias("of_source"))
     per = materialize(per.agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("times")))
     joined = packed.join(per, (F.col("txh") == F.col("of_txh")) & F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import MERGE, WORD, components, find, materialize, maybe_in, table, without
+from chronofold.llm._util import MERGE, WORD, components, find, materialize, maybe_in, settled, table, without
 from chronofold.llm.shingles import mix64, shingles, sliced
 
 N, THRESHOLD, TILE = 3, Fraction(9, 10), 256
@@ -289,8 +289,8 @@ def _split_hot(met: DataFrame, threshold: Fraction, tile: int, one_in: int = ONE
 
 def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFrame:
     """doc_id, txh, size, root (null without words), component_id; one row per document."""
-    num, den = threshold.numerator, threshold.denominator
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     described = materialize(_described(docs, n, threshold, _heavy_columns(docs, n)))
     key = ["h1", "h2", "size"]
     rows = materialize(
@@ -299,6 +299,20 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
         .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "txh")).alias("at"), F.first("cols").alias("cols"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
+    edges = settled(spark, lambda: _feasible_links(rows, threshold, tile))
+    sizes = settled(spark, lambda: components(edges, "a", "b").select("node", F.col("root").alias("block")))
+    links = settled(spark, lambda: _exact_links(docs, rows, sizes, n, threshold, tile))
+    joined_roots = components(links, "a", "b")
+    node_root = rows.select("node", *key, "least_id").join(joined_roots.hint(MERGE), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialize(node_root)
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    labels = named.join(ids.hint(MERGE), "root").select(*key, "root", "component_id")
+    return described.select("doc_id", "txh", *key).join(labels.hint(MERGE), key, "left").select("doc_id", "txh", "size", "root", "component_id")
+
+
+def _feasible_links(rows: DataFrame, threshold: Fraction, tile: int) -> DataFrame:
+    """Links (a, b) by size bound and sketch that join all rows which may link."""
+    num, den = threshold.numerator, threshold.denominator
     met = rows.select("node", "size", F.explode("cols").alias("col"))
     met, split = _split_hot(met, threshold, tile)
     # one shuffle: a row without a neighbour of its size in a column cannot link there
@@ -313,9 +327,12 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
     hot = met.where(F.col("n") > tile)
     if hot.limit(1).count():
         edges = edges.unionByName(_across(hot, sketches, edges, num, den))
-    blocks = components(edges, "a", "b").select("node", F.col("root").alias("block"))
+    return edges
+
 
-    sizes = materialize(blocks)
+def _exact_links(docs: DataFrame, rows: DataFrame, sizes: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFrame:
+    """The links (a, b) of the rows of each block (sizes: node, block), by their products."""
+    num, den = threshold.numerator, threshold.denominator
     counted = sizes.join(sizes.groupBy("block").agg(F.count("*").alias("n")).hint(MERGE), "block")
     members = counted.join(rows.select("node", "at").hint(MERGE), "node").select(
         "node", "block", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.txh").alias("txh"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("tile")
@@ -342,12 +359,7 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, tile: int) -> DataFr
         again = visit.unionByName(stay).join(texts.where(F.col("n") > tile).select("node", "text").hint(MERGE), "node").withColumnRenamed("root", "label")
         second = _dealt(again, "block", "tile").select("block", "tile", "node", "label", "text").mapInArrow(_products(n, num, den), schema)
         links = first.unionByName(materialize(second))
-    joined_roots = components(links, "a", "b")
-    node_root = rows.select("node", *key, "least_id").join(joined_roots.hint(MERGE), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(node_root)
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(ids.hint(MERGE), "root").select(*key, "root", "component_id")
-    return described.select("doc_id", "txh", *key).join(labels.hint(MERGE), key, "left").select("doc_id", "txh", "size", "root", "component_id")
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -358,7 +370,7 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: Fraction = THRESH
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, tile: int = TILE) -> DataFrame:
     """The documents with one of each component, its smallest doc_id; documents without words all stay."""
-    named = materialize(_labelled(docs, n, threshold, tile).where("root is not null"))
+    named = settled(docs.sparkSession, lambda: _labelled(docs, n, threshold, tile).where("root is not null"))
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "txh")).alias("first"))
     here = F.struct("doc_id", "txh")
     gone = materialize(named.join(first.hint(MERGE), "root").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "txh"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm._util import MERGE, materialize, maybe_in, table
+from chronofold.llm._util import MERGE, materialize, maybe_in, passing, table
 
 #: Candidates whose sets are counted at once when voters are chosen, and beginnings of words that a task counts at once.
 ABREAST, COUNTED = 12, 200000
@@ -290,6 +290,11 @@ def _sums(rows: DataFrame, width: int, quiet: int, label: float):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Voters, label model and classifier for the documents."""
+    with passing(docs.sparkSession):
+        return _fit(docs, labels)
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> Model:
     taught = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     taught = materialize(taught.where(~held_out(F.col("doc_id"))))
     known = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), taught, F.col("doc_id"))
